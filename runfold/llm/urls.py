@@ -45,7 +45,7 @@ def _digest(host: Column, path: Column) -> Column:
 
 def expressions(host: Column, path: Column, labels: Sequence[int], lengths: Sequence[int]) -> Column:
     """The digests of all pairs of a host suffix with so many labels and a path prefix of such a length."""
-    suffixes = F.array_distinct(F.transform(F.array(*map(F.lit, labels)), lambda n: F.substring_index(host, ".", -n)))
+    suffixes = F.array_distinct(F.transform(F.array(*map(F.lit, labels)), lambda n: F.call_function("substring_index", host, F.lit("."), -n)))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: F.length(path) >= n), lambda n: F.substring(path, F.lit(1), n))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: _digest(s, p))))
 
