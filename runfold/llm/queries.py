@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runfold.llm import bpe, langid, secrets, urls
+from runfold.llm import bpe, langid, secrets, sharding, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, texts included, shuffled uniformly into 16 shards of exact sizes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.digest(sharding.shuffle(docs, 16))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's BPE ids, by tree concatenation where the text has no cut, and what they decode to."""
     return bpe.decode(bpe.encode(table(spark, sf_dir, "documents")), digest=True)
@@ -31,6 +37,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("_held", "held_out")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash, its edited text's, and how near they and the next document's are."""
+    return simhash.edited(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: the base patterns, and what the Markov models take for random strings."""
     docs = table(spark, sf_dir, "documents")
@@ -38,9 +49,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
     "op5_bpe": op5_bpe,
     "op6_url_filter": op6_url_filter,
     "op7_language_id": op7_language_id,
+    "op8_simhash": op8_simhash,
     "op10_secrets": op10_secrets,
 }
 
