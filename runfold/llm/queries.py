@@ -5,20 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runfold.llm import bpe, langid, secrets, sharding, simhash, urls
+from runfold.llm import bpe, forest, langid, mixing, ngram_join, secrets, sharding, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component under links of Jaccard 0.9 or more between sets of three-word shingles."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, texts included, shuffled uniformly into 16 shards of exact sizes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.digest(sharding.shuffle(docs, 16))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell, its probability under raked weights, and whether it was drawn."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return mixed.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_kept").alias("kept"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's BPE ids, by tree concatenation where the text has no cut, and what they decode to."""
     return bpe.decode(bpe.encode(table(spark, sf_dir, "documents")), digest=True)
@@ -42,6 +54,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of each hundredth vector, by a hash-prefix forest."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return forest.search(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: the base patterns, and what the Markov models take for random strings."""
     docs = table(spark, sf_dir, "documents")
@@ -49,11 +67,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
+    "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op6_url_filter": op6_url_filter,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
+    "op9_neighbours": op9_neighbours,
     "op10_secrets": op10_secrets,
 }
 
