@@ -125,46 +125,47 @@ def bpe(path: str, leaf: int = LEAF) -> Bpe:
     return Bpe(path, leaf)
 
 
-def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, leaf: int = LEAF) -> DataFrame:
-    """The ``keep`` columns with ``ids`` of every row's whole text."""
-    where = path or tokenizer_path()
+def _rows(df: DataFrame, column: str, keep: tuple[str, ...], made: list[pa.Field], schema: str, path: str, leaf: int, each) -> DataFrame:
+    """The ``keep`` columns with what ``each`` (model, column) gives for some rows of ``column``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe(where, leaf)
+        model = bpe(path, leaf)
         for b in texts(batches, 128):
-            ids = pa.array([model.encode(t) for t in b.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), ids], names=[*(f"_{i}" for i in range(b.num_columns - 1)), "ids"])
+            new = [pa.array(v, f.type) for v, f in zip(each(model, b.column(0)), made)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), *new], names=[*(f"_{i}" for i in range(len(keep))), *(f.name for f in made)])
 
-    inner = docs.select(F.col(text).alias("_text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
-    schema = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", ids array<int>"
-    return inner.mapInArrow(run, schema).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "ids")
+    inner = df.select(F.col(column).alias("_in"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
+    own = [f"_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    return inner.mapInArrow(run, ", ".join([*own, schema])).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), *(f.name for f in made))
 
 
-def decode(encoded: DataFrame, *, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, digest: bool = False) -> DataFrame:
-    """The ``keep`` columns with ``decoded``, the text of every row's ids; with ``digest`` instead ``n_tokens``,
-    ``ids_sha256`` (of the ids as little-endian unsigned 32-bit integers) and ``decoded_sha256`` (of the text)."""
-    where = path or tokenizer_path()
-    more = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["decoded"]
+def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """The ``keep`` columns with ``ids`` of every row's whole text."""
+    made = [pa.field("ids", pa.list_(pa.int32()))]
+    return _rows(docs, text, keep, made, "ids array<int>", path or tokenizer_path(), leaf, lambda model, col: [[model.encode(t) for t in col.to_pylist()]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe(where)
-        for b in texts(batches, 128):
-            cols: list[list] = [[], [], []]
-            for i in range(b.num_rows):
-                own = b.column(0)[i].values
-                arr = own.to_numpy(zero_copy_only=False).astype("<u4") if own is not None else np.zeros(0, "<u4")
-                out = model.decode(arr.tolist())
-                if digest:
-                    for c, v in zip(cols, (len(arr), sha256(arr.tobytes()).hexdigest(), sha256(out.encode("utf-8", "surrogatepass")).hexdigest())):
-                        c.append(v)
-                else:
-                    cols[0].append(out)
-            made = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())] if digest else [pa.array(cols[0], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), *made], names=[*(f"_{i}" for i in range(b.num_columns - 1)), *more])
-
-    inner = encoded.select(F.col(ids).alias("_ids"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
-    schema = ", ".join(f"_{i} {encoded.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + (", n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else ", decoded string")
-    return inner.mapInArrow(run, schema).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), *more)
-
-
-__all__ = ["Bpe", "bpe", "decode", "encode"]
+
+def decode(encoded: DataFrame, *, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
+    """The ``keep`` columns with ``decoded``, the text of every row's ids."""
+    made = [pa.field("decoded", pa.string())]
+    return _rows(encoded, ids, keep, made, "decoded string", path or tokenizer_path(), LEAF, lambda model, col: [[model.decode(x or []) for x in col.to_pylist()]])
+
+
+def round_trip(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """Encodes every row's whole text and decodes the ids again, in one pass: the ``keep`` columns with ``n_tokens``,
+    ``ids_sha256`` (of the ids as little-endian unsigned 32-bit integers) and ``decoded_sha256`` (of the decoded text)."""
+    made = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
+
+    def each(model: Bpe, col: pa.Array) -> list[list]:
+        out: list[list] = [[], [], []]
+        for t in col.to_pylist():
+            ids = model.encode(t)
+            back = model.decode(ids).encode("utf-8", "surrogatepass")
+            for o, v in zip(out, (len(ids), sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), sha256(back).hexdigest())):
+                o.append(v)
+        return out
+
+    return _rows(docs, text, keep, made, "n_tokens long, ids_sha256 string, decoded_sha256 string", path or tokenizer_path(), leaf, each)
+
+
+__all__ = ["Bpe", "bpe", "decode", "encode", "round_trip"]

@@ -33,7 +33,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's BPE ids, by tree concatenation where the text has no cut, and what they decode to."""
-    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents")), digest=True)
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
