@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runfold.llm import bpe, forest, langid, mixing, ngram_join, secrets, sharding, simhash, urls
+from runfold.llm import bpe, forest, gru_lm, langid, mixing, ngram_join, secrets, sharding, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shuffle(docs, 16))
 
 
+def op3_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-likelihood under the recurrent model and under add-one counts."""
+    return gru_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell, its probability under raked weights, and whether it was drawn."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
@@ -69,6 +74,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
+    "op3_gru_lm": op3_gru_lm,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op6_url_filter": op6_url_filter,
