@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,3 +87,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+def sampled(rows: DataFrame, most: int, *by: str, seed: int = 0) -> DataFrame:
+    """About ``most`` of the different rows, chosen by a hash of the columns ``by``: the same ones at each run. Equal
+    rows are chosen together. All rows if there are no more than ``most``."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(1 << 40)) < F.lit(int((1 << 40) * most / n)))

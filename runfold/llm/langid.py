@@ -6,7 +6,7 @@ is the sum, over the document's profile, of how far each n-gram is from its plac
 profile's length if it is not there. The nearest language wins; equal distances go to the language with more training
 text, then to the smaller name. The score is one less the distance as a part of the greatest possible one.
 
-Training reads at most ``sample`` labelled documents, chosen by a hash of their key; prediction reads every whole text.
+Training reads about ``sample`` labelled documents, however many there are, chosen by a hash; prediction reads every whole text.
 A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runfold.llm._common import texts
+from runfold.llm._common import sampled, texts
 
 SIZE, SAMPLE = 400, 20_000
 #: Code of the border; a letter's code is its code point, which is larger.
@@ -73,15 +73,10 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, size: int = SIZE, seed: int = 7) -> list[tuple[str, np.ndarray]]:
-    """Each language with its profile, the language with most text first. Bounded: ``size`` n-grams for each language
-    among ``sample`` documents."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.lit(seed)).alias("at"))
-    labelled = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    # only the hashes are sorted; then the texts of those up to the last one are read
-    cut = labelled.select("at").orderBy("at").limit(sample).agg(F.max("at")).first()[0]
-    if cut is None:
-        return []
-    chosen = labelled.where(F.col("at") <= F.lit(cut)).select("text", "lang")
+    """Each language with its profile, the language with most text first. ``size`` n-grams
+    for each language among about ``sample`` documents come to the driver."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    chosen = sampled(rows, sample, "key", "text", seed=seed).select("text", "lang")
     counts = chosen.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     found: dict[str, list] = {}

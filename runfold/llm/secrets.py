@@ -3,7 +3,7 @@
 The patterns give the base spans. For every other run of token characters the log-likelihood ratio of two first-order
 Markov models, one of random strings and one of ordinary identifiers, decides. Both are trained from labelled samples:
 the values that the patterns find are samples of random strings, the words and identifiers beside them are samples of
-ordinary ones. Training reads a bounded number of documents (``sample``); the scan reads every whole text.
+ordinary ones. Training reads about ``sample`` documents, however many there are; the scan reads every whole text.
 
 A null or empty text has no spans. Equal texts have equal spans. Tables without any row or without any sample give
 models that know nothing, under which no ratio is high enough.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runfold.llm._common import texts
+from runfold.llm._common import sampled, texts
 
 #: The patterns of the base spans.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -74,10 +74,9 @@ def sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, seed: int = 11) -> np.ndarray:
-    """The log-likelihood ratio of each character pair, from at most ``sample`` documents chosen by a hash of their key."""
-    rows = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit(seed)).alias("at"))
-    chosen = rows.orderBy("at").limit(sample) if sample < 2**31 else rows
-    got = chosen.select("text").mapInArrow(sample_counts, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect()
+    """The log-likelihood ratio of each character pair, from about ``sample`` documents chosen by a hash."""
+    rows = sampled(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), sample, "key", "text", seed=seed)
+    got = rows.select("text").mapInArrow(sample_counts, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((2, SYMBOLS, SYMBOLS))
     for r in got:  # two labels, 128 x 128 cells at most
         counts[r.label].flat[r.cell] = r.n
