@@ -53,7 +53,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, kept for words seen before; the memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -76,6 +76,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python few at a time: at most so many rows and bytes in an Arrow batch, unless the session says
+    otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def texts(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[pa.RecordBatch]:
     """Smaller slices of the Arrow batches, so that few whole texts are in Python at a time."""
     for b in batches:

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runfold.llm._common import texts, tokenizer_path
+from runfold.llm._common import small_batches, texts, tokenizer_path
 
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -134,6 +134,7 @@ def _rows(df: DataFrame, column: str, keep: tuple[str, ...], made: list[pa.Field
             new = [pa.array(v, f.type) for v, f in zip(each(model, b.column(0)), made)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), *new], names=[*(f"_{i}" for i in range(len(keep))), *(f.name for f in made)])
 
+    small_batches(df.sparkSession)
     inner = df.select(F.col(column).alias("_in"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
     own = [f"_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
     return inner.mapInArrow(run, ", ".join([*own, schema])).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), *(f.name for f in made))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runfold.llm._common import Tables, texts, words
+from runfold.llm._common import Tables, small_batches, texts, words
 
 #: Tokens that are sent to every task with their counts; those of them that are classes of their own; classes by spelling.
 HEAD, SINGLE, SPELLED = 1 << 16, 95, 64
@@ -211,7 +211,7 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column(0).to_pylist():
             counts.update(words(text))
             counts[END] += 1
-        if len(counts) > 400_000:
+        if len(counts) > 200_000:
             yield out()
             counts.clear()
     yield out()
@@ -274,6 +274,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     """Every row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, as the contract of the query
     says; learned from the rows that aren't held out."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     tables = Tables(spark, "lm")
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), held_out(key).alias("held"))
     training = rows.where("NOT held")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runfold.llm._common import sampled, texts
+from runfold.llm._common import sampled, small_batches, texts
 
 SIZE, SAMPLE = 400, 20_000
 #: Code of the border; a letter's code is its code point, which is larger.
@@ -75,6 +75,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, size: int = SIZE, seed: int = 7) -> list[tuple[str, np.ndarray]]:
     """Each language with its profile, the language with most text first. ``size`` n-grams
     for each language among about ``sample`` documents come to the driver."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     chosen = sampled(rows, sample, "key", "text", seed=seed).select("text", "lang")
     counts = chosen.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -111,6 +112,7 @@ class Ranker:
 
 def predict(docs: DataFrame, profiles: list[tuple[str, np.ndarray]], *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with ``lang_pred`` and ``score`` of every row; only the text is looked at."""
+    small_batches(docs.sparkSession)
     inner = docs.select(F.col(text).alias("_text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runfold.llm._common import Tables, WordHashes, mix, texts, words
+from runfold.llm._common import Tables, WordHashes, mix, small_batches, texts, words
 
 #: A shingle of more sets than this is frequent; of 16 times as many, very frequent.
 RARE = 16
@@ -42,6 +42,8 @@ SMALL = 16
 #: Classes and bytes of sets in a block of a cluster.
 BLOCK_CLASSES, BLOCK_BYTES = 2048, 16 << 20
 ONE, PAIR = 0, 1
+#: Shingles that a task counts at a time.
+COUNTED = 4_000_000
 #: Sets of fewer shingles are indexed singly, those that may link with one in both ways.
 SHORT = 24
 
@@ -147,11 +149,14 @@ def count_often(width: int):
     """(shingle, sets) for shingles that stand in two or more different sets of a task: what is frequent in all shows there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, seen = WordHashes(), [], 0, set()
+        hashes, held, size, seen = WordHashes(), np.empty(COUNTED, np.uint64), 0, set()
 
-        def out():
-            u, n = np.unique(np.concatenate(held), return_counts=True)
-            u, n = u[n > 1], n[n > 1]
+        def out() -> pa.RecordBatch:
+            a = held[:size]
+            a.sort()
+            first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if size else np.zeros(0, np.int64)
+            n = np.diff(first, append=size)
+            u, n = a[first[n > 1]], n[n > 1]
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["shingle", "n"])
 
         for b in texts(batches):
@@ -159,13 +164,14 @@ def count_often(width: int):
                 own = shingles(text, width, hashes)
                 if len(own) and (key := key_of(own)) not in seen:
                     seen.add(key)
-                    held.append(own)
-                    size += len(own)
-                    if size > 4_000_000:
-                        yield out()
-                        held, size, seen = [], 0, set()
-        if held:
-            yield out()
+                    for at in range(0, len(own), COUNTED):
+                        part = own[at : at + COUNTED]
+                        if size + len(part) > COUNTED:
+                            yield out()
+                            size, seen = 0, set()
+                        held[size : size + len(part)] = part
+                        size += len(part)
+        yield out()
 
     return run
 
@@ -189,7 +195,7 @@ def index_texts(width: int, percent: int, sent):
                 docs.append((doc, key, len(own), bitmap(own, bits_of(len(own))).tobytes() if first else None))
                 if not first:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(key)
                 at = np.searchsorted(often_s, own)
@@ -329,7 +335,7 @@ def components(edges_: DataFrame, tables: Tables, name: str) -> DataFrame:
                 root.setdefault(y, y)
                 if x != y:
                     root[max(x, y)] = min(x, y)
-            if len(root) > 1_000_000:
+            if len(root) > 300_000:
                 yield out()
                 root.clear()
         yield out()
@@ -433,6 +439,7 @@ def verify(percent: int):
 def join(docs: DataFrame, *, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", rare: int = RARE) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links and equal sets) of every row."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     tables = Tables(spark, "ngram")
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runfold.llm._common import sampled, texts
+from runfold.llm._common import sampled, small_batches, texts
 
 #: The patterns of the base spans.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -75,6 +75,7 @@ def sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, seed: int = 11) -> np.ndarray:
     """The log-likelihood ratio of each character pair, from about ``sample`` documents chosen by a hash."""
+    small_batches(docs.sparkSession)
     rows = sampled(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), sample, "key", "text", seed=seed)
     got = rows.select("text").mapInArrow(sample_counts, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((2, SYMBOLS, SYMBOLS))
@@ -108,6 +109,7 @@ def spans_of(text: str, ratio: np.ndarray, least: float = LEAST, each: float = L
 def scan(docs: DataFrame, ratio: np.ndarray, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redact: str | None = None) -> DataFrame:
     """The ``keep`` columns with ``base`` and ``spans`` (arrays of kind, start, end in code points) of every row, and
     ``redacted``: the text with ``redact`` in place of each span (overlapping spans count as one), null without ``redact``."""
+    small_batches(docs.sparkSession)
     inner = docs.select(F.col(text).alias("_text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

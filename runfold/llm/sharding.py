@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runfold.llm._common import Tables
+from runfold.llm._common import Tables, small_batches
 
 SHARDS, BLOCK_ROWS = 16, 20_000
 
@@ -52,6 +52,7 @@ def labels(row: np.ndarray, part: int, seed: int) -> tuple[np.ndarray, np.ndarra
 def shuffle(df: DataFrame, shards: int = SHARDS, *, seed: int = 5, block_rows: int = BLOCK_ROWS, stable: bool = True) -> DataFrame:
     """The rows of ``df`` with ``shard`` and ``slot``, gapless from 0 in each shard."""
     spark = df.sparkSession
+    small_batches(df.sparkSession)
     df = df.drop("shard", "slot")
     if not stable:
         df = Tables(spark, "shards").keep(df, "rows")
