@@ -50,7 +50,7 @@ def read_status(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     JSON, 0-based) and reason: a bad file doesn't fail the job."""
     rows = parse(read_lines(spark, paths))
     out = rows.groupBy("path").agg(
-        F.count_if("NOT bad").alias("records"),
+        F.count_if(~F.col("bad")).alias("records"),
         F.coalesce(F.bool_or(F.col("bad") & ~F.col("terminated")), F.lit(False)).alias("trailing_partial"),
         F.min(F.when(F.col("bad") & F.col("terminated"), F.col("line"))).alias("error_line"),
         F.coalesce(F.bool_or(~F.col("bad") & (F.col("rec.kind") == "run-started")), F.lit(False)).alias("started"),
