@@ -42,6 +42,8 @@ SMALL = 16
 #: Classes and bytes of sets in a block of a cluster.
 BLOCK_CLASSES, BLOCK_BYTES = 2048, 16 << 20
 ONE, PAIR = 0, 1
+#: Bits of the filter of ids at most, as a power of two: 16 MB.
+MOST_FILTER = 27
 #: Shingles that a task counts at a time.
 COUNTED = 4_000_000
 #: Sets of fewer shingles are indexed singly, those that may link with one in both ways.
@@ -221,16 +223,43 @@ def index_texts(width: int, percent: int, sent):
     return run
 
 
-def sets_of(width: int):
-    """The whole set of each row whose text is of the row's class, beside the row's place among the blocks."""
+def places(docs: np.ndarray, bits: int) -> np.ndarray:
+    """Three bits of a filter for each id."""
+    h = mix(docs.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return np.stack([(h >> np.uint64(k)) & np.uint64(bits - 1) for k in (0, 18, 36)]).astype(np.int64)
+
+
+def filter_of(docs: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``doc`` as 64-bit words: 16 bits for each id, 2**MOST_FILTER bits at most. It only
+    spares work; what passes it wrongly falls out of the join after it."""
+    bits = 1 << min(MOST_FILTER, max(10, (16 * docs.count()).bit_length()))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(bits, dtype=bool)
+        for b in batches:
+            flags[places(b.column(0).to_numpy(zero_copy_only=False), bits).ravel()] = True
+        own = np.packbits(flags, bitorder="little").view(np.int64)
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], names=["at", "word"])
+
+    out = np.zeros(bits // 64, dtype=np.int64)
+    for r in docs.select("doc").mapInArrow(build, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect():
+        out[r["at"]] = r["word"]
+    return out
+
+
+def sets_of(width: int, sent):
+    """(class, doc, own): the whole sets of the rows whose id passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, words_ = WordHashes(), sent.value
         for b in texts(batches):
+            at = places(b.column(0).to_numpy(zero_copy_only=False), len(words_) * 64)
+            b = b.filter(pa.array((words_[at >> 6] >> (at & 63) & 1).all(0)))
             made = [shingles(t, width, hashes) for t in b.column(1).to_pylist()]
-            keep = pa.array([key_of(own) == c for own, c in zip(made, b.column(0).to_pylist())], pa.bool_())
-            b = pa.RecordBatch.from_arrays([b.column(0), *(b.column(i) for i in range(2, b.num_columns)), pa.array([own.tobytes() for own in made], pa.binary())], names=["class", "root", "block", "parts", "own"])
-            yield b.filter(keep)
+            full = [len(own) > 0 for own in made]
+            out = pa.RecordBatch.from_arrays([pa.array([key_of(own) for own in made], pa.int64()), b.column(0), pa.array([own.tobytes() for own in made], pa.binary())], names=["class", "doc", "own"])
+            yield out.filter(pa.array(full, pa.bool_()))
 
     return run
 
@@ -474,8 +503,9 @@ def join(docs: DataFrame, *, width: int = 5, percent: int = 80, key: str = "doc_
     sized = wanted.groupBy("root").agg(F.count("*").alias("classes"), (F.sum("n") * 8).alias("bytes"))
     parts = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     wanted = wanted.join(sized.select("root", parts.alias("parts")), "root").withColumn("block", F.pmod(F.xxhash64("class"), "parts").cast("int"))
-    bodies = rows.join(wanted.select("doc", "class", "root", "block", "parts"), "doc").select("class", "text", "root", "block", "parts")
-    sets = bodies.mapInArrow(sets_of(width), "class long, root long, block int, parts int, own binary")
+    wanted = tables.keep(wanted.where("doc IS NOT NULL").select("doc", "class", "root", "block", "parts"), "wanted")
+    sieve = spark.sparkContext.broadcast(filter_of(wanted))
+    sets = rows.where("doc IS NOT NULL").mapInArrow(sets_of(width, sieve), "class long, doc long, own binary").join(wanted, ["class", "doc"])
     placed = sets.select("root", "class", "own", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
     placed = placed.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class", "own")
     links = placed.groupBy("root", "i", "j").applyInArrow(verify(percent), "a long, b long")
