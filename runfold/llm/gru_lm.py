@@ -36,7 +36,9 @@ WINDOW, LANES = 32, 64
 #: Training sample: one document in so many, or so many documents at least.
 ONE_IN, LEAST_DOCS = 16, 2000
 ROUNDS, PART_DOCS = 3, 400
-SCORE_WINDOW, SCORE_LANES = 64, 256
+SCORE_WINDOW, SCORE_LANES = 32, 256
+#: Tokens of which a task holds the classes before it scores them together.
+SCORE_TOKENS = 2_000_000
 #: The end token. No word holds white space.
 END = b"\n"
 
@@ -81,15 +83,31 @@ class Gru:
         """The gates and the next state after classes x (CLASSES: a text's beginning)."""
         n = HIDDEN
         e = self.e[x]
-        zr = 1 / (1 + np.exp(-(e[:, : 2 * n] + h @ self.u[:, : 2 * n])))
+        zr, a = e[:, : 2 * n], e[:, 2 * n :]
+        zr += h @ self.u[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :n], zr[:, n:]
-        g = np.tanh(e[:, 2 * n :] + (r * h) @ self.u[:, 2 * n :])
-        return z, r, g, h + z * (g - h)
-
-    def log_classes(self, h: np.ndarray) -> np.ndarray:
-        y = h @ self.o + self.c
-        y -= y.max(-1, keepdims=True)
-        return y - np.log(np.exp(y).sum(-1, keepdims=True))
+        a += (r * h) @ self.u[:, 2 * n :]
+        g = np.tanh(a, out=a)
+        new = g - h
+        new *= z
+        new += h
+        return z, r, g, new
+
+    def log_chosen(self, h: np.ndarray, y: np.ndarray, grad: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """log P(class y | state h), rows of states; and with ``grad`` the probabilities of all classes."""
+        p = h @ self.o
+        p += self.c
+        p -= p.max(1, keepdims=True)
+        out = p[np.arange(len(y)), y]
+        np.exp(p, out=p)
+        total = p.sum(1)
+        if grad:
+            p /= total[:, None]
+        return out - np.log(total), p
 
     def learn(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """The gradient over one window (steps x lanes) that begins in state h, the state after it, and the loss."""
@@ -99,34 +117,42 @@ class Gru:
             z, r, g, new = self.step(x[t], h)
             kept.append((h, z, r, g))
             h = np.where(live[t][:, None], new, h)
-        hs = np.stack([k[0] for k in kept[1:]] + [h])
-        logp = self.log_classes(hs)
-        count = max(1, int(live.sum()))
-        d = np.exp(logp)
-        np.put_along_axis(d, y[..., None], np.take_along_axis(d, y[..., None], -1) - 1, -1)
-        d *= (live / count)[..., None].astype(np.float32)
-        loss = float(-(np.take_along_axis(logp, y[..., None], -1)[..., 0] * live).sum())
-        flat_d = d.reshape(-1, CLASSES)
-        grad.o[:] = hs.reshape(-1, n).T @ flat_d
-        grad.c[:] = flat_d.sum(0)
-        back = d @ self.o.T
+        hs = np.stack([k[0] for k in kept[1:]] + [h]).reshape(-1, n)
+        on, flat_y = live.ravel(), y.ravel()
+        logp, d = self.log_chosen(hs, flat_y, grad=True)
+        loss = float(-(logp * on).sum())
+        d[np.arange(len(d)), flat_y] -= 1
+        d *= (on / max(1, int(on.sum())))[:, None].astype(d.dtype)
+        grad.o[:] = hs.T @ d
+        grad.c[:] = d.sum(0)
+        back = (d @ self.o.T).reshape(steps, -1, n)
         carry = np.zeros_like(h)
-        gates = np.zeros((steps, len(h), 3 * n), np.float32)
+        gates = np.zeros((steps, len(h), 3 * n), h.dtype)
+        ua, uzr = self.u[:, 2 * n :].T.copy(), self.u[:, : 2 * n].T.copy()
+        befores, reads = np.stack([k[0] for k in kept]), np.stack([k[2] * k[0] for k in kept])
         for t in reversed(range(steps)):
             before, z, r, g = kept[t]
-            dh = carry + back[t]
-            on = live[t][:, None]
-            dn = np.where(on, dh, 0)
+            dh = carry
+            dh += back[t]
+            dn = dh * live[t][:, None]
             da = dn * z * (1 - g * g)
-            drh = da @ self.u[:, 2 * n :].T
-            dz = dn * (g - before) * z * (1 - z)
-            dr = drh * before * r * (1 - r)
-            dzr = np.concatenate([dz, dr], 1)
-            gates[t] = np.concatenate([dzr, da], 1)
-            grad.u[:, : 2 * n] += before.T @ dzr
-            grad.u[:, 2 * n :] += (r * before).T @ da
-            carry = np.where(on, dn * (1 - z) + drh * r + dzr @ self.u[:, : 2 * n].T, carry)
-        np.add.at(grad.e, x.ravel(), gates.reshape(-1, 3 * n))
+            drh = da @ ua
+            own = gates[t]
+            own[:, :n] = dn * (g - before) * z * (1 - z)
+            own[:, n : 2 * n] = drh * before * r * (1 - r)
+            own[:, 2 * n :] = da
+            carry = dn * (1 - z)
+            carry += drh * r
+            carry += own[:, : 2 * n] @ uzr
+            if not live[t].all():
+                carry = np.where(live[t][:, None], carry, dh)
+        rows = gates.reshape(-1, 3 * n)
+        grad.u[:, : 2 * n] = befores.reshape(-1, n).T @ rows[:, : 2 * n]
+        grad.u[:, 2 * n :] = reads.reshape(-1, n).T @ rows[:, 2 * n :]
+        order = np.argsort(x, axis=None, kind="stable")
+        at = x.ravel()[order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        grad.e[at[first]] = np.add.reduceat(rows[order], first, axis=0)
         return grad.flat, h, loss
 
 
@@ -141,6 +167,11 @@ def fit(flat: np.ndarray, docs: list[np.ndarray], seed: int, rate: float) -> tup
     place = [0] * lanes
     h = np.zeros((lanes, HIDDEN), np.float32)
     while True:
+        if at == len(order):  # lanes without a document are closed
+            busy = [k for k in range(lanes) if doc[k] is not None]
+            doc, place, h, lanes = [doc[k] for k in busy], [place[k] for k in busy], h[busy], len(busy)
+            if not lanes:
+                return model.flat, seen
         x = np.full((WINDOW, lanes), CLASSES)
         y, live = np.zeros((WINDOW, lanes), np.int64), np.zeros((WINDOW, lanes), bool)
         for k in range(lanes):
@@ -156,8 +187,6 @@ def fit(flat: np.ndarray, docs: list[np.ndarray], seed: int, rate: float) -> tup
                 place[k] += WINDOW
                 if place[k] >= len(doc[k]):
                     doc[k] = None
-        if not live.any():
-            return model.flat, seen
         grad, h, _ = model.learn(x, y, live, h)
         norm = float(np.sqrt((grad * grad).sum()))
         grad *= min(1.0, 1.0 / (norm + 1e-9))
@@ -169,32 +198,36 @@ def fit(flat: np.ndarray, docs: list[np.ndarray], seed: int, rate: float) -> tup
 
 
 def log_likelihoods(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
-    """The sum of log10 P(class | state) over each document, window by window with the state carried over."""
-    out, order = np.zeros(len(docs)), sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    for a in range(0, len(order), SCORE_LANES):
-        lot = order[a : a + SCORE_LANES]
-        own = [docs[i] for i in lot]
-        h, last = np.zeros((len(lot), HIDDEN), np.float32), np.full(len(lot), CLASSES)
-        lengths = np.array([len(d) for d in own])
-        sums = np.zeros(len(lot))
-        for start in range(0, int(lengths[0]), SCORE_WINDOW):
-            n = int((lengths > start).sum())  # the longest come first
-            steps = min(SCORE_WINDOW, int(lengths[0]) - start)
-            y = np.zeros((steps, n), np.int64)
-            for k in range(n):
-                part = own[k][start : start + steps]
-                y[: len(part), k] = part
-            hs = np.zeros((steps, n, HIDDEN), np.float32)
-            h, last = h[:n], last[:n]
-            for t in range(steps):
-                m = int((lengths[:n] > start + t).sum())
-                h[:m] = model.step(last[:m], h[:m])[3]
-                hs[t, :m] = h[:m]
-                last[:m] = y[t, :m]
-            live = (start + np.arange(steps))[:, None] < lengths[None, :n]
-            sums[:n] += np.where(live, np.take_along_axis(model.log_classes(hs), y[..., None], -1)[..., 0], 0).sum(0, dtype=np.float64)
-        out[lot] = sums / np.log(10)
-    return out
+    """The sum of log10 P(class | state) over each document. Lanes hold one document after another, the longest first; a
+    lane's state is carried from window to window until its document ends."""
+    out, order, at = np.zeros(len(docs)), sorted(range(len(docs)), key=lambda i: -len(docs[i])), 0
+    lanes: list[list[int]] = []  # document, place
+    h, last = np.zeros((0, HIDDEN), np.float32), np.zeros(0, np.int64)
+    while True:
+        busy = [k for k, (i, place) in enumerate(lanes) if place < len(docs[i])]
+        lanes, h, last = [lanes[k] for k in busy], h[busy], last[busy]
+        new = order[at : at + SCORE_LANES - len(lanes)]
+        if new:
+            at += len(new)
+            lanes += [[i, 0] for i in new]
+            h, last = np.concatenate([h, np.zeros((len(new), HIDDEN), np.float32)]), np.concatenate([last, np.full(len(new), CLASSES)])
+        if not lanes:
+            return out / np.log(10)
+        steps = min(SCORE_WINDOW, max(len(docs[i]) - place for i, place in lanes))
+        y, live = np.zeros((steps, len(lanes)), np.int64), np.zeros((steps, len(lanes)), bool)
+        for k, lane in enumerate(lanes):
+            part = docs[lane[0]][lane[1] : lane[1] + steps]
+            y[: len(part), k], live[: len(part), k] = part, True
+            lane[1] += steps
+        hs = np.empty((steps, len(lanes), HIDDEN), np.float32)
+        for t in range(steps):
+            h = hs[t] = model.step(last, h)[3]
+            last = y[t]
+        sums = np.zeros(len(lanes))
+        for t in range(0, steps, 8):  # so that the classes' logits of a block stay in the cache
+            logp = model.log_chosen(hs[t : t + 8].reshape(-1, HIDDEN), y[t : t + 8].ravel())[0].reshape(-1, len(lanes))
+            sums += np.where(live[t : t + 8], logp, 0).sum(0, dtype=np.float64)
+        out[[lane[0] for lane in lanes]] += sums
 
 
 # ---- passes over the corpus ---------------------------------------------------------------------------------------
@@ -217,16 +250,30 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-class Head:
-    """The most frequent tokens: classes of their own first, then others with their counts; 0 is the class of the end."""
+class Head(dict):
+    """word -> place among the most frequent tokens, -1 for others. The end is class 0, the first SINGLE others are
+    classes of their own, the rest are classed by their spelling."""
 
     def __init__(self, ranked: list[tuple[bytes, int]]):
-        self.ids = {END: 0} | {w: i + 1 for i, (w, _) in enumerate([r for r in ranked if r[0] != END][:SINGLE])}
+        super().__init__((w, i) for i, (w, _) in enumerate(ranked))
         self.count = dict(ranked)
-        self.get = self.ids.get
+        self.ids = {END: 0} | {w: i + 1 for i, (w, _) in enumerate([r for r in ranked if r[0] != END][:SINGLE])}
+        self.logs = np.log10(np.array([n for _, n in ranked] + [0]) + 1.0)
+        self.kind = np.array([self.ids.get(w, spelled(w)) for w, _ in ranked] + [0], dtype=np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+    def places(self, ws: list[bytes]) -> np.ndarray:
+        """Places of the words and the end."""
+        return np.fromiter(map(self.__getitem__, [*ws, END]), dtype=np.int64, count=len(ws) + 1)
 
-    def classes(self, ws: list[bytes]) -> np.ndarray:
-        return np.array([i if (i := self.get(w)) is not None else spelled(w) for w in ws] + [0], dtype=np.int64)
+    def classes(self, ws: list[bytes], places: np.ndarray | None = None) -> np.ndarray:
+        places = self.places(ws) if places is None else places
+        out = self.kind[places]
+        for i in np.flatnonzero(places[:-1] < 0).tolist():
+            out[i] = spelled(ws[i])
+        return out
 
 
 def sample_classes(sent):
@@ -263,7 +310,7 @@ def train(docs: DataFrame, head: Head, freq: np.ndarray, n_docs: int, *, key: st
     sample = tables.keep(chosen.select(lot.alias("part"), F.col(text).alias("text")).mapInArrow(sample_classes(sent), "part int, classes binary"), "sample")
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast(flat)
-        got = sample.groupBy("part").applyInArrow(train_part(now, seed + k, 0.02 / (1 + k)), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+        got = sample.repartition(parts, "part").groupBy("part").applyInArrow(train_part(now, seed + k, 0.02 / (1 + k)), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
         sums = {r["at"]: r["v"] for r in got}  # as many rows as weights
         if sums.get(-1):
             flat = np.array([sums[i] / sums[-1] for i in range(len(flat))], dtype=np.float32)
@@ -294,22 +341,39 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked_, flat_, logs = sent.value
         head_, model = Head(ranked_), Gru(flat_)
-        logc = {w: float(np.log10(n + 1)) for w, n in ranked_}
+        names = ["doc", "held", "n_tokens", "known", "sums", "inside", "tail", "times"]
+        kinds_ = [None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+        rows_: list[list] = []
+        classes: list[np.ndarray] = []
+        ids: list[pa.Array] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for row, like in zip(rows_, log_likelihoods(model, classes)):
+                row[4] += float(like)
+            keys = pa.concat_arrays(ids)
+            for k in range(0, len(rows_), 256):
+                cols = list(zip(*rows_[k : k + 256]))
+                yield pa.RecordBatch.from_arrays([keys.slice(k, 256), *(pa.array(c, t) for c, t in zip(cols, kinds_[1:]))], names=names)
+            for held_back in (rows_, classes, ids):
+                held_back.clear()
+
+        size = 0
         for b in texts(batches):
-            lists = [words(t) for t in b.column(1).to_pylist()]
-            classes = [head_.classes(ws) for ws in lists]
-            ll = log_likelihoods(model, classes)
-            tails, times, known, sums, inside = [], [], [], [], []
-            for ws, cl, like in zip(lists, classes, ll):
-                near = [logc.get(w) for w in ws]
-                rare = Counter([w for w, x in zip(ws, near) if x is None])
-                tails.append(list(rare))
-                times.append(list(rare.values()))
-                known.append(len(ws) - sum(rare.values()) + (END in logc))
-                common = np.array([0.0 if x is None else x for x in near] + [logc.get(END, 0.0)])
-                sums.append(float(common.sum()))
-                inside.append(float(like + common[cl > SINGLE].sum() - logs[cl].sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(c) for c in classes], pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(inside, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))], names=["doc", "held", "n_tokens", "known", "sums", "inside", "tail", "times"])
+            ids.append(b.column(0))
+            for text, held in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                ws = words(text)
+                at = head_.places(ws)
+                cl = head_.classes(ws, at)
+                rare = Counter([ws[i] for i in np.flatnonzero(at[:-1] < 0).tolist()])
+                common = head_.logs[at]
+                rows_.append([held, len(at), int((at >= 0).sum()), float(common.sum()), float(common[cl > SINGLE].sum() - logs[cl].sum()), list(rare), list(rare.values())])
+                classes.append(cl.astype(np.uint8))
+                size += len(at)
+            if size > SCORE_TOKENS:
+                yield from out()
+                size = 0
+        if rows_:
+            yield from out()
 
     kind = docs.schema[key].dataType.simpleString()
     scored = rows.select("doc", "text", "held").mapInArrow(run, f"doc {kind}, held boolean, n_tokens long, known long, sums double, inside double, tail array<binary>, times array<int>")
