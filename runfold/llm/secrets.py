@@ -28,7 +28,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-WORD = re.compile(r"[A-Za-z0-9_-]{6,}")
+#: Samples of ordinary strings; longer ones could be the secrets that are looked for.
+WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9_-]{6,19}(?![A-Za-z0-9+/_=-])")
 KINDS = ("assign", "access", "hex", "random")
 #: A run is taken for random if the ratio is at least so many nats in all and for each character.
 LEAST, LEAST_EACH = 8.0, 0.6
