@@ -36,6 +36,7 @@ class Tables:
         path = f"{self.root}/{name}"
         out = df.write.option("compression", "zstd")
         (out.partitionBy(*by) if by else out).parquet(path)
+        self.spark.sparkContext._jvm.System.gc()  # Spark frees the shuffle files of plans that are garbage
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -147,8 +147,10 @@ def signatures(own: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.nda
 # ---- passes over the texts ----------------------------------------------------------------------------------------
 
 
-def count_often(width: int):
-    """(shingle, sets) for shingles that stand in two or more different sets of a task: what is frequent in all shows there."""
+def count_often(width: int, percent: int):
+    """(shingle, sets) of a task: all shingles with hashes so low that prefixes of rare shingles reach them, so their sums
+    are exact; and of the others those of two or more sets, of which what is frequent in all has some."""
+    low = np.uint64(int(2**64 * min(0.99, 1.25 * (100 - percent) / 100 + 0.02)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size, seen = WordHashes(), np.empty(COUNTED, np.uint64), 0, set()
@@ -158,7 +160,8 @@ def count_often(width: int):
             a.sort()
             first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if size else np.zeros(0, np.int64)
             n = np.diff(first, append=size)
-            u, n = a[first[n > 1]], n[n > 1]
+            keep = (n > 1) | (a[first] < low)
+            u, n = a[first[keep]], n[keep]
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["shingle", "n"])
 
         for b in texts(batches):
@@ -473,7 +476,7 @@ def join(docs: DataFrame, *, width: int = 5, percent: int = 80, key: str = "doc_
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
 
     # frequent shingles: a table of bounded size
-    often = tables.keep(rows.select("text").mapInArrow(count_often(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > rare), "often")
+    often = tables.keep(rows.select("text").mapInArrow(count_often(width, percent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > rare), "often")
     most = rare
     while (n := often.where(F.col("n") > most).count()) > MOST_FREQUENT:
         most *= 2
@@ -491,6 +494,7 @@ def join(docs: DataFrame, *, width: int = 5, percent: int = 80, key: str = "doc_
     # candidates
     sorted_ = keyed.repartition("key").sortWithinPartitions("key")
     pairs = tables.keep(sorted_.mapInArrow(runs_of(percent), "a long, b long, kind int").groupBy("a", "b").agg(F.count("*").alias("hits"), F.max("kind").alias("kind")), "pairs")
+    tables.drop("index/what=1")
     maps = own.where("bits IS NOT NULL").groupBy("class").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
     weak = pairs.where("kind = 1 OR (kind = 0 AND hits > 1)").select("a", "b")
     ends = [maps.select(F.col("class").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"bits{e}")) for e in "ab"]
