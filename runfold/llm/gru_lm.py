@@ -327,7 +327,14 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     training = rows.where("NOT held")
     counts = tables.keep(training.select("text").mapInArrow(count_tokens, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ranked = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    step = F.floor(F.log2("n") * 16)  # counts by sixteenths of powers of two: a thousand steps at most
+    cut, room = 1 << 20, HEAD
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
+        if r.words > room:
+            break
+        cut, room = r.step, room - r.words
+    most = counts.where((step >= cut) | (F.col("word") == F.lit(END))).collect()  # HEAD words and the end at most
+    ranked = sorted(((bytes(r.word), r.n) for r in most), key=lambda r: (-r[1], r[0]))
     head = Head(ranked)
     single = [w for w in head.ids if w in head.count]
     by_class = counts.where(~F.col("word").isin(single)) if single else counts
@@ -379,8 +386,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     scored = rows.select("doc", "text", "held").mapInArrow(run, f"doc {kind}, held boolean, n_tokens long, known long, sums double, inside double, tail array<binary>, times array<int>")
     scored = tables.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
-    rest = counts.where(F.col("n") <= ranked[-1][1]) if ranked else counts
-    met = tail.join(rest.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum("times").alias("n"), F.sum(F.log10(F.col("n") + 1) * F.col("times")).alias("s"))
+    met = tail.join(counts.where(step < cut).hint("shuffle_hash"), "word").groupBy("row").agg(F.sum("times").alias("n"), F.sum(F.log10(F.col("n") + 1) * F.col("times")).alias("s"))
     out = scored.drop("tail", "times").join(met, "row", "left")
     s, n = F.coalesce("s", F.lit(0.0)), F.coalesce("n", F.lit(0)).cast("long")
     return out.select(F.col("doc").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + n).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("sums") + s - F.col("n_tokens") * float(np.log10(total + kinds + 1))).alias("base_score"), (F.col("inside") + s).alias("score"))
