@@ -8,9 +8,10 @@ probabilities of a class's known tokens and its unknown one add up to 1.
 
 Counts cover all training tokens and are joined, not broadcast; only the ``HEAD`` most frequent tokens, and the classes'
 totals, are sent to every task. The recurrent weights are trained by truncated backpropagation (windows of ``WINDOW``
-tokens, the state carried over from window to window) on a fixed share of the training documents, in parallel on parts
-of that sample, and averaged over the parts after each round; the sample grows with the input. Scoring reads every whole
-text, in windows, and carries the state across them, so a text of any length needs the memory of one window.
+tokens, the state carried over from window to window) on every training document, in parallel on parts of them. There
+are ``ROUNDS`` rounds, each on its own parts, and the weights are averaged over a round's parts after it. A small table's
+rounds are on all its parts, again and again. Texts are cut into tokens once, and training and scoring read their classes.
+Scoring reads every whole text, in windows, and carries the state across them.
 
 A null or empty text is its end token alone. Repeated rows are trained on and scored as rows like others. Without any
 training document nothing is known: the base score is 0 and classes are equally likely.
@@ -33,9 +34,11 @@ from runfold.llm._common import Tables, small_batches, texts, words
 HEAD, SINGLE, SPELLED = 1 << 16, 95, 64
 CLASSES, HIDDEN = 1 + SINGLE + SPELLED, 24
 WINDOW, LANES = 32, 64
-#: Training sample: one document in so many, or so many documents at least.
-ONE_IN, LEAST_DOCS = 16, 2000
-ROUNDS, PART_DOCS = 3, 400
+#: Rounds of training, and documents in a part. Up to LEAST_DOCS documents, each round learns from all of them; from more,
+#: each from its share, so that every document is learned from once.
+ROUNDS, PART_DOCS, LEAST_DOCS = 3, 400, 2000
+#: Parts that one task trains on, one after another.
+TASK_PARTS = 4
 SCORE_WINDOW, SCORE_LANES = 32, 256
 #: Tokens of which a task holds the classes before it scores them together.
 SCORE_TOKENS = 2_000_000
@@ -72,6 +75,7 @@ class Gru:
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
+        self.oc = flat[-(HIDDEN + 1) * CLASSES :].reshape(HIDDEN + 1, CLASSES)  # o and c
 
     @classmethod
     def start(cls, freq: np.ndarray, seed: int) -> np.ndarray:
@@ -79,81 +83,86 @@ class Gru:
         cls(flat).c[:] = np.log(freq + 1e-4)
         return flat
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The gates and the next state after classes x (CLASSES: a text's beginning)."""
+    def read(self, x: np.ndarray) -> np.ndarray:
+        """What classes x (steps x lanes; CLASSES: a text's beginning) add to the gates: steps x gates x lanes."""
+        return np.ascontiguousarray(self.e[x].transpose(0, 2, 1))
+
+    def step(self, e: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
+        """The next state (units x lanes) after reading e, in which the gates are left. Lanes that aren't live keep theirs."""
         n = HIDDEN
-        e = self.e[x]
-        zr, a = e[:, : 2 * n], e[:, 2 * n :]
-        zr += h @ self.u[:, : 2 * n]
+        zr, a = e[: 2 * n], e[2 * n :]
+        zr += self.u[:, : 2 * n].T @ h
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :n], zr[:, n:]
-        a += (r * h) @ self.u[:, 2 * n :]
-        g = np.tanh(a, out=a)
-        new = g - h
+        z, r = zr[:n], zr[n:]
+        if live is not None:
+            z *= live
+        a += self.u[:, 2 * n :].T @ (r * h)
+        np.tanh(a, out=a)
+        new = a - h
         new *= z
         new += h
-        return z, r, g, new
-
-    def log_chosen(self, h: np.ndarray, y: np.ndarray, grad: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """log P(class y | state h), rows of states; and with ``grad`` the probabilities of all classes."""
-        p = h @ self.o
-        p += self.c
-        p -= p.max(1, keepdims=True)
-        out = p[np.arange(len(y)), y]
+        return new
+
+    def log_chosen(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log P(class y | state h), columns of states that end in a 1; and of all classes what is in proportion to their
+        probabilities, and its sums."""
+        p = self.oc.T @ h
+        p -= p.max(0)
+        out = p[y, np.arange(len(y))]
         np.exp(p, out=p)
-        total = p.sum(1)
-        if grad:
-            p /= total[:, None]
-        return out - np.log(total), p
+        total = p.sum(0)
+        return out - np.log(total), p, total
 
     def learn(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """The gradient over one window (steps x lanes) that begins in state h, the state after it, and the loss."""
-        n, steps, kept = HIDDEN, len(x), []
+        n, (steps, lanes), kind = HIDDEN, x.shape, self.flat.dtype
         grad = Gru(np.zeros_like(self.flat))
+        e, hs = self.read(x), np.empty((steps + 1, n, lanes), kind)
+        hs[0] = h.T
+        on = live.astype(kind)
         for t in range(steps):
-            z, r, g, new = self.step(x[t], h)
-            kept.append((h, z, r, g))
-            h = np.where(live[t][:, None], new, h)
-        hs = np.stack([k[0] for k in kept[1:]] + [h]).reshape(-1, n)
-        on, flat_y = live.ravel(), y.ravel()
-        logp, d = self.log_chosen(hs, flat_y, grad=True)
-        loss = float(-(logp * on).sum())
-        d[np.arange(len(d)), flat_y] -= 1
-        d *= (on / max(1, int(on.sum())))[:, None].astype(d.dtype)
-        grad.o[:] = hs.T @ d
-        grad.c[:] = d.sum(0)
-        back = (d @ self.o.T).reshape(steps, -1, n)
-        carry = np.zeros_like(h)
-        gates = np.zeros((steps, len(h), 3 * n), h.dtype)
-        ua, uzr = self.u[:, 2 * n :].T.copy(), self.u[:, : 2 * n].T.copy()
-        befores, reads = np.stack([k[0] for k in kept]), np.stack([k[2] * k[0] for k in kept])
+            hs[t + 1] = self.step(e[t], hs[t], None if live[t].all() else on[t])
+        states = np.ones((n + 1, steps * lanes), kind)
+        states[:n] = hs[1:].transpose(1, 0, 2).reshape(n, -1)
+        flat_y, flat_on, share = y.ravel(), on.ravel(), kind.type(1 / max(1, int(live.sum())))
+        back, loss = np.empty((n, steps * lanes), kind), 0.0
+        for at in range(0, steps * lanes, 1024):  # so that the classes' probabilities of a block stay in the cache
+            part = slice(at, at + 1024)
+            own, of, weight = states[:, part], flat_y[part], flat_on[part] * share
+            logp, d, total = self.log_chosen(own, of)
+            loss -= float((logp * flat_on[part]).sum())
+            d *= weight / total
+            d[of, np.arange(len(of))] -= weight
+            grad.oc += own @ d.T
+            back[:, part] = self.o @ d
+        back = back.reshape(n, steps, lanes)
+        before, z, r, g = hs[:-1], e[:, :n], e[:, n : 2 * n], e[:, 2 * n :]
+        rest = 1 - z
+        to_a, to_z, to_r = z * (1 - g * g), (g - before) * z * rest, before * r * (1 - r)
+        gates, carry = np.empty_like(e), np.zeros((n, lanes), kind)
+        ua, uzr = self.u[:, 2 * n :], self.u[:, : 2 * n]
         for t in reversed(range(steps)):
-            before, z, r, g = kept[t]
-            dh = carry
-            dh += back[t]
-            dn = dh * live[t][:, None]
-            da = dn * z * (1 - g * g)
-            drh = da @ ua
-            own = gates[t]
-            own[:, :n] = dn * (g - before) * z * (1 - z)
-            own[:, n : 2 * n] = drh * before * r * (1 - r)
-            own[:, 2 * n :] = da
-            carry = dn * (1 - z)
-            carry += drh * r
-            carry += own[:, : 2 * n] @ uzr
-            if not live[t].all():
-                carry = np.where(live[t][:, None], carry, dh)
-        rows = gates.reshape(-1, 3 * n)
-        grad.u[:, : 2 * n] = befores.reshape(-1, n).T @ rows[:, : 2 * n]
-        grad.u[:, 2 * n :] = reads.reshape(-1, n).T @ rows[:, 2 * n :]
-        order = np.argsort(x, axis=None, kind="stable")
-        at = x.ravel()[order]
+            own, dh = gates[t], carry
+            dh += back[:, t]
+            drh = ua @ np.multiply(dh, to_a[t], out=own[2 * n :])
+            np.multiply(dh, to_z[t], out=own[:n])
+            np.multiply(drh, to_r[t], out=own[n : 2 * n])
+            carry = dh * rest[t]
+            drh *= r[t]
+            carry += drh
+            carry += uzr @ own[: 2 * n]
+        rows = gates.transpose(0, 2, 1).reshape(-1, 3 * n)
+        grad.u[:, : 2 * n] = before.transpose(1, 0, 2).reshape(n, -1) @ rows[:, : 2 * n]
+        grad.u[:, 2 * n :] = (r * before).transpose(1, 0, 2).reshape(n, -1) @ rows[:, 2 * n :]
+        flat_x = x.ravel().astype(np.uint8)
+        order = np.argsort(flat_x, kind="stable")
+        at = flat_x[order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         grad.e[at[first]] = np.add.reduceat(rows[order], first, axis=0)
-        return grad.flat, h, loss
+        return grad.flat, hs[-1].T, loss
 
 
 def fit(flat: np.ndarray, docs: list[np.ndarray], seed: int, rate: float) -> tuple[np.ndarray, int]:
@@ -161,6 +170,8 @@ def fit(flat: np.ndarray, docs: list[np.ndarray], seed: int, rate: float) -> tup
     another; a lane's state is carried from window to window and reset where a document begins."""
     model, rng = Gru(flat.astype(np.float32).copy()), np.random.default_rng(seed)
     order, at = rng.permutation(len(docs)), 0
+    long = np.argsort([-len(docs[i]) for i in order], kind="stable")[:LANES]  # first, so that none is left alone at the end
+    order = np.concatenate([order[long], np.delete(order, long)])
     m, v, step, seen = np.zeros_like(model.flat), np.zeros_like(model.flat), 0, 0
     lanes = min(LANES, len(docs))
     doc: list[np.ndarray | None] = [None] * lanes
@@ -202,15 +213,15 @@ def log_likelihoods(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
     lane's state is carried from window to window until its document ends."""
     out, order, at = np.zeros(len(docs)), sorted(range(len(docs)), key=lambda i: -len(docs[i])), 0
     lanes: list[list[int]] = []  # document, place
-    h, last = np.zeros((0, HIDDEN), np.float32), np.zeros(0, np.int64)
+    h, last = np.zeros((HIDDEN, 0), np.float32), np.zeros(0, np.int64)
     while True:
         busy = [k for k, (i, place) in enumerate(lanes) if place < len(docs[i])]
-        lanes, h, last = [lanes[k] for k in busy], h[busy], last[busy]
+        lanes, h, last = [lanes[k] for k in busy], h[:, busy], last[busy]
         new = order[at : at + SCORE_LANES - len(lanes)]
         if new:
             at += len(new)
             lanes += [[i, 0] for i in new]
-            h, last = np.concatenate([h, np.zeros((len(new), HIDDEN), np.float32)]), np.concatenate([last, np.full(len(new), CLASSES)])
+            h, last = np.concatenate([h, np.zeros((HIDDEN, len(new)), np.float32)], axis=1), np.concatenate([last, np.full(len(new), CLASSES)])
         if not lanes:
             return out / np.log(10)
         steps = min(SCORE_WINDOW, max(len(docs[i]) - place for i, place in lanes))
@@ -219,13 +230,14 @@ def log_likelihoods(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
             part = docs[lane[0]][lane[1] : lane[1] + steps]
             y[: len(part), k], live[: len(part), k] = part, True
             lane[1] += steps
-        hs = np.empty((steps, len(lanes), HIDDEN), np.float32)
-        for t in range(steps):
-            h = hs[t] = model.step(last, h)[3]
-            last = y[t]
+        x, last = np.concatenate([last[None], y[:-1]]), y[-1]
         sums = np.zeros(len(lanes))
         for t in range(0, steps, 8):  # so that the classes' logits of a block stay in the cache
-            logp = model.log_chosen(hs[t : t + 8].reshape(-1, HIDDEN), y[t : t + 8].ravel())[0].reshape(-1, len(lanes))
+            e = model.read(x[t : t + 8])
+            hs = np.ones((HIDDEN + 1, len(e), len(lanes)), np.float32)
+            for k in range(len(e)):
+                h = hs[:HIDDEN, k] = model.step(e[k], h)
+            logp = model.log_chosen(hs.reshape(HIDDEN + 1, -1), y[t : t + 8].ravel())[0].reshape(-1, len(lanes))
             sums += np.where(live[t : t + 8], logp, 0).sum(0, dtype=np.float64)
         out[[lane[0] for lane in lanes]] += sums
 
@@ -276,15 +288,6 @@ class Head(dict):
         return out
 
 
-def sample_classes(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in texts(batches):
-            made = [sent.value.classes(words(t)).astype(np.uint8).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["part", "classes"])
-
-    return run
-
-
 def train_part(sent, seed: int, rate: float):
     """One part's weights after a pass, as (place, weight * tokens) and the tokens at place -1."""
 
@@ -297,20 +300,25 @@ def train_part(sent, seed: int, rate: float):
     return run
 
 
-def train(docs: DataFrame, head: Head, freq: np.ndarray, n_docs: int, *, key: str, text: str, tables: Tables, seed: int = 17) -> np.ndarray:
-    """Averaged weights after ROUNDS rounds over one document in ONE_IN (LEAST_DOCS at least), in parts of about PART_DOCS."""
+def dealt(n_docs: int) -> tuple[int, list[tuple[int, int]]]:
+    """The number of parts, and for each round the parts it learns from: those that leave a remainder by a divisor."""
+    parts = max(1, round(n_docs / PART_DOCS))
+    if n_docs <= LEAST_DOCS:
+        return parts, [(1, 0)] * ROUNDS
+    parts = max(parts, ROUNDS)
+    return parts, [(ROUNDS, k) for k in range(ROUNDS)]
+
+
+def train(docs: DataFrame, freq: np.ndarray, n_docs: int, *, seed: int = 17) -> np.ndarray:
+    """Averaged weights after ROUNDS rounds over all rows of docs: a hash ``at`` of each document and its ``classes``."""
     spark = docs.sparkSession
     flat = Gru.start(freq, seed)
-    rate_of = min(1.0, max(1 / ONE_IN, LEAST_DOCS / max(n_docs, 1)))
-    parts = max(1, round(n_docs * rate_of / PART_DOCS))
-    at = F.xxhash64(F.col(key), F.col(text), F.lit(seed))
-    chosen = docs.where(F.pmod(at, F.lit(1_000_003)) < F.lit(int(1_000_003 * rate_of)))
-    lot = F.pmod(F.xxhash64(at, F.lit(1)), F.lit(parts)).cast("int")
-    sent = spark.sparkContext.broadcast(head)
-    sample = tables.keep(chosen.select(lot.alias("part"), F.col(text).alias("text")).mapInArrow(sample_classes(sent), "part int, classes binary"), "sample")
-    for k in range(ROUNDS):
+    parts, rounds = dealt(n_docs)
+    lots = docs.select(F.pmod(F.xxhash64("at", F.lit(1)), F.lit(parts)).cast("int").alias("part"), "classes")
+    for k, (divisor, rest) in enumerate(rounds):
         now = spark.sparkContext.broadcast(flat)
-        got = sample.repartition(parts, "part").groupBy("part").applyInArrow(train_part(now, seed + k, 0.02 / (1 + k)), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+        own = lots.where(F.col("part") % divisor == rest).repartition(max(1, -(-parts // divisor // TASK_PARTS)), "part")
+        got = own.groupBy("part").applyInArrow(train_part(now, seed + k, 0.02 / (1 + k)), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
         sums = {r["at"]: r["v"] for r in got}  # as many rows as weights
         if sums.get(-1):
             flat = np.array([sums[i] / sums[-1] for i in range(len(flat))], dtype=np.float32)
@@ -341,52 +349,63 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     got = {r.c: (r.s, r.t) for r in by_class.groupBy(spelled_column(F.col("word")).alias("c")).agg(F.sum(F.col("n") + 1).alias("s"), F.sum("n").alias("t")).collect()}
     totals = np.array([0.0] * (1 + SINGLE) + [float(got.get(c, (0, 0))[0] + 1) for c in range(1 + SINGLE, CLASSES)])
     freq = np.array([head.count.get(w, 0) for w in head.ids] + [0] * (1 + SINGLE - len(head.ids)) + [got.get(c, (0, 0))[1] for c in range(1 + SINGLE, CLASSES)], dtype=np.float64)
-    flat = train(training, head, freq / max(1.0, freq.sum()), head.count.get(END, 0), key="doc", text="text", tables=tables)
-    log_totals = np.log10(np.maximum(totals, 1.0))
-    sent = spark.sparkContext.broadcast((ranked, flat, log_totals))
+    sent = spark.sparkContext.broadcast((ranked, np.log10(np.maximum(totals, 1.0))))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked_, logs = sent.value
+        head_ = Head(ranked_)
+        names = ["doc", "held", "at", "n_tokens", "known", "sums", "inside", "tail", "times", "classes"]
+        kinds_ = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+        for b in texts(batches, 256):
+            rows_: list[tuple] = []
+            for text in b.column(3).to_pylist():
+                ws = words(text)
+                at = head_.places(ws)
+                cl = head_.classes(ws, at)
+                rare = Counter([ws[i] for i in np.flatnonzero(at[:-1] < 0).tolist()])
+                common = head_.logs[at]
+                rows_.append((len(at), int((at >= 0).sum()), float(common.sum()), float(common[cl > SINGLE].sum() - logs[cl].sum()), list(rare), list(rare.values()), cl.astype(np.uint8).tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, t) for c, t in zip(zip(*rows_), kinds_))], names=names)
+
+    kind = docs.schema[key].dataType.simpleString()
+    # rows without an id are dealt to parts one by one, others by what they are
+    at = F.when(F.col("doc").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc", "text"))
+    coded = rows.select("doc", "held", at.alias("at"), "text").mapInArrow(encode, f"doc {kind}, held boolean, at long, n_tokens long, known long, sums double, inside double, tail array<binary>, times array<int>, classes binary")
+    coded = tables.keep(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
+    flat = train(coded.where("NOT held"), freq / max(1.0, freq.sum()), head.count.get(END, 0))
+    weights = spark.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked_, flat_, logs = sent.value
-        head_, model = Head(ranked_), Gru(flat_)
-        names = ["doc", "held", "n_tokens", "known", "sums", "inside", "tail", "times"]
-        kinds_ = [None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-        rows_: list[list] = []
+        model = Gru(weights.value)
+        waiting: list[pa.RecordBatch] = []
         classes: list[np.ndarray] = []
-        ids: list[pa.Array] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            for row, like in zip(rows_, log_likelihoods(model, classes)):
-                row[4] += float(like)
-            keys = pa.concat_arrays(ids)
-            for k in range(0, len(rows_), 256):
-                cols = list(zip(*rows_[k : k + 256]))
-                yield pa.RecordBatch.from_arrays([keys.slice(k, 256), *(pa.array(c, t) for c, t in zip(cols, kinds_[1:]))], names=names)
-            for held_back in (rows_, classes, ids):
+            like = log_likelihoods(model, classes)
+            at = 0
+            for b in waiting:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(like[at : at + b.num_rows], pa.float64())], names=[*b.schema.names, "like"])
+                at += b.num_rows
+            for held_back in (waiting, classes):
                 held_back.clear()
 
         size = 0
         for b in texts(batches):
-            ids.append(b.column(0))
-            for text, held in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ws = words(text)
-                at = head_.places(ws)
-                cl = head_.classes(ws, at)
-                rare = Counter([ws[i] for i in np.flatnonzero(at[:-1] < 0).tolist()])
-                common = head_.logs[at]
-                rows_.append([held, len(at), int((at >= 0).sum()), float(common.sum()), float(common[cl > SINGLE].sum() - logs[cl].sum()), list(rare), list(rare.values())])
-                classes.append(cl.astype(np.uint8))
-                size += len(at)
+            classes += [np.frombuffer(x, np.uint8) for x in b.column(b.num_columns - 1).to_pylist()]
+            waiting.append(b.select(b.schema.names[:-1]))
+            size += sum(map(len, classes[-b.num_rows :]))
             if size > SCORE_TOKENS:
                 yield from out()
                 size = 0
-        if rows_:
+        if waiting:
             yield from out()
 
-    kind = docs.schema[key].dataType.simpleString()
-    scored = rows.select("doc", "text", "held").mapInArrow(run, f"doc {kind}, held boolean, n_tokens long, known long, sums double, inside double, tail array<binary>, times array<int>")
-    scored = tables.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
+    kept = ("row", "doc", "held", "n_tokens", "known", "sums", "inside")
+    types = {"row": "long", "doc": kind, "held": "boolean", "n_tokens": "long", "known": "long", "sums": "double", "inside": "double"}
+    scored = coded.select(*kept, "classes").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in kept) + ", like double")
+    scored = tables.keep(scored, "scored")
+    tail = coded.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
     met = tail.join(counts.where(step < cut).hint("shuffle_hash"), "word").groupBy("row").agg(F.sum("times").alias("n"), F.sum(F.log10(F.col("n") + 1) * F.col("times")).alias("s"))
-    out = scored.drop("tail", "times").join(met, "row", "left")
+    out = scored.join(met, "row", "left")
     s, n = F.coalesce("s", F.lit(0.0)), F.coalesce("n", F.lit(0)).cast("long")
-    return out.select(F.col("doc").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + n).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("sums") + s - F.col("n_tokens") * float(np.log10(total + kinds + 1))).alias("base_score"), (F.col("inside") + s).alias("score"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + n).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("sums") + s - F.col("n_tokens") * float(np.log10(total + kinds + 1))).alias("base_score"), (F.col("like") + F.col("inside") + s).alias("score"))

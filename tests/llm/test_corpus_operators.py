@@ -265,3 +265,26 @@ def test_scores(spark, monkeypatch):
     usual = [out[i] for i in range(300) if held[i]]
     assert sum(r.score for r in usual) > sum(r.base_score for r in usual)
     assert gru_lm.score(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_every_training_document_is_learned_from(spark, monkeypatch, tmp_path):
+    """In a table above LEAST_DOCS each document that isn't held out reaches the weights once, repeated texts too."""
+    n, path, own = 3500, str(tmp_path), gru_lm.train_part
+
+    def spied(sent, seed, rate):
+        train = own(sent, seed, rate)
+
+        def run(keys, table):
+            with open(f"{path}/{seed}-{keys[0].as_py()}", "w") as f:
+                f.write(f"{table.num_rows} {sum(len(x) for x in table['classes'].to_pylist())}")
+            return train(keys, table)
+
+        return run
+
+    monkeypatch.setattr(gru_lm, "train_part", spied)
+    made = [f"w{i % 50} " * (1 + i % 7) for i in range(n)]
+    out = gru_lm.score(docs(spark, made)).collect()
+    read = [tuple(map(int, p.read_text().split())) for p in tmp_path.iterdir()]
+    want = [i for i in range(n) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(out) == n and sum(r[0] for r in read) == len(want) > gru_lm.LEAST_DOCS
+    assert sum(r[1] for r in read) == sum(2 + i % 7 for i in want)
