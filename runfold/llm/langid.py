@@ -6,7 +6,8 @@ is the sum, over the document's profile, of how far each n-gram is from its plac
 profile's length if it is not there. The nearest language wins; equal distances go to the language with more training
 text, then to the smaller name. The score is one less the distance as a part of the greatest possible one.
 
-Training reads about ``sample`` labelled documents, however many there are, chosen by a hash; prediction reads every whole text.
+Training reads about ``sample`` labelled documents, however many there are, chosen by a hash in each language: all of a
+language that has few, and equally many of the others. Prediction reads every whole text.
 A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runfold.llm._common import sampled, small_batches, texts
+from runfold.llm._common import small_batches, texts
 
 SIZE, SAMPLE = 400, 20_000
 #: Code of the border; a letter's code is its code point, which is larger.
@@ -72,18 +73,32 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
 
+def rates(counts: dict[str, int], most: int) -> dict[str, float]:
+    """The part of each language's documents to read, so that there are ``most``: all of those that have no more than an
+    equal share of what the smaller ones leave, and that share of the others."""
+    out, room = {}, most
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        took = min(n, room / (len(counts) - k))
+        out[lang], room = took / n, room - took
+    return out
+
+
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, size: int = SIZE, seed: int = 7) -> list[tuple[str, np.ndarray]]:
     """Each language with its profile, the language with most text first. ``size`` n-grams
     for each language among about ``sample`` documents come to the driver."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = sampled(rows, sample, "key", "text", seed=seed).select("text", "lang")
+    part = rates({r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}, sample)
+    if not part:
+        return []
+    limits = F.broadcast(docs.sparkSession.createDataFrame([(k, int((1 << 40) * r)) for k, r in part.items()], "lang string, below long"))
+    chosen = rows.join(limits, "lang").where(F.pmod(F.xxhash64("key", "text", F.lit(seed)), F.lit(1 << 40)) < F.col("below")).select("text", "lang")
     counts = chosen.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     found: dict[str, list] = {}
     for r in best.orderBy("lang", "rank").collect():
         found.setdefault(r.lang, []).append((r.gram, r.n))
-    order = sorted(found, key=lambda k: (-sum(n for _, n in found[k]), k))
+    order = sorted(found, key=lambda k: (-sum(n for _, n in found[k]) / part[k], k))
     return [(k, np.array([g for g, _ in found[k]], dtype=np.int64)) for k in order]
 
 

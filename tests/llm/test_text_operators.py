@@ -82,6 +82,14 @@ def test_language_accuracy_and_edges(spark):
     assert langid.train(df.limit(0)) == [] and langid.predict(df, []).where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_languages_are_read_whole(spark):
+    rows = [(i, f"the house {i} water and light", "en") for i in range(3000)] + [(5000 + i, f"maison {w} et lumière", "fr") for i, w in enumerate(["eaux", "pense", "les", "nuit"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, want = dict(langid.train(df, sample=100)), dict(langid.train(df.where("lang = 'fr'")))
+    assert list(got) == ["en", "fr"] and got["fr"].tolist() == want["fr"].tolist()
+    assert langid.rates({"a": 5, "b": 100, "c": 1000}, 200) == {"a": 1.0, "b": 0.975, "c": 0.0975}
+
+
 # ---- BPE ----------------------------------------------------------------------------------------------------------
 
 
