@@ -55,3 +55,12 @@ def test_run_and_empty(spark, made, tmp_path):
         assert docs.count() == 0
         if "text" not in docs.columns:
             break
+
+
+def test_near_duplicates_are_rows_not_ids(spark):
+    """Two texts with one id are told apart, the copy goes and the clean one stays; rows without an id are deduplicated."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    made = [(1, a), (2, a), (2, b), (3, c), (3, d), (None, c), (None, "e " + b), (None, "x y z"), (None, "x y z"), (None, "x y z"), (7, "x y w")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in made], DOCS).repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (3, c), (3, d), (None, "x y z"), (7, "x y w")], key=repr)
