@@ -206,6 +206,15 @@ def test_neighbours(spark):
     assert forest.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_recall_where_the_share_decides(spark, monkeypatch):
+    monkeypatch.setattr(forest, "LEAST", 0)
+    x = np.random.default_rng(6).normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    out = forest.search(df, df.where("vec_id % 50 = 0"), 10).collect()
+    far = {q: np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:11] for q in range(0, 1500, 50)}
+    assert sum(r.vec_id in far[r.query_id] for r in out) / 300 >= 0.9
+
+
 def test_levels_are_common_prefixes():
     x = np.random.default_rng(3).normal(size=(300, 8))
     c = forest.Chunk(np.arange(300), x, 4, 12, 1)
