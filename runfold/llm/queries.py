@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runfold.llm import bpe, forest, gru_lm, langid, mixing, ngram_join, secrets, sharding, simhash, urls
+from runfold.llm._common import Tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +33,11 @@ def op3_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell, its probability under raked weights, and whether it was drawn."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    return mixed.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_kept").alias("kept"))
+    docs = table(spark, sf_dir, "documents")
+    measured = Tables(spark, "mixing").keep(mixing.measure(docs), "measured")
+    mixture = mixing.plan(measured)
+    drawn = mixing.draw(measured, mixture)
+    return drawn.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_kept").alias("kept"), F.lit(not mixture.unmet).alias("targets_met"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

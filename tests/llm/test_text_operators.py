@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -167,20 +168,69 @@ def test_secrets_rows(spark):
 def test_raking_meets_the_margins():
     w = np.random.default_rng(1).random((4, 3, 2)) + 0.1
     goals = [np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4])]
-    r = mixing.rake(w, goals)
-    assert all(np.allclose(r.sum(tuple(a for a in range(3) if a != k)), g) for k, g in enumerate(goals))
-    p = mixing.probabilities(w, r, 0.3)
-    assert np.isclose((w * p).sum(), 0.3 * w.sum()) and p.max() <= 1
-
-
-def test_mixture_rows(spark):
-    rows = [(i, "word " * (1 + i % 7), "en" if i % 3 else "fr", "src0" if i % 2 else "other", 1) for i in range(4000)]
-    df = spark.createDataFrame(rows + [(9001, None, None, None, None), (9002, "", "xx", "", 0)], DOCS)
-    targets = {"source": {"src0": 0.3, "*": 0.7}, "lang": {"en": 0.5, "fr": 0.5}, "topic": {"*": 1.0}}
-    out = mixing.mix(df, targets, part=0.4)
-    kept = out.where("_kept")
-    share = {r.lang: r.n for r in kept.groupBy("lang").agg(F.sum("_tokens").alias("n")).collect()}
-    assert out.count() == 4002 and abs(share["en"] / (share["en"] + share["fr"]) - 0.5) < 0.05
-    assert abs(kept.agg(F.sum("_tokens")).first()[0] / out.agg(F.sum("_tokens")).first()[0] - 0.4) < 0.05
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id < 50) == sorted(r.doc_id for r in mixing.mix(df.repartition(7), targets, part=0.4).where("_kept").select("doc_id").collect() if r.doc_id < 50)
-    assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df.where("doc_id > 9000"), targets).count() == 2
+    for part in (0.3, 1.0):
+        p, size, _, got = mixing.calibrate(w, goals, part)
+        assert 0 < p.min() and p.max() <= 1 and all(np.allclose(a, b, atol=2e-4) for a, b in zip(goals, got))
+        assert np.isclose((w * p).sum(), size * w.sum(), rtol=1e-3) and size <= part
+        # no larger size does
+        assert size == part or mixing.rake(w, goals, size * 1.02)[1] > mixing.WITHIN
+    # one category can't be had without the other
+    p, size, _, got = mixing.calibrate(np.array([[[1.0], [0.0]], [[0.0], [3.0]]]), [np.array([0.5, 0.5]), np.array([0.9, 0.1]), np.array([1.0])], 0.5)
+    assert size == 0.5 and p.max() <= 1
+
+
+def plain_topic(t):
+    digits = sum(c in "0123456789" for c in t)
+    return "links" if "://" in t or "@" in t else "figures" if digits * 200 > len(t) else "prose"
+
+
+@pytest.mark.parametrize("hot", [0.05, 0.4])
+def test_mixture_row_by_row(spark, hot):
+    """Every measure, probability and draw as plain Python has it; expected shares are the targets, drawn ones near."""
+    rnd = random.Random(8)
+    made = []
+    for i in range(4000):
+        t = " ".join(rnd.choices(["word", "mot", "1234", "a\tb", "\x0bx", "ü"], weights=[90, 40, 0.2, 3, 1, 9], k=rnd.randint(1, 60)))
+        made.append((i, t + rnd.choice([""] * 40 + [" http://a.b/c", " me@x"]), rnd.choice(["en"] * 12 + ["fr", "de", "es"] * 2 + [None]), "src0" if rnd.random() < hot else f"src{rnd.randint(1, 9)}", 1))
+    made += [(9001, None, None, None, None), (9002, "", "xx", "", 0), (None, "null key", "en", "src1", 1), (None, "null key", "en", "src1", 1), made[7], made[7]]
+    df = spark.createDataFrame(made, DOCS).withColumn("kept", F.lit("clash")).repartition(5)
+    measured = mixing.measure(df, keep=("doc_id", "text", "source", "lang"))
+    targets = {"source": {"src0": 0.06, "*": 0.94}, "lang": {"en": 0.6, "fr": 0.15, "de": 0.1, "*": 0.15}, "topic": {"links": 0.02, "*": 0.98}}
+    mixture = mixing.plan(measured, targets, part=0.7)
+    got = mixing.draw(measured, mixture).collect()
+    assert not mixture.unmet and len(got) == len(made) and 0.3 < mixture.size <= 0.7
+    cells, expected, drawn = Counter(), Counter(), Counter()
+    cell = lambda r: tuple(v if v in mixture.names[a] else "*" for a, v in zip(mixing.AXES, (r.source, r.lang, r._topic)))
+    for r in got:
+        t = r.text or ""
+        n = len([w for w in re.split("[\x20\x09-\x0d]+", t) if w])
+        assert (r._topic, r._tokens, r._kept) == (plain_topic(t), n, r._u < r._p)
+        cells[cell(r)] += n
+        for a, v in zip(mixing.AXES, cell(r)):
+            expected[a, v] += n * r._p
+            drawn[a, v] += n * r._kept
+    total, taken = sum(v for (a, _), v in expected.items() if a == "lang"), sum(v for (a, _), v in drawn.items() if a == "lang")
+    for a, goals in targets.items():
+        for v, goal in goals.items():
+            assert abs(expected[a, v] / total - goal) < 0.01 * goal + 1e-3 and abs(drawn[a, v] / taken - goal) < 0.05
+    assert abs(total / sum(cells.values()) - mixture.size) < 1e-3
+    # the probability of a cell is size * source factor * lang factor * topic factor, at most 1
+    logs = {cell(r): r._p for r in got if r._p < 1}
+    for s1, l1, t1 in logs:
+        for s2, l2, t2 in logs:
+            if t1 == t2 and (s1, l2, t1) in logs and (s2, l1, t1) in logs and min(cells[k] for k in ((s1, l1, t1), (s2, l2, t1), (s1, l2, t1), (s2, l1, t1))) > 0:
+                assert math.isclose(logs[s1, l1, t1] * logs[s2, l2, t1], logs[s1, l2, t1] * logs[s2, l1, t1], rel_tol=1e-6)
+    again = {(r.doc_id, r.text, r._kept) for r in mixing.draw(mixing.measure(df.repartition(3), keep=("doc_id", "text", "source", "lang")), mixture).collect()}
+    assert again == {(r.doc_id, r.text, r._kept) for r in got}
+
+
+def test_mixture_edges(spark):
+    long = mixing.measure(spark.createDataFrame([(9, LONG, "en", "src2", 1)], DOCS)).first()
+    assert (long._tokens, long._topic) == (80_000, "prose")
+    df = spark.createDataFrame([(1, None, None, None, None), (2, "", "xx", "", 0)], DOCS)
+    m = mixing.measure(df)
+    assert mixing.draw(m, mixing.plan(m)).count() == 2 and mixing.draw(m.limit(0), mixing.plan(m.limit(0))).count() == 0
+    with pytest.raises(ValueError, match="_p"):
+        mixing.measure(df.withColumn("_p", F.lit(1)), keep=("_p",))
+    with pytest.raises(ValueError, match="cells"):
+        mixing.plan(m, {a: {str(i): 0.001 for i in range(60)} for a in mixing.AXES})
