@@ -50,7 +50,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens are spread over sources, languages and topics as the targets say."""
-    return mixing.mix(docs.select(*COLUMNS)).where("_kept").select(*COLUMNS)
+    mixture = mixing.plan(mixing.measure(docs, keep=("source", "lang")))
+    return mixing.draw(mixing.measure(docs, keep=tuple(COLUMNS)), mixture).where("_kept").select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
