@@ -1,17 +1,25 @@
 """Secret scans: fixed patterns, and character Markov models that tell random strings from ordinary identifiers.
 
-The patterns give the base spans. For every other run of token characters the log-likelihood ratio of two first-order
-Markov models, one of random strings and one of ordinary identifiers, decides. Both are trained from labelled samples:
-the values that the patterns find are samples of random strings, the words and identifiers beside them are samples of
-ordinary ones. Training reads about ``sample`` documents, however many there are; the scan reads every whole text.
-
-A null or empty text has no spans. Equal texts have equal spans. Tables without any row or without any sample give
-models that know nothing, under which no ratio is high enough.
+The patterns give the base spans. In every other run of token characters first-order Markov models decide: one of
+ordinary strings, and one for each kind of random string. They are trained from labelled samples. Random: the values
+that the patterns find, and strings drawn from each alphabet that keys are written in. Ordinary: the words and
+identifiers beside the values, the same words joined as paths, identifiers and camel case are, numbers, repeated
+marks, and words made of syllables. Training reads about ``sample`` documents, however many there are; the scan reads every whole text.
+
+The log-likelihood ratio of a random model to the ordinary one is added up along a run; the windows of at least
+``SHORTEST`` characters with the greatest sums are taken, one after another, as long as a sum is ``LEAST`` nats or more
+after each character has paid ``EACH`` nats. They are grown to the
+ends of their letters and figures. So a secret is found inside a longer run too.
+
+A null or empty text has no spans. Equal texts, and so repeated rows, have equal spans. Very long texts and runs are
+scanned whole. Of equal windows the first is taken. Tables without any row give models of the drawn strings alone.
+Columns to keep may have any names but ``base``, ``spans`` and ``redacted``.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +39,16 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Samples of ordinary strings; longer ones could be the secrets that are looked for.
 WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9_-]{6,19}(?![A-Za-z0-9+/_=-])")
 KINDS = ("assign", "access", "hex", "random")
-#: A run is taken for random if the ratio is at least so many nats in all and for each character.
-LEAST, LEAST_EACH = 8.0, 0.6
+#: What a window's characters add up to at least, in nats, when each has paid so many; and the fewest of them.
+LEAST, EACH, SHORTEST = 20.0, 1.0, 16
+#: Alphabets of random strings.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = (LOWER + UPPER + DIGITS + "+/", LOWER + UPPER + DIGITS + "-_", LOWER + UPPER + DIGITS, UPPER + DIGITS, UPPER[:24] + "234567", LOWER + DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF")
+#: Syllables of made-up ordinary words, for tables that have few of their own.
+ONSETS = "b c d f g h j k l m n p r s t v w z bl br ch cl cr dr fl fr gl gr pl pr sc sh sl sp st tr th qu".split()
+NUCLEI, CODAS = "a e i o u ai ea ee ia io ou".split(), ["", "", "n", "r", "s", "t", "l", "m", "c", "nd", "nt", "ng", "st", "z"]
+#: Drawn strings of an alphabet and characters of each; words that are joined to one ordinary string.
+DRAWN, DRAWN_LENGTH, JOINED = 4000, 40, 4
 SAMPLE = 20_000
 SYMBOLS = 128
 
@@ -53,57 +69,137 @@ def pairs_of(s: str) -> np.ndarray:
     return c[:-1] * SYMBOLS + c[1:]
 
 
-def apart(spans: list, start: int, end: int) -> bool:
-    return all(end <= s[0] or start >= s[2] for s in spans)
+def pair_counts(strings: list[str]) -> np.ndarray:
+    """How often each character pair is in the strings, counted at once."""
+    codes = pairs_of("\0".join(strings)) if strings else np.zeros(0, np.int64)
+    return np.bincount(codes[codes % SYMBOLS != 0], minlength=SYMBOLS * SYMBOLS)
+
+
+def taken(spans: list) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that sorted spans cover; both ascend."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s in spans:
+        if ends and s[0] <= ends[-1]:
+            ends[-1] = max(ends[-1], s[2])
+        else:
+            starts.append(s[0])
+            ends.append(s[2])
+    return starts, ends
+
+
+def apart(stretches: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether no stretch meets start to end."""
+    at = bisect_left(stretches[1], start + 1)  # the first that ends after the start
+    return at == len(stretches[1]) or stretches[0][at] >= end
+
+
+def ordinary_of(ws: list[str]) -> list[str]:
+    """A text's words, and some of them joined as in paths, identifiers and camel case."""
+    groups = [ws[i : i + JOINED] for i in range(0, len(ws) - JOINED + 1, 2 * JOINED)]
+    styles = ("/".join, "_".join, "-".join, "=".join, "+".join, lambda g: "".join(w.capitalize() for w in g))
+    return ws + [styles[i % len(styles)](g) for i, g in enumerate(groups)]
 
 
 def sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of character pairs: label 1 from values the patterns find, 0 from the words beside them."""
     counts = np.zeros((2, SYMBOLS * SYMBOLS), dtype=np.int64)
     for b in texts(batches):
+        strings: tuple[list[str], list[str]] = ([], [])
         for text in b.column(0).to_pylist():
             if not text:
                 continue
             spans = base_spans(text)
-            for s in spans:
-                np.add.at(counts[1], pairs_of(text[s[3] : s[4]]), 1)
-            for m in WORD.finditer(text):
-                if apart(spans, m.start(), m.end()):
-                    np.add.at(counts[0], pairs_of(m[0]), 1)
+            strings[1].extend(text[s[3] : s[4]] for s in spans)
+            cover = taken(spans)
+            strings[0].extend(ordinary_of([m[0] for m in WORD.finditer(text) if not spans or apart(cover, m.start(), m.end())]))
+        for label in (0, 1):
+            counts[label] += pair_counts(strings[label])
     label, cell = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(cell, pa.int32()), pa.array(counts[label, cell], pa.int64())], names=["label", "cell", "n"])
 
 
+def drawn(seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Counts of labelled strings that are made up: ordinary ones (numbers, repeated marks, words of syllables), and random ones by alphabet."""
+    rng = np.random.default_rng(seed)
+    ordinary = ["".join(rng.choice(list(DIGITS), int(n))) for n in rng.integers(6, 40, 400)] + [c * 40 for c in "+/_=-xX0" for _ in range(50)]
+    syllables = ["".join(x) for x in zip(*(rng.choice(kind, 12 * DRAWN) for kind in (ONSETS, NUCLEI, CODAS)))]
+    made_up = ["".join(syllables[i : i + 3]) for i in range(0, len(syllables), 3)]
+    ordinary += ordinary_of(made_up) + [w.upper() for w in made_up[: DRAWN // 4]] + [w.capitalize() for w in made_up[:DRAWN]]
+    return pair_counts(ordinary), [pair_counts(["".join(r) for r in rng.choice(list(a), (DRAWN, DRAWN_LENGTH))]) for a in ALPHABETS]
+
+
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, seed: int = 11) -> np.ndarray:
-    """The log-likelihood ratio of each character pair, from about ``sample`` documents chosen by a hash."""
+    """The log-likelihood ratio of each character pair for each kind of random string (kinds x pairs), from about
+    ``sample`` documents chosen by a hash and from drawn strings."""
     small_batches(docs.sparkSession)
     rows = sampled(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), sample, "key", "text", seed=seed)
     got = rows.select("text").mapInArrow(sample_counts, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros((2, SYMBOLS, SYMBOLS))
+    found = np.zeros((2, SYMBOLS * SYMBOLS))
     for r in got:  # two labels, 128 x 128 cells at most
-        counts[r.label].flat[r.cell] = r.n
-    return ratio_of(counts)
-
-
-def ratio_of(counts: np.ndarray) -> np.ndarray:
-    """log P(next | previous, random) - log P(next | previous, ordinary); each backs off to the single characters."""
-    out = []
-    for c in counts:
-        single = c.sum(0) + 0.5
+        found[r.label][r.cell] = r.n
+    usual, alphabets = drawn(seed)
+    # a value of a pattern may be an ordinary word, so the values' model is drawn towards all alphabets
+    return ratios([found[0] + usual, *alphabets, found[1] + sum(alphabets)])
+
+
+def ratios(counts: list[np.ndarray]) -> np.ndarray:
+    """log P(next | previous, random) - log P(next | previous, ordinary) for each random kind; the first counts are those
+    of ordinary strings. Each backs off to the single characters."""
+    logs = []
+    for flat in counts:
+        c = flat.reshape(SYMBOLS, SYMBOLS)
+        single = c.sum(0) + 0.05
         single /= single.sum()
-        out.append(np.log((c + 20 * single) / (c.sum(1, keepdims=True) + 20)))
-    return (out[1] - out[0]).ravel()
+        logs.append(np.log((c + 20 * single) / (c.sum(1, keepdims=True) + 20)).ravel())
+    return np.stack([x - logs[0] for x in logs[1:]])
+
+
+def windows(gains: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Windows (start, end) of a run, where gains (kinds x characters) are what each character adds: the one with the
+    greatest sum, then those to its left and right, as long as sum and length suffice."""
+    out, todo = [], [(0, gains.shape[1])]
+    while todo:
+        a, b = todo.pop()
+        if b - a < SHORTEST:
+            continue
+        total = np.concatenate([np.zeros((len(gains), 1)), np.cumsum(gains[:, a:b], axis=1)], axis=1)
+        low = np.minimum.accumulate(total[:, : b - a + 1 - SHORTEST], axis=1)
+        sums = total[:, SHORTEST:] - low
+        kind, end = np.unravel_index(int(np.argmax(sums)), sums.shape)
+        if sums[kind, end] < least:
+            continue
+        start = a + int(np.argmin(total[kind, : end + 1]))
+        stop = a + int(end) + SHORTEST
+        out.append((start, stop))
+        todo += [(a, start), (stop, b)]
+    return sorted(out)
+
+
+def whole(run: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The windows grown to where their letters and figures end; those that meet are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        while a and run[a - 1].isalnum():
+            a -= 1
+        while b < len(run) and run[b].isalnum():
+            b += 1
+        if out and a <= out[-1][1]:
+            a = out.pop()[0]
+        out.append((a, b))
+    return out
 
 
-def spans_of(text: str, ratio: np.ndarray, least: float = LEAST, each: float = LEAST_EACH) -> tuple[list, list]:
-    """The base spans, and all spans: those and the runs that the models take for random, none of which meets a base span."""
+def spans_of(text: str, ratio: np.ndarray, least: float = LEAST, each: float = EACH) -> tuple[list, list]:
+    """The base spans, and all spans: those and the windows that the models take for random, in runs none of which meets
+    a base span."""
     base = base_spans(text)
-    found = []
+    found, cover = [], None
     for m in RUN.finditer(text):
-        if apart(base, m.start(), m.end()):
-            score = float(ratio[pairs_of(m[0])].sum())
-            if score >= least and score >= each * (m.end() - m.start()):
-                found.append((m.start(), 3, m.end(), m.start(), m.end()))
+        cover = cover or taken(base)
+        if apart(cover, m.start(), m.end()):
+            for a, b in whole(m[0], windows(ratio[:, pairs_of(m[0])] - each, least)):
+                found.append((m.start() + a, 3, m.start() + b, m.start() + a, m.start() + b))
     return base, sorted(base + found) if found else base
 
 
