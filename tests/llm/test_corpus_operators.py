@@ -161,6 +161,9 @@ def test_edited_texts(spark, rows, monkeypatch):
         bits = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 64
         assert (r.near_edited, r.near_next) == (bits(r.fingerprint, r.edited_fingerprint), bits(r.fingerprint, got[ids[(k + 1) % len(ids)]].fingerprint))
     assert got[7].fingerprint == "0" * 16
+    different = {int(r.fingerprint, 16) for r in got.values()}
+    for r in got.values():
+        assert r.n_near == sum(0 < (int(r.fingerprint, 16) ^ f).bit_count() <= simhash.RADIUS for f in different)
 
 
 def test_fingerprint_votes(spark):
@@ -173,14 +176,17 @@ def test_fingerprint_votes(spark):
     assert simhash.edited(df.limit(0)).count() == 0
 
 
-def test_near_pairs_are_all_found(spark):
+@pytest.mark.parametrize("together", [2048, 5])
+def test_near_pairs_are_all_found(spark, together, monkeypatch):
+    monkeypatch.setattr(simhash.within, "__kwdefaults__", simhash.within.__kwdefaults__ | {"together": together})
     rnd = random.Random(8)
     base = [rnd.getrandbits(64) for _ in range(40)]
     made = {(b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 5)))) for b in base for _ in range(4)}
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in made)
+    signed = sorted({*signed, *(signed[0] ^ 1 << k for k in range(8, 40))})  # a dense group under common keys
     want = {(a, b, (a ^ b).__and__(2**64 - 1).bit_count()) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-    got = {(r.a, r.b, r.distance) for r in simhash.near(spark.createDataFrame([(x,) for x in signed], "fingerprint long")).collect()}
-    assert got == want and want
+    got = [(r.a, r.b, r.distance) for r in simhash.near(spark.createDataFrame([(x,) for x in signed + signed[:9]], "fingerprint long")).collect()]
+    assert set(got) == want and len(got) == len(want)
 
 
 # ---- nearest neighbours -------------------------------------------------------------------------------------------
