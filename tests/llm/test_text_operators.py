@@ -114,7 +114,27 @@ def test_tree_concatenation_of_long_runs():
     rnd = random.Random(4)
     for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyz", "é中a"):
         s = "".join(rnd.choices(alphabet, k=5000))
-        assert small.tree(s) == big.one.encode_ordinary(s)
+        assert small.unsplit(s) == big.one.encode_ordinary(s) == big.encode(s)
+
+
+def test_joins_of_whole_long_texts(spark):
+    """Texts are halved anywhere, white space or not; ids are the library's, in one task and in parts of their own."""
+    from tokenizers import Tokenizer
+
+    lib, rnd = Tokenizer.from_file(tokenizer_path()), random.Random(14)
+    pieces = [*"abcdé中🙂", " the", " word", "  ", "\n", "\n \n", "'s", "'ll", "!!", "123", "<|endoftext|>", "\u00a0", "\x1c", "\x85", "\u2028", "x" * 200, "=" * 90]
+    made = ["".join(rnd.choices(pieces, k=rnd.choice([40, 400, 3000]))) for _ in range(120)] + [None, "", "q" * 5000, " " * 5000, "<|endoftext|>" * 300, "a\n" * 3000]
+    want = {i: lib.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(made)}
+    for leaf in (16, 50, 256):
+        model = bpe.Bpe(tokenizer_path(), leaf=leaf)
+        for i, t in enumerate(made):
+            assert model.encode(t) == want[i], (leaf, t[:300])
+    df = frame(spark, made, extra=True).repartition(3)
+    got = {r.doc_id: r for r in bpe.encode(df, keep=("doc_id", "lang", "score"), leaf=64, split=1000).collect()}
+    assert {i: r.ids for i, r in got.items()} == want and {(r.lang, r.score) for r in got.values()} == {("en", "x")}
+    rows = {r.doc_id: r for r in bpe.round_trip(df, leaf=64, split=1000).collect()}
+    assert {i: r.n_tokens for i, r in rows.items()} == {i: len(x) for i, x in want.items()}
+    assert all((r.n_joins > 0) == any(len(s) > 64 for s in (made[i] or "").split("<|endoftext|>")) for i, r in rows.items())
 
 
 def test_bpe_rows(spark):
@@ -159,7 +179,41 @@ def test_secrets_rows(spark):
     assert got[104].redacted == "[X] [X] [X] " and got[105].redacted == LONG + "[X]"
     digest = {r.doc_id: r for r in secrets.digest(secrets.scan(df, ratio)).collect()}
     assert digest[104].n_assign == 3 and digest[104].spans == "assign:0:12,assign:13:25,assign:26:38" and digest[100].base_sha256.startswith("e3b0c442")
-    assert (np.abs(secrets.train(df.limit(0))) < 1e-9).all()
+    assert secrets.spans_of(f"see {hidden} there", secrets.train(df.limit(0)))[1]
+
+
+def test_planted_secrets_that_no_pattern_sees(spark):
+    """Precision and recall on keys of many alphabets, beside paths, identifiers, numbers and lines of marks."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratio = secrets.train(docs_)
+    rnd = random.Random(12)
+    keys, usual = [], []
+    words = [w for r in docs_.where("lang = 'en'").limit(200).collect() for w in re.findall("[a-z]{4,12}", r.text.lower())]
+    for alphabet, size in (("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("0123456789ABCDEF", 40), ("abcdefghijklmnopqrstuvwxyz0123456789", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 43), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 24)):
+        keys += ["".join(rnd.choices(alphabet, k=size)) for _ in range(60)]
+    for _ in range(80):
+        ws = rnd.choices(words, k=4)
+        usual += ["/".join(ws), "_".join(ws), "-".join(ws) + "-2024", "".join(w.capitalize() for w in ws), rnd.choice("=-_/+") * rnd.randint(20, 80), "".join(rnd.choices("0123456789", k=rnd.randint(20, 23))), "_".join(ws).upper()]
+    hits = 0
+    for k in keys:
+        text = f"the {rnd.choice(words)} {k} and {rnd.choice(words)}."
+        at = text.index(k)
+        hits += any(min(e, at + len(k)) - max(s, at) >= 0.8 * len(k) for s, _, e, _, _ in secrets.spans_of(text, ratio)[1])
+    false = sum(bool(secrets.spans_of(f"the {u} and", ratio)[1]) for u in usual)
+    inside = sum(bool(secrets.spans_of("_".join(rnd.choices(words, k=3)) + "=" + k, ratio)[1]) for k in keys)
+    assert hits / len(keys) >= 0.95 and inside / len(keys) >= 0.95 and hits / (hits + false) >= 0.95, (hits, inside, len(keys), false, len(usual))
+
+
+def test_stretches_that_spans_cover():
+    rnd = random.Random(13)
+    for _ in range(300):
+        spans = sorted((a, 0, a + rnd.randint(1, 9)) for a in (rnd.randrange(60) for _ in range(rnd.randint(0, 6))))
+        for _ in range(10):
+            a = rnd.randrange(60)
+            b = a + rnd.randint(1, 9)
+            assert secrets.apart(secrets.taken(spans), a, b) == all(b <= s[0] or a >= s[2] for s in spans)
+    long = "token=abcdefgh " * 8000 + "a/plain_path/of-many/words_in_it " * 8000
+    assert len(secrets.spans_of(long, np.zeros((1, 128 * 128)))[1]) == 8000
 
 
 # ---- mixing -------------------------------------------------------------------------------------------------------
