@@ -25,13 +25,26 @@ def decide(rule: Column, n: Column, success: Column, skip: Column, failure: Colu
     return F.when(rule == "all-terminal", "run").when(rule == "any-failed", F.when(failure > 0, "run").otherwise("skipped")).otherwise(spread)
 
 
+def verdict(rule: str, upstream: list[str]) -> str:
+    """The same for one node, from the classes of its upstreams."""
+    if rule == "all-terminal":
+        return "run"
+    if rule == "any-failed":
+        return "run" if "failure" in upstream else "skipped"
+    rest = set(upstream) - {"success"}
+    return "run" if not rest else {"skip": "upstream-skipped", "stop": "cancelled"}.get(next(iter(rest)), "upstream-failed") if len(rest) == 1 else "upstream-failed"
+
+
 def run_outcome(n_failure: Column, n_stop: Column) -> Column:
     return F.when(n_failure > 0, "failed").when(n_stop > 0, "cancelled").otherwise("succeeded")
 
 
-def exit_code(outcome: Column, n_own_failures: Column) -> Column:
-    """A run's exit code: nodes that failed themselves (failed, timed-out) make a failed run, upstream failures do not."""
-    return F.when(outcome == "assembly-failed", EXIT["assembly-failed"]).when(outcome == "bootstrap-failed", EXIT["bootstrap-failed"]).when(n_own_failures > 0, EXIT["run-failed"]).when(outcome == "cancelled", EXIT["cancelled"]).otherwise(EXIT["success"])
+def exit_code(outcome: Column, n_own_failures: Column, sink_failed: Column | None = None) -> Column:
+    """A run's exit code, the first that holds: it never got to run; nodes failed themselves (failed, timed-out; upstream
+    failures do not count); the stream could not be written at the end; it was cancelled."""
+    never = F.when(outcome == "assembly-failed", EXIT["assembly-failed"]).when(outcome == "bootstrap-failed", EXIT["bootstrap-failed"])
+    lost = F.lit(False) if sink_failed is None else sink_failed
+    return never.when(n_own_failures > 0, EXIT["run-failed"]).when(lost, EXIT["sink-failed"]).when(outcome == "cancelled", EXIT["cancelled"]).otherwise(EXIT["success"])
 
 
 def resume_gate(prior: dict[str, Column], now: dict[str, Column]) -> Column:

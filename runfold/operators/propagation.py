@@ -1,12 +1,20 @@
-"""State propagation and resume over node and edge tables, for many runs at once."""
+"""State propagation and resume over node and edge tables, for many runs at once.
+
+What needs one look at a node's upstreams is relational. What walks a graph (the cascade, the closure of a resume) walks
+each run's graph in one function: a run has a thousand nodes at most, its nodes and edges meet in one shuffle by run_id,
+and the plan is the same whatever the depth.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runfold.functions import rules
-from runfold.schemas import state_class
+from runfold.schemas import class_of, state_class
 
 
 def decisions(edges: DataFrame, states: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -20,16 +28,51 @@ def decisions(edges: DataFrame, states: DataFrame, nodes: DataFrame) -> DataFram
     return out.where("n = known").select("run_id", "node", rules.decide(F.col("rule"), *(F.col(k) for k in ("n", "success", "skip", "failure", "stop"))).alias("decision"))
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, ran: DataFrame, depth: int) -> DataFrame:
-    """The states of all nodes, given what those that run end as. ``ran``: run_id, node, state; ``depth``: the length of the
-    longest chain, which bounds the rounds (graphs have a thousand nodes at most). A node that runs but isn't in ``ran``
-    stays undecided, and so does what hangs on it."""
-    done = None
-    for _ in range(depth):
-        known = done if done is not None else nodes.select("run_id", "node", F.lit(None).cast("string").alias("state")).limit(0)
-        made = decisions(edges, known, nodes).join(ran.select("run_id", "node", F.col("state").alias("own")), ["run_id", "node"], "left")
-        done = made.select("run_id", "node", F.when(F.col("decision") == "run", F.col("own")).otherwise(F.col("decision")).alias("state")).where("state IS NOT NULL")
-    return done
+def by_run(nodes: DataFrame, edges: DataFrame, fields: list[str], walk, schema: str) -> DataFrame:
+    """Rows that ``walk`` makes of each run's nodes (dicts of node and the fields) and edges (consumer, producer, kind)."""
+    kind = F.col("kind") if "kind" in edges.columns else F.lit("data")
+    own = nodes.select("run_id", F.struct("node", *fields).alias("n"), F.lit(None).cast("struct<consumer:string,producer:string,kind:string>").alias("e"))
+    arcs = edges.select("run_id", F.lit(None).cast(own.schema["n"].dataType).alias("n"), F.struct("consumer", "producer", kind.alias("kind")).alias("e"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ns = sorted((dict(n) for n in rows["n"] if n is not None), key=lambda n: n["node"])
+        es = sorted({(e["consumer"], e["producer"], e["kind"]) for e in rows["e"] if e is not None})
+        return pd.DataFrame([(key[0], *r) for r in walk(ns, es)], columns=["run_id", *names])
+
+    return own.unionByName(arcs).groupBy("run_id").applyInPandas(one, f"run_id string, {schema}")
+
+
+def cascade(nodes: list[dict], edges: list[tuple[str, str, str]]) -> list[tuple]:
+    """The states of one run's nodes: each is decided once, when the last of its upstreams has ended."""
+    ups, downs = defaultdict(set), defaultdict(set)
+    for consumer, producer, _ in edges:
+        ups[consumer].add(producer)
+        downs[producer].add(consumer)
+    own = {n["node"]: n for n in nodes}
+    waits = {n: len(ups[n] & own.keys()) for n in own}
+    ready, states = deque(sorted(n for n, k in waits.items() if not k)), {}
+    while ready:
+        node = ready.popleft()
+        counts = [class_of(states[u]) for u in ups[node] if u in own]
+        verdict = rules.verdict(own[node]["rule"], counts)
+        state = own[node]["own"] if verdict == "run" else verdict
+        if state is None:  # it runs, and nothing says how it ended
+            continue
+        states[node] = state
+        for down in sorted(downs[node]):
+            if down in own:
+                waits[down] -= 1
+                if not waits[down]:
+                    ready.append(down)
+    return list(states.items())
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, ran: DataFrame) -> DataFrame:
+    """The states of all nodes, given what those that run end as. ``ran``: run_id, node, state. A node that runs but isn't
+    in ``ran`` stays undecided, and so does what hangs on it."""
+    known = nodes.select("run_id", "node", "rule").join(ran.select("run_id", "node", F.col("state").alias("own")), ["run_id", "node"], "left")
+    return by_run(known, edges, ["rule", "own"], cascade, "node string, state string")
 
 
 def origins(edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -42,34 +85,66 @@ def origins(edges: DataFrame, states: DataFrame) -> DataFrame:
     return both.groupBy("run_id", F.col("consumer").alias("node")).agg(F.min_by("producer", F.struct((~same).alias("other"), "seq", "producer")).alias("origin"))
 
 
-def must_run(nodes: DataFrame, edges: DataFrame, prior: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a resume runs again, and the demanded durable outputs that are gone (a resume with any of these is refused).
-
-    A node runs if it did not succeed before (a state carried over from an earlier resume counts as not), if a teardown
-    covers it, if something it reads from runs, or if a node that runs reads from it and its output isn't durable.
-    nodes: node, durable, covered; edges: consumer, producer (data edges); prior: node, state; probes: node, found
-    (``present``, ``absent``, ``changed`` or ``unknown``). One graph; the loop ends after as many rounds as it has nodes.
+def resumption(nodes: list[dict], edges: list[tuple[str, str, str]]) -> list[tuple]:
+    """What a resume does with each node of one run; see ``resume``."""
+    own = {n["node"]: n for n in nodes}
+    downs, inputs = defaultdict(set), defaultdict(set)
+    for consumer, producer, kind in edges:
+        downs[producer].add(consumer)  # by data or by order
+        if kind == "data":
+            inputs[consumer].add(producer)
+    seed = {k for k, n in own.items() if n["state"] != "succeeded" or n["covered"]}
+    again, todo, demanded = set(), deque(sorted(seed)), set()
+    while todo:
+        node = todo.popleft()
+        if node in again or node not in own:
+            continue
+        again.add(node)
+        todo.extend(sorted(downs[node]))
+        for p in sorted(inputs[node] & own.keys()):
+            n = own[p]
+            stands = n["state"] == "succeeded" and n["durable"] and n["durable_reference"] is not None
+            demanded |= {p} if stands else set()
+            todo.extend([] if stands else [p])
+    out = []
+    for k, n in own.items():
+        read = k in demanded and k not in again
+        refusal = {"absent": "dangling reference", "changed": "mutated reference"}.get(n["found"]) if read else None
+        out.append((k, "run" if k in again else "satisfied-from-prior", k in seed, n["durable_reference"] if read else None, refusal, None if k in again else n["originating_run"]))
+    return out
+
+
+def resume(nodes: DataFrame, edges: DataFrame, prior: DataFrame, probes: DataFrame) -> DataFrame:
+    """For each run to resume, what becomes of its nodes: node, decision (``run`` or ``satisfied-from-prior``), seed,
+    rehydrate (the durable reference that something that runs will read), refusal and originating_run.
+
+    A node runs again if it did not succeed before (a state carried over from an earlier resume counts as not), if a
+    teardown covers it, if something upstream of it runs again, by data or by order, or if something that runs again
+    reads from it and it has no durable output on record. Outputs that are read again are looked for: if one is gone or
+    not what it was, the resume is refused; if nothing can be told, it goes on.
+
+    nodes: run_id, node, durable, covered; edges: run_id, consumer, producer, kind (``data`` or ``ordering``); prior:
+    run_id, node, state, durable_reference, originating_run; probes: run_id, node, found (``present``, ``absent``,
+    ``changed`` or ``unknown``).
     """
-    ok = prior.where("state = 'succeeded'").select("node")
-    now = {r.node for r in nodes.join(ok, "node", "left_anti").select("node").union(nodes.where("covered").select("node")).collect()}
-    pairs = [(r.consumer, r.producer) for r in edges.select("consumer", "producer").distinct().collect()]
-    durable = {r.node for r in nodes.where("durable").collect()}
-    while True:  # a graph of a thousand nodes at most, on the driver
-        more = {c for c, p in pairs if p in now} | {p for c, p in pairs if c in now and p not in durable}
-        if more <= now:
-            break
-        now |= more
-    demanded = sorted({p for c, p in pairs if c in now and p not in now})
-    spark = nodes.sparkSession
-    again = spark.createDataFrame([(n,) for n in sorted(now)], "node string")
-    asked = spark.createDataFrame([(n,) for n in demanded], "node string")
-    return again, asked.join(probes, "node").where("found IN ('absent', 'changed')").select("node", "found")
-
-
-def satisfied(nodes: DataFrame, again: DataFrame, prior: DataFrame, run_id: str) -> DataFrame:
-    """Nodes whose earlier success still stands, with the run it came from."""
-    kept = nodes.select("node").join(again, "node", "left_anti").join(prior.where("state = 'succeeded'"), "node")
-    return kept.select("node", F.lit("satisfied-from-prior").alias("state"), F.lit(run_id).alias("originating_run"))
+    before = prior.select("run_id", "node", "state", "durable_reference", F.coalesce("originating_run", "run_id").alias("originating_run"))
+    known = nodes.select("run_id", "node", F.coalesce("durable", F.lit(False)).alias("durable"), F.coalesce("covered", F.lit(False)).alias("covered")).join(before, ["run_id", "node"], "left").join(probes.select("run_id", "node", "found"), ["run_id", "node"], "left")
+    fields = ["durable", "covered", "state", "durable_reference", "originating_run", "found"]
+    return by_run(known, edges, fields, resumption, "node string, decision string, seed boolean, rehydrate string, refusal string, originating_run string")
+
+
+def resumed_records(plan: DataFrame, prior: DataFrame, run_id: str) -> DataFrame:
+    """What a resumed run's stream says of nodes that aren't run again: a terminal record for each, with the reference and
+    the run that it comes from. plan: what ``resume`` gave; prior: as there."""
+    kept = plan.where("decision = 'satisfied-from-prior'").select(F.col("run_id").alias("parent"), "node", "originating_run")
+    refs = prior.select(F.col("run_id").alias("parent"), "node", "durable_reference")
+    out = kept.join(refs, ["parent", "node"], "left")
+    return out.select(F.lit(run_id).alias("run_id"), F.lit("node-terminal").alias("kind"), "node", F.lit("satisfied-from-prior").alias("state"), "durable_reference", F.col("originating_run").alias("satisfied_from_run"))
+
+
+def lineage(parent: str, parent_lineage: dict | None) -> dict:
+    """A resumed run's lineage: the run it resumes, and the first of the line."""
+    return {"run_id": parent, "parent_run_id": parent, "lineage_root_run_id": (parent_lineage or {}).get("lineage_root_run_id") or parent}
 
 
 def not_replayable(node: str, edges: DataFrame, references: DataFrame) -> DataFrame:

@@ -57,6 +57,11 @@ def state_class(state: Column) -> Column:
     return F.when(state.isin(*SUCCESS_LIKE), "success").when(state.isin(*SKIP_LIKE), "skip").when(state.isin(*FAILURE_LIKE), "failure").when(state.isin(*STOP_LIKE), "stop")
 
 
+def class_of(state: str) -> str | None:
+    """The same for one state."""
+    return next((c for c, of in (("success", SUCCESS_LIKE), ("skip", SKIP_LIKE), ("failure", FAILURE_LIKE), ("stop", STOP_LIKE)) if state in of), None)
+
+
 def violations(records: DataFrame) -> DataFrame:
     """(run_id, seq, path, reason) for every rule that a record breaks."""
     text = lambda c: F.col(c).isNull() | (F.col(c) == "")

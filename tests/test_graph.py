@@ -1,12 +1,14 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from runfold.functions import rules
 from runfold.operators import propagation
 from runfold.operators.simulate import admissions, capped_metrics
 from runfold.plans import graph, runtime
 from runfold.plans.graph import Pipeline, Policy
+from runfold.schemas import class_of
 from runfold.sources.jsonl import EventWriter
 
 
@@ -60,9 +62,9 @@ def test_propagation_as_in_plain_python(spark, seed):
             edges += [(str(g), name, f"n{u}") for u in ups for _ in range(rnd.randint(1, 2))]
             own = rnd.choice(["succeeded", "failed", "skipped", "timed-out", "cancelled", "succeeded"])
             ran.append((str(g), name, own))
-            verdict = runtime.decide(rule, [want[str(g), f"n{u}"] for u in ups])
+            verdict = rules.verdict(rule, [class_of(want[str(g), f"n{u}"]) for u in ups])
             want[str(g), name] = own if verdict == "run" else verdict
-    got = propagation.propagate(spark.createDataFrame(nodes, "run_id string, node string, rule string"), spark.createDataFrame(edges or [("x", "y", "z")], "run_id string, consumer string, producer string"), spark.createDataFrame(ran, "run_id string, node string, state string"), 9)
+    got = propagation.propagate(spark.createDataFrame(nodes, "run_id string, node string, rule string"), spark.createDataFrame(edges or [("x", "y", "z")], "run_id string, consumer string, producer string"), spark.createDataFrame(ran, "run_id string, node string, state string"))
     assert {(r.run_id, r.node): r.state for r in got.collect()} == want
 
 
@@ -72,23 +74,71 @@ def test_origin(spark):
     assert propagation.origins(edges, states).first().origin == "b"
 
 
-def test_resume(spark):
-    nodes = spark.createDataFrame([("a", True, False), ("b", True, False), ("c", False, False), ("d", True, False), ("e", True, True)], "node string, durable boolean, covered boolean")
-    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c")], "consumer string, producer string")
-    prior = spark.createDataFrame([("a", "succeeded"), ("b", "succeeded"), ("c", "succeeded"), ("d", "failed"), ("e", "succeeded")], "node string, state string")
-    probes = spark.createDataFrame([("b", "absent"), ("a", "unknown")], "node string, found string")
-    again, gone = propagation.must_run(nodes, edges, prior, probes)
-    assert sorted(r.node for r in again.collect()) == ["c", "d", "e"] and [(r.node, r.found) for r in gone.collect()] == [("b", "absent")]
-    assert sorted(r.node for r in propagation.satisfied(nodes, again, prior, "r0").collect()) == ["a", "b"]
-    carried = prior.replace("succeeded", "satisfied-from-prior", "state")
-    assert propagation.must_run(nodes, edges, carried, probes)[0].count() == 5
+def test_a_chain_of_a_thousand(spark):
+    """The plan does not grow with the depth."""
+    n = 1000
+    nodes = spark.createDataFrame([("r", f"n{i:04}", "all-succeeded") for i in range(n)], "run_id string, node string, rule string")
+    edges = spark.createDataFrame([("r", f"n{i:04}", f"n{i - 1:04}") for i in range(1, n)], "run_id string, consumer string, producer string")
+    ran = nodes.select("run_id", "node", F.when(F.col("node") == "n0500", "failed").otherwise("succeeded").alias("state"))
+    got = {r.node: r.state for r in propagation.propagate(nodes, edges, ran).collect()}
+    assert got["n0499"] == "succeeded" and got["n0500"] == "failed" and got["n0501"] == got["n0999"] == "upstream-failed" and len(got) == n
+
+
+def plain_resume(nodes, edges, state, refs, found):
+    """The least set that holds what the rules say, and what must still be there."""
+    again = {n for n, (_, covered) in nodes.items() if state.get(n) != "succeeded" or covered}
+    while True:
+        more = {c for c, p, _ in edges if p in again}
+        more |= {p for c, p, k in edges if k == "data" and c in again and p not in again and not (nodes[p][0] and refs.get(p))}
+        if more <= again:
+            break
+        again |= more
+    read = {p for c, p, k in edges if k == "data" and c in again and p not in again}
+    return again, {p: refs[p] for p in read}, {p for p in read if found.get(p) in ("absent", "changed")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_resume_as_in_plain_python(spark, seed):
+    rnd, rows, arcs, prior, probes, want = random.Random(seed), [], [], [], [], {}
+    for g in range(40):
+        names = [f"n{i}" for i in range(rnd.randint(1, 9))]
+        nodes = {n: (rnd.random() < 0.6, rnd.random() < 0.05) for n in names}
+        edges = [(names[i], names[j], rnd.choice(["data", "data", "ordering"])) for i in range(len(names)) for j in rnd.sample(range(i), min(i, rnd.randint(0, 3)))]
+        state = {n: rnd.choice(["succeeded"] * 8 + ["failed", "satisfied-from-prior", "skipped"]) for n in names if rnd.random() < 0.97}
+        refs = {n: f"t/{n}" for n in state if rnd.random() < 0.85}
+        found = {n: rnd.choice(["present"] * 6 + ["unknown", "absent", "changed"]) for n in names if rnd.random() < 0.9}
+        rows += [(str(g), n, *f) for n, f in nodes.items()]
+        arcs += [(str(g), *e) for e in edges]
+        prior += [(str(g), n, s, refs.get(n), None if rnd.random() < 0.8 else "older") for n, s in state.items()]
+        probes += [(str(g), n, f) for n, f in found.items()]
+        want[str(g)] = plain_resume(nodes, edges, state, refs, found)
+    before = spark.createDataFrame(prior, "run_id string, node string, state string, durable_reference string, originating_run string")
+    plan = propagation.resume(spark.createDataFrame(rows, "run_id string, node string, durable boolean, covered boolean"), spark.createDataFrame(arcs, "run_id string, consumer string, producer string, kind string"), before, spark.createDataFrame(probes, "run_id string, node string, found string")).persist()
+    got = {}
+    for r in plan.collect():
+        again, read, refused = got.setdefault(r.run_id, (set(), {}, set()))
+        again |= {r.node} if r.decision == "run" else set()
+        read |= {r.node: r.rehydrate} if r.rehydrate else {}
+        refused |= {r.node} if r.refusal else set()
+        assert (r.originating_run is None) == (r.decision == "run")
+    assert got == want
+    records = propagation.resumed_records(plan.where("run_id = '0'"), before, "again")
+    assert {r.node for r in records.collect()} == {r.node for r in plan.where("run_id = '0' AND decision <> 'run'").collect()}
+    assert propagation.lineage("b", {"lineage_root_run_id": "a"}) == {"run_id": "b", "parent_run_id": "b", "lineage_root_run_id": "a"} and propagation.lineage("a", None)["lineage_root_run_id"] == "a"
+
+
+def test_ordering_edges_and_missing_references(spark):
+    nodes = spark.createDataFrame([("r", n, d, False) for n, d in (("a", False), ("b", True), ("c", True), ("d", True))], "run_id string, node string, durable boolean, covered boolean")
+    edges = spark.createDataFrame([("r", "b", "a", "ordering"), ("r", "d", "c", "data")], "run_id string, consumer string, producer string, kind string")
+    prior = spark.createDataFrame([("r", "a", "failed", None, None), ("r", "b", "succeeded", "t/b", None), ("r", "c", "succeeded", None, None), ("r", "d", "failed", None, None)], "run_id string, node string, state string, durable_reference string, originating_run string")
+    plan = propagation.resume(nodes, edges, prior, spark.createDataFrame([], "run_id string, node string, found string"))
+    # b comes after a, which runs again; c is durable by its policy, but nothing is on record to read
+    assert {r.node for r in plan.where("decision = 'run'").collect()} == {"a", "b", "c", "d"}
     refs = spark.createDataFrame([("b", "x"), ("c", None)], "node string, durable_reference string")
-    assert propagation.not_replayable("c", edges, refs).count() == 0 and propagation.not_replayable("d", edges, refs).count() == 1
+    assert propagation.not_replayable("d", edges, refs).count() == 1
 
 
 def test_gate_and_scalars(spark):
-    from pyspark.sql import functions as F
-
     lit = {k: F.lit(v) for k, v in {"algorithm": 1, "tool": "1", "structural": "fnv1a-64:v1:00FF", "policy": "aa"}.items()}
     one = spark.range(1)
     gate = lambda **k: one.select(rules.resume_gate(lit, lit | {x: F.lit(v) for x, v in k.items()}).alias("g")).first().g
