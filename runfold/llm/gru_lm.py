@@ -1,20 +1,23 @@
 """LM scoring: a gated recurrent language model with a class-factored output, trained and run in numpy.
 
-P(token | before) = P(class | state) * P(token | class). The state is that of a gated recurrent unit that reads the
-classes of the tokens before; the classes are a softmax over it. The most frequent tokens are classes of their own; the
-others fall into classes by their spelling (their last letters), in which a token has its share of add-one counts over
-all training tokens and one unknown token has the share of a count of 0. So every string has a probability, and the
-probabilities of a class's known tokens and its unknown one add up to 1.
+P(token | before) = P(class | state) * P(token | class, state). The state is that of a gated recurrent unit that reads the
+tokens before. The end token is a class of its own; the ``HEADS * SLOTS`` most frequent words fall into ``HEADS`` classes by
+frequency, and within a class a word is chosen by a softmax over the state as well. All other words fall into classes by
+their spelling (their last letters), in which a word has its share of add-one counts over all training tokens, whatever the
+state, and one unknown word has the share of a count of 0; the unit reads such a word as its class. So every string has a
+probability, and those of a class's known words and its unknown one add up to 1.
 
 Counts cover all training tokens and are joined, not broadcast; only the ``HEAD`` most frequent tokens, and the classes'
 totals, are sent to every task. The recurrent weights are trained by truncated backpropagation (windows of ``WINDOW``
 tokens, the state carried over from window to window) on every training document, in parallel on parts of them. There
-are ``ROUNDS`` rounds, each on its own parts, and the weights are averaged over a round's parts after it. A small table's
-rounds are on all its parts, again and again. Texts are cut into tokens once, and training and scoring read their classes.
+are ``ROUNDS`` rounds, each on its own parts, and the weights are averaged over a round's parts after it. A table of few
+documents is one part, read again and again. Texts are cut into tokens once, and training and scoring read their ids.
 Scoring reads every whole text, in windows, and carries the state across them.
 
-A null or empty text is its end token alone. Repeated rows are trained on and scored as rows like others. Without any
-training document nothing is known: the base score is 0 and classes are equally likely.
+A null or empty text is its end token alone. Very long texts are scored whole. Repeated rows are trained on and scored as
+rows like others. Words of equal counts are ranked by their bytes. Without any training document nothing is known: the
+base score is 0 and classes are equally likely. An empty table gives an empty result. Other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -30,30 +33,41 @@ from pyspark.sql import functions as F
 
 from runfold.llm._common import Tables, small_batches, texts, words
 
-#: Tokens that are sent to every task with their counts; those of them that are classes of their own; classes by spelling.
-HEAD, SINGLE, SPELLED = 1 << 16, 95, 64
-CLASSES, HIDDEN = 1 + SINGLE + SPELLED, 24
-WINDOW, LANES = 32, 64
-#: Rounds of training, and documents in a part. Up to LEAST_DOCS documents, each round learns from all of them; from more,
-#: each from its share, so that every document is learned from once.
-ROUNDS, PART_DOCS, LEAST_DOCS = 3, 400, 2000
-#: Parts that one task trains on, one after another.
-TASK_PARTS = 4
-SCORE_WINDOW, SCORE_LANES = 32, 256
-#: Tokens of which a task holds the classes before it scores them together.
+#: Tokens that are sent to every task with their counts.
+HEAD = 1 << 16
+#: Classes of frequent words, words in each, and classes by spelling.
+HEADS, SLOTS, SPELLED = 23, 64, 64
+#: Ids of tokens: the end, frequent words by rank, classes by spelling; and the mark that a text begins with.
+WORDS = HEADS * SLOTS
+START = 1 + WORDS + SPELLED
+CLASSES, HIDDEN = 1 + HEADS + SPELLED, 24
+WINDOW, LANES = 32, 256
+#: Rounds of training, and documents in a part. Fewer documents than make a part for each round are one part, which each
+#: round reads whole, and again until it has seen LEAST_TOKENS, AGAIN times at most.
+ROUNDS, PART_DOCS = 3, 3000
+LEAST_TOKENS, AGAIN, RATE = 1_000_000, 6, 0.02
+SCORE_WINDOW, SCORE_LANES = 32, 512
+#: Tokens of which a task holds the ids before it scores them together.
 SCORE_TOKENS = 2_000_000
+#: States whose softmaxes are worked out together: over classes (so that they stay in the cache) and within classes.
+BLOCK, WITHIN = 1024, 8192
 #: The end token. No word holds white space.
 END = b"\n"
 
 
 def spelled(word: bytes) -> int:
-    """The class of a token that is none of its own, by its last two bytes."""
-    return 1 + SINGLE + zlib.crc32(word[-2:]) % SPELLED
+    """The id of a word that is none of the frequent ones: its class, by its last two bytes."""
+    return 1 + WORDS + zlib.crc32(word[-2:]) % SPELLED
 
 
 def spelled_column(word: Column) -> Column:
     tail = F.when(F.octet_length(word) > 2, F.substring(word, -2, 2)).otherwise(word)
-    return (F.crc32(tail) % SPELLED + 1 + SINGLE).cast("int")
+    return (F.crc32(tail) % SPELLED + 1 + WORDS).cast("int")
+
+
+def class_of(ids: np.ndarray) -> np.ndarray:
+    """0 for the end, then the classes of frequent words, then those by spelling."""
+    return np.where(ids == 0, 0, np.where(ids <= WORDS, (ids - 1) // SLOTS + 1, ids - WORDS + HEADS))
 
 
 def held_out(key: str) -> Column:
@@ -64,9 +78,10 @@ def held_out(key: str) -> Column:
 
 
 class Gru:
-    """Weights in one flat vector: input tables by class for the three gates, recurrent weights, output weights."""
+    """Weights in one flat vector: what each id adds to the three gates, recurrent weights, and the output weights of the
+    classes and of the words within each class of frequent ones; an output's last weight is its bias."""
 
-    shapes = (("e", (CLASSES + 1, 3 * HIDDEN)), ("u", (HIDDEN, 3 * HIDDEN)), ("o", (HIDDEN, CLASSES)), ("c", (CLASSES,)))
+    shapes = (("e", (START + 1, 3 * HIDDEN)), ("u", (HIDDEN, 3 * HIDDEN)), ("o", (HIDDEN + 1, CLASSES)), ("w", (HEADS, HIDDEN + 1, SLOTS)))
     size = sum(int(np.prod(s)) for _, s in shapes)
 
     def __init__(self, flat: np.ndarray):
@@ -75,16 +90,19 @@ class Gru:
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
-        self.oc = flat[-(HIDDEN + 1) * CLASSES :].reshape(HIDDEN + 1, CLASSES)  # o and c
 
     @classmethod
     def start(cls, freq: np.ndarray, seed: int) -> np.ndarray:
+        """Weights that give each id its share ``freq`` of the training tokens, whatever the state."""
         flat = np.random.default_rng(seed).normal(0, 0.1, cls.size).astype(np.float32)
-        cls(flat).c[:] = np.log(freq + 1e-4)
+        model = cls(flat)
+        by_class = np.bincount(class_of(np.arange(START)), freq, CLASSES)
+        model.o[-1] = np.log(by_class + 1e-6)
+        model.w[:, -1] = np.log(freq[1 : 1 + WORDS].reshape(HEADS, SLOTS) + 1e-9)
         return flat
 
     def read(self, x: np.ndarray) -> np.ndarray:
-        """What classes x (steps x lanes; CLASSES: a text's beginning) add to the gates: steps x gates x lanes."""
+        """What ids x (steps x lanes; START: a text's beginning) add to the gates: steps x gates x lanes."""
         return np.ascontiguousarray(self.e[x].transpose(0, 2, 1))
 
     def step(self, e: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
@@ -106,16 +124,44 @@ class Gru:
         new += h
         return new
 
-    def log_chosen(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log P(class y | state h), columns of states that end in a 1; and of all classes what is in proportion to their
+    @staticmethod
+    def log_chosen(weights: np.ndarray, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log P(y | state h) of a softmax, rows of states that end in a 1; and what is in proportion to all
         probabilities, and its sums."""
-        p = self.oc.T @ h
-        p -= p.max(0)
-        out = p[y, np.arange(len(y))]
+        p = h @ weights
+        out = p[np.arange(len(y)), y]
+        top = float(p.max(initial=0.0))
+        if top > 60 or float(p.min(initial=0.0)) < -60:  # exponentials could leave the range of a float
+            top = p.max(1, keepdims=True)
+            p -= top
+            out = out - top[:, 0]
         np.exp(p, out=p)
-        total = p.sum(0)
+        total = p.sum(1)
         return out - np.log(total), p, total
 
+    @staticmethod
+    def by_heads(y: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each class of frequent words that the ids y have: its number, the places, and the words within it."""
+        for block in range(0, len(y), WITHIN):
+            own = y[block : block + WITHIN]
+            head = (own - 1) // SLOTS
+            head[(own < 1) | (own > WORDS)] = HEADS
+            order = np.argsort(head.astype(np.uint8), kind="stable")
+            ends = np.cumsum(np.bincount(head, minlength=HEADS + 1)[: HEADS + 1])
+            for k in range(HEADS):
+                at = order[ends[k - 1] if k else 0 : ends[k]]
+                if len(at):
+                    yield k, at + block, own[at] - 1 - k * SLOTS
+
+    def log_p(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """log P(id | state), rows of states that end in a 1."""
+        out, cls = np.empty(len(y), np.float64), class_of(y)
+        for at in range(0, len(y), BLOCK):
+            out[at : at + BLOCK] = self.log_chosen(self.o, states[at : at + BLOCK], cls[at : at + BLOCK])[0]
+        for k, at, slot in self.by_heads(y):
+            out[at] += self.log_chosen(self.w[k], states[at], slot)[0]
+        return out
+
     def learn(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """The gradient over one window (steps x lanes) that begins in state h, the state after it, and the loss."""
         n, (steps, lanes), kind = HIDDEN, x.shape, self.flat.dtype
@@ -125,20 +171,28 @@ class Gru:
         on = live.astype(kind)
         for t in range(steps):
             hs[t + 1] = self.step(e[t], hs[t], None if live[t].all() else on[t])
-        states = np.ones((n + 1, steps * lanes), kind)
-        states[:n] = hs[1:].transpose(1, 0, 2).reshape(n, -1)
-        flat_y, flat_on, share = y.ravel(), on.ravel(), kind.type(1 / max(1, int(live.sum())))
-        back, loss = np.empty((n, steps * lanes), kind), 0.0
-        for at in range(0, steps * lanes, 1024):  # so that the classes' probabilities of a block stay in the cache
-            part = slice(at, at + 1024)
-            own, of, weight = states[:, part], flat_y[part], flat_on[part] * share
-            logp, d, total = self.log_chosen(own, of)
-            loss -= float((logp * flat_on[part]).sum())
-            d *= weight / total
-            d[of, np.arange(len(of))] -= weight
-            grad.oc += own @ d.T
-            back[:, part] = self.o @ d
-        back = back.reshape(n, steps, lanes)
+        states = np.ones((steps * lanes, n + 1), kind)
+        states.reshape(steps, lanes, n + 1)[:, :, :n] = hs[1:].transpose(0, 2, 1)
+        flat_y, share = y.ravel(), kind.type(1 / max(1, int(live.sum())))
+        weight, cls = on.ravel() * share, class_of(flat_y)
+        back, loss = np.empty((steps * lanes, n), kind), 0.0
+
+        def output(weights: np.ndarray, into: np.ndarray, at, chosen: np.ndarray) -> np.ndarray:
+            nonlocal loss
+            own, share = states[at], weight[at]
+            logp, d, total = self.log_chosen(weights, own, chosen)
+            loss -= float(logp @ share)
+            d *= (share / total)[:, None]
+            d[np.arange(len(chosen)), chosen] -= share
+            into += own.T @ d
+            return d @ weights[:n].T
+
+        for at in range(0, steps * lanes, BLOCK):
+            part = slice(at, at + BLOCK)
+            back[part] = output(self.o, grad.o, part, cls[part])
+        for k, at, slot in self.by_heads(flat_y):
+            back[at] += output(self.w[k], grad.w[k], at, slot)
+        back = np.ascontiguousarray(back.reshape(steps, lanes, n).transpose(0, 2, 1))
         before, z, r, g = hs[:-1], e[:, :n], e[:, n : 2 * n], e[:, 2 * n :]
         rest = 1 - z
         to_a, to_z, to_r = z * (1 - g * g), (g - before) * z * rest, before * r * (1 - r)
@@ -146,7 +200,7 @@ class Gru:
         ua, uzr = self.u[:, 2 * n :], self.u[:, : 2 * n]
         for t in reversed(range(steps)):
             own, dh = gates[t], carry
-            dh += back[:, t]
+            dh += back[t]
             drh = ua @ np.multiply(dh, to_a[t], out=own[2 * n :])
             np.multiply(dh, to_z[t], out=own[:n])
             np.multiply(drh, to_r[t], out=own[n : 2 * n])
@@ -157,7 +211,7 @@ class Gru:
         rows = gates.transpose(0, 2, 1).reshape(-1, 3 * n)
         grad.u[:, : 2 * n] = before.transpose(1, 0, 2).reshape(n, -1) @ rows[:, : 2 * n]
         grad.u[:, 2 * n :] = (r * before).transpose(1, 0, 2).reshape(n, -1) @ rows[:, 2 * n :]
-        flat_x = x.ravel().astype(np.uint8)
+        flat_x = x.ravel().astype(np.uint16)
         order = np.argsort(flat_x, kind="stable")
         at = flat_x[order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
@@ -165,51 +219,77 @@ class Gru:
         return grad.flat, hs[-1].T, loss
 
 
+class Adam:
+    """Steps of a rate by running means of the gradient and its square; gradients longer than 1 are shortened."""
+
+    def __init__(self, size: int):
+        self.m, self.v, self.steps = np.zeros(size, np.float32), np.zeros(size, np.float32), 0
+
+    def step(self, flat: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        norm = float(np.sqrt(grad @ grad))
+        grad *= min(1.0, 1.0 / (norm + 1e-9))
+        self.steps += 1
+        self.m *= 0.9
+        self.m += 0.1 * grad
+        self.v *= 0.99
+        grad *= grad
+        grad *= 0.01
+        self.v += grad
+        size = np.sqrt(self.v, out=grad)
+        size *= 1 / np.sqrt(1 - 0.99**self.steps)
+        size += 1e-6
+        np.divide(self.m, size, out=size)
+        size *= rate / (1 - 0.9**self.steps)
+        flat -= size
+
+
 def fit(flat: np.ndarray, docs: list[np.ndarray], seed: int, rate: float) -> tuple[np.ndarray, int]:
-    """Weights after one pass over the documents (arrays of classes), and the tokens seen. Lanes hold one document after
-    another; a lane's state is carried from window to window and reset where a document begins."""
+    """Weights after reading the documents (arrays of ids), and their tokens. Lanes hold one document after another; a
+    lane's state is carried from window to window and reset where a document begins. Few tokens are read several times,
+    in fewer lanes. The rate falls to a tenth on the way."""
     model, rng = Gru(flat.astype(np.float32).copy()), np.random.default_rng(seed)
-    order, at = rng.permutation(len(docs)), 0
-    long = np.argsort([-len(docs[i]) for i in order], kind="stable")[:LANES]  # first, so that none is left alone at the end
-    order = np.concatenate([order[long], np.delete(order, long)])
-    m, v, step, seen = np.zeros_like(model.flat), np.zeros_like(model.flat), 0, 0
-    lanes = min(LANES, len(docs))
-    doc: list[np.ndarray | None] = [None] * lanes
-    place = [0] * lanes
-    h = np.zeros((lanes, HIDDEN), np.float32)
-    while True:
-        if at == len(order):  # lanes without a document are closed
-            busy = [k for k in range(lanes) if doc[k] is not None]
-            doc, place, h, lanes = [doc[k] for k in busy], [place[k] for k in busy], h[busy], len(busy)
-            if not lanes:
-                return model.flat, seen
-        x = np.full((WINDOW, lanes), CLASSES)
-        y, live = np.zeros((WINDOW, lanes), np.int64), np.zeros((WINDOW, lanes), bool)
-        for k in range(lanes):
-            if doc[k] is None and at < len(order):
-                doc[k], place[k] = docs[order[at]], 0
-                at += 1
-                h[k] = 0
-            if doc[k] is not None:
-                part = doc[k][place[k] : place[k] + WINDOW]
-                y[: len(part), k], live[: len(part), k] = part, True
-                x[1 : len(part), k] = part[:-1]
-                x[0, k] = doc[k][place[k] - 1] if place[k] else CLASSES
-                place[k] += WINDOW
-                if place[k] >= len(doc[k]):
-                    doc[k] = None
-        grad, h, _ = model.learn(x, y, live, h)
-        norm = float(np.sqrt((grad * grad).sum()))
-        grad *= min(1.0, 1.0 / (norm + 1e-9))
-        step += 1
-        seen += int(live.sum())
-        m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        model.flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    tokens = sum(map(len, docs))
+    times = max(1, min(AGAIN, round(LEAST_TOKENS / max(1, tokens))))
+    most = LANES if tokens >= LEAST_TOKENS else LANES // 8
+    adam = Adam(len(model.flat))
+    seen = 0
+    for _ in range(times):
+        order, at = rng.permutation(len(docs)), 0
+        long = np.argsort([-len(docs[i]) for i in order], kind="stable")[:most]  # first, so that none is left alone at the end
+        order = np.concatenate([order[long], np.delete(order, long)])
+        lanes = min(most, len(docs))
+        doc: list[np.ndarray | None] = [None] * lanes
+        place = [0] * lanes
+        h = np.zeros((lanes, HIDDEN), np.float32)
+        while lanes:
+            if at == len(order):  # lanes without a document are closed
+                busy = [k for k in range(lanes) if doc[k] is not None]
+                doc, place, h, lanes = [doc[k] for k in busy], [place[k] for k in busy], h[busy], len(busy)
+                if not lanes:
+                    break
+            x = np.full((WINDOW, lanes), START)
+            y, live = np.zeros((WINDOW, lanes), np.int64), np.zeros((WINDOW, lanes), bool)
+            for k in range(lanes):
+                if doc[k] is None and at < len(order):
+                    doc[k], place[k] = docs[order[at]], 0
+                    at += 1
+                    h[k] = 0
+                if doc[k] is not None:
+                    part = doc[k][place[k] : place[k] + WINDOW]
+                    y[: len(part), k], live[: len(part), k] = part, True
+                    x[1 : len(part), k] = part[:-1]
+                    x[0, k] = doc[k][place[k] - 1] if place[k] else START
+                    place[k] += WINDOW
+                    if place[k] >= len(doc[k]):
+                        doc[k] = None
+            grad, h, _ = model.learn(x, y, live, h)
+            adam.step(model.flat, grad, rate * max(0.1, 1 - seen / (times * tokens)))
+            seen += int(live.sum())
+    return model.flat, tokens
 
 
 def log_likelihoods(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
-    """The sum of log10 P(class | state) over each document. Lanes hold one document after another, the longest first; a
+    """The sum of log10 P(id | state) over each document. Lanes hold one document after another, the longest first; a
     lane's state is carried from window to window until its document ends."""
     out, order, at = np.zeros(len(docs)), sorted(range(len(docs)), key=lambda i: -len(docs[i])), 0
     lanes: list[list[int]] = []  # document, place
@@ -221,7 +301,7 @@ def log_likelihoods(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
         if new:
             at += len(new)
             lanes += [[i, 0] for i in new]
-            h, last = np.concatenate([h, np.zeros((HIDDEN, len(new)), np.float32)], axis=1), np.concatenate([last, np.full(len(new), CLASSES)])
+            h, last = np.concatenate([h, np.zeros((HIDDEN, len(new)), np.float32)], axis=1), np.concatenate([last, np.full(len(new), START)])
         if not lanes:
             return out / np.log(10)
         steps = min(SCORE_WINDOW, max(len(docs[i]) - place for i, place in lanes))
@@ -231,15 +311,15 @@ def log_likelihoods(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
             y[: len(part), k], live[: len(part), k] = part, True
             lane[1] += steps
         x, last = np.concatenate([last[None], y[:-1]]), y[-1]
-        sums = np.zeros(len(lanes))
-        for t in range(0, steps, 8):  # so that the classes' logits of a block stay in the cache
-            e = model.read(x[t : t + 8])
-            hs = np.ones((HIDDEN + 1, len(e), len(lanes)), np.float32)
-            for k in range(len(e)):
-                h = hs[:HIDDEN, k] = model.step(e[k], h)
-            logp = model.log_chosen(hs.reshape(HIDDEN + 1, -1), y[t : t + 8].ravel())[0].reshape(-1, len(lanes))
-            sums += np.where(live[t : t + 8], logp, 0).sum(0, dtype=np.float64)
-        out[[lane[0] for lane in lanes]] += sums
+        hs, e = np.ones((steps, len(lanes), HIDDEN + 1), np.float32), model.read(x)
+        for t in range(steps):
+            h = model.step(e[t], h)
+            hs[t, :, :HIDDEN] = h.T
+        on = np.flatnonzero(live)
+        some = hs.reshape(-1, HIDDEN + 1)
+        logp = np.zeros(live.size)
+        logp[on] = model.log_p(some if len(on) == live.size else some[on], y.ravel()[on])
+        out[[lane[0] for lane in lanes]] += logp.reshape(live.shape).sum(0)
 
 
 # ---- passes over the corpus ---------------------------------------------------------------------------------------
@@ -256,20 +336,20 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column(0).to_pylist():
             counts.update(words(text))
             counts[END] += 1
-        if len(counts) > 200_000:
+        if len(counts) > 400_000:
             yield out()
             counts.clear()
     yield out()
 
 
 class Head(dict):
-    """word -> place among the most frequent tokens, -1 for others. The end is class 0, the first SINGLE others are
-    classes of their own, the rest are classed by their spelling."""
+    """word -> place among the most frequent tokens, -1 for others. The end has id 0, the first WORDS others
+    have ids by rank, the rest are classed by their spelling."""
 
     def __init__(self, ranked: list[tuple[bytes, int]]):
         super().__init__((w, i) for i, (w, _) in enumerate(ranked))
         self.count = dict(ranked)
-        self.ids = {END: 0} | {w: i + 1 for i, (w, _) in enumerate([r for r in ranked if r[0] != END][:SINGLE])}
+        self.ids = {END: 0} | {w: i + 1 for i, (w, _) in enumerate([r for r in ranked if r[0] != END][:WORDS])}
         self.logs = np.log10(np.array([n for _, n in ranked] + [0]) + 1.0)
         self.kind = np.array([self.ids.get(w, spelled(w)) for w, _ in ranked] + [0], dtype=np.int64)
 
@@ -293,7 +373,7 @@ def train_part(sent, seed: int, rate: float):
 
     def run(keys: tuple, table: pa.Table) -> pa.Table:
         part = keys[0].as_py()
-        docs = [np.frombuffer(x, np.uint8).astype(np.int64) for x in sorted(table["classes"].to_pylist())]
+        docs = [np.frombuffer(x, np.uint16).astype(np.int64) for x in sorted(table["classes"].to_pylist())]
         flat, seen = fit(sent.value, docs, seed * 1000 + part, rate)
         return pa.table({"at": pa.array(np.arange(-1, len(flat)), pa.int32()), "v": pa.array(np.concatenate([[seen], flat.astype(np.float64) * seen]), pa.float64())})
 
@@ -302,11 +382,8 @@ def train_part(sent, seed: int, rate: float):
 
 def dealt(n_docs: int) -> tuple[int, list[tuple[int, int]]]:
     """The number of parts, and for each round the parts it learns from: those that leave a remainder by a divisor."""
-    parts = max(1, round(n_docs / PART_DOCS))
-    if n_docs <= LEAST_DOCS:
-        return parts, [(1, 0)] * ROUNDS
-    parts = max(parts, ROUNDS)
-    return parts, [(ROUNDS, k) for k in range(ROUNDS)]
+    parts = round(n_docs / PART_DOCS)
+    return (1, [(1, 0)] * ROUNDS) if parts < ROUNDS else (parts, [(ROUNDS, k) for k in range(ROUNDS)])
 
 
 def train(docs: DataFrame, freq: np.ndarray, n_docs: int, *, seed: int = 17) -> np.ndarray:
@@ -317,8 +394,8 @@ def train(docs: DataFrame, freq: np.ndarray, n_docs: int, *, seed: int = 17) ->
     lots = docs.select(F.pmod(F.xxhash64("at", F.lit(1)), F.lit(parts)).cast("int").alias("part"), "classes")
     for k, (divisor, rest) in enumerate(rounds):
         now = spark.sparkContext.broadcast(flat)
-        own = lots.where(F.col("part") % divisor == rest).repartition(max(1, -(-parts // divisor // TASK_PARTS)), "part")
-        got = own.groupBy("part").applyInArrow(train_part(now, seed + k, 0.02 / (1 + k)), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+        own = lots.where(F.col("part") % divisor == rest)
+        got = own.groupBy("part").applyInArrow(train_part(now, seed + k, RATE / (1 + k)), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
         sums = {r["at"]: r["v"] for r in got}  # as many rows as weights
         if sums.get(-1):
             flat = np.array([sums[i] / sums[-1] for i in range(len(flat))], dtype=np.float32)
@@ -347,8 +424,8 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     single = [w for w in head.ids if w in head.count]
     by_class = counts.where(~F.col("word").isin(single)) if single else counts
     got = {r.c: (r.s, r.t) for r in by_class.groupBy(spelled_column(F.col("word")).alias("c")).agg(F.sum(F.col("n") + 1).alias("s"), F.sum("n").alias("t")).collect()}
-    totals = np.array([0.0] * (1 + SINGLE) + [float(got.get(c, (0, 0))[0] + 1) for c in range(1 + SINGLE, CLASSES)])
-    freq = np.array([head.count.get(w, 0) for w in head.ids] + [0] * (1 + SINGLE - len(head.ids)) + [got.get(c, (0, 0))[1] for c in range(1 + SINGLE, CLASSES)], dtype=np.float64)
+    totals = np.array([0.0] * (1 + WORDS) + [float(got.get(c, (0, 0))[0] + 1) for c in range(1 + WORDS, START)])
+    freq = np.array([head.count.get(w, 0) for w in head.ids] + [0] * (1 + WORDS - len(head.ids)) + [got.get(c, (0, 0))[1] for c in range(1 + WORDS, START)], dtype=np.float64)
     sent = spark.sparkContext.broadcast((ranked, np.log10(np.maximum(totals, 1.0))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +441,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
                 cl = head_.classes(ws, at)
                 rare = Counter([ws[i] for i in np.flatnonzero(at[:-1] < 0).tolist()])
                 common = head_.logs[at]
-                rows_.append((len(at), int((at >= 0).sum()), float(common.sum()), float(common[cl > SINGLE].sum() - logs[cl].sum()), list(rare), list(rare.values()), cl.astype(np.uint8).tobytes()))
+                rows_.append((len(at), int((at >= 0).sum()), float(common.sum()), float(common[cl > WORDS].sum() - logs[cl].sum()), list(rare), list(rare.values()), cl.astype(np.uint16).tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, t) for c, t in zip(zip(*rows_), kinds_))], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
@@ -391,7 +468,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
 
         size = 0
         for b in texts(batches):
-            classes += [np.frombuffer(x, np.uint8) for x in b.column(b.num_columns - 1).to_pylist()]
+            classes += [np.frombuffer(x, np.uint16).astype(np.int64) for x in b.column(b.num_columns - 1).to_pylist()]
             waiting.append(b.select(b.schema.names[:-1]))
             size += sum(map(len, classes[-b.num_rows :]))
             if size > SCORE_TOKENS:
@@ -405,7 +482,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     scored = coded.select(*kept, "classes").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in kept) + ", like double")
     scored = tables.keep(scored, "scored")
     tail = coded.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
-    met = tail.join(counts.where(step < cut).hint("shuffle_hash"), "word").groupBy("row").agg(F.sum("times").alias("n"), F.sum(F.log10(F.col("n") + 1) * F.col("times")).alias("s"))
+    met = tail.join(counts.where(step < cut), "word").groupBy("row").agg(F.sum("times").alias("n"), F.sum(F.log10(F.col("n") + 1) * F.col("times")).alias("s"))
     out = scored.join(met, "row", "left")
     s, n = F.coalesce("s", F.lit(0.0)), F.coalesce("n", F.lit(0)).cast("long")
     return out.select(F.col("doc").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + n).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("sums") + s - F.col("n_tokens") * float(np.log10(total + kinds + 1))).alias("base_score"), (F.col("like") + F.col("inside") + s).alias("score"))
