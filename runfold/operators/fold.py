@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runfold.schemas import PRE_EXECUTION, RECORD
 
@@ -170,6 +171,59 @@ def critical_paths(records: DataFrame) -> DataFrame:
     return vertices(records).groupBy("run_id").agg(walked.alias("critical_path_ns"))
 
 
+def as_object(**fields: Column) -> Column:
+    """A struct with its fields in the order of their names, as canonical JSON has them."""
+    return F.struct(*(fields[k].alias(k) for k in sorted(fields)))
+
+
+#: Fields whose text is JSON itself.
+NESTED = ("error", "cost_declared", "cost_measured", "parameters", "captured_environment")
+
+
+def canonical_field(value: Column, name: str, kind: T.DataType) -> Column:
+    """A field as canonical JSON has it: the names in it in order, and JSON text as what it says."""
+    if name in NESTED:
+        return F.try_parse_json(value)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), as_object(**{f.name: canonical_field(value[f.name], f.name, f.dataType) for f in kind.fields}))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        return F.transform(value, lambda x: canonical_field(x, "", kind.elementType))
+    return value
+
+
+def artifacts(records: DataFrame, roster: DataFrame | None = None) -> DataFrame:
+    """One row per run: run_id, artifact (the whole fold as canonical JSON) and error. Without a run-started record there is
+    no artifact and the error says so. A run that never executed has no attempts, outputs or summary. Attempts stand in
+    stream order, those without a record of their own last by name; fields without a value are left out."""
+    run = runs(records).join(widened(records).where("kind = 'run-finished'").groupBy("run_id").agg(F.min_by("errors", "seq").alias("errors")), "run_id", "left")
+    t = attempts(records, roster)
+    known = {f.name: canonical_field(F.col(f"header.{f.name}"), f.name, f.dataType) for f in run.schema["header"].dataType.fields}
+    reference = {k: canonical_field(F.col(k), k, t.schema[k].dataType) for k in OUTCOME_FIELDS}
+    spans = as_object(**{p.removesuffix("_ns").replace("_", "-"): F.col(p) for p in PHASES})
+    one = as_object(node=F.col("node"), attempt=F.col("attempt"), status=F.col("status"), worker=F.col("worker"), phase_durations_ns=spans, **reference)
+    tried = t.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("seq").isNull().alias("none"), "seq", "node", "attempt", F.to_json(one).alias("j")))), lambda x: x["j"]).alias("attempts"))
+    out = as_object(**{k: F.col(k) for k in ("node", "attempt", "uri", "content_hash", "size_bytes", "kind", "produced_at_offset_ns", "originating_run")})
+    made = outputs(records).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.to_json(out).alias("j")))), lambda x: x["j"]).alias("outputs"))
+    s = summaries(records)
+    total = s.select("run_id", F.to_json(as_object(**{c: F.col(c) for c in s.columns if c != "run_id"})).alias("summary"))
+    whole = run.join(tried, "run_id", "left").join(made, "run_id", "left").join(total, "run_id", "left")
+    header = F.to_json(as_object(overall_outcome=F.col("outcome"), errors=F.when(F.col("outcome").isin(*PRE_EXECUTION), F.col("errors")), **known))
+    listed = lambda c: F.concat(F.lit("["), F.coalesce(F.array_join(c, ","), F.lit("")), F.lit("]"))
+    doc = F.concat(F.lit('{"attempts":'), listed("attempts"), F.lit(',"header":'), header, F.lit(',"interrupted":'), F.col("interrupted").cast("string"), F.lit(',"outputs":'), listed("outputs"), F.lit(',"summary":'), F.coalesce("summary", F.lit("null")), F.lit("}"))
+    return whole.select("run_id", F.when(F.col("has_header"), doc).alias("artifact"), F.when(~F.col("has_header"), "no run-started record").alias("error"))
+
+
+#: Fields of the stream and of headers that differ between two runs of the same thing.
+VOLATILE = ("wall", "run_id", "offset_ns", "captured_environment", "worker", "thread", "observed_name", "observed_uid", "observed_host")
+
+
+def masked(records: DataFrame, fields: tuple[str, ...] = VOLATILE) -> DataFrame:
+    """The records without what differs from run to run, in their headers too, so that two runs can be compared."""
+    out = records.drop(*fields)
+    inner = [f for f in fields if "header" in out.columns and f in out.schema["header"].dataType.names]
+    return out.withColumn("header", F.col("header").dropFields(*inner)) if inner else out
+
+
 def sequence_gaps(records: DataFrame) -> DataFrame:
     """Places where a run's seq does not go up by one."""
     before = F.lag("seq").over(Window.partitionBy("run_id").orderBy("seq"))

@@ -4,12 +4,14 @@ policy; Spark's own scheduler governs Spark's resources."""
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from runfold.schemas import POOLS as NAMES
 
-POOLS = ["memory", "blocking", "compute", "remote"]
+#: Columns of the demands, one for each pool.
+POOLS = [p.split("-")[0] for p in NAMES]
 
 
 def admit(rows: pd.DataFrame, totals: dict[str, int], overtake: bool = True) -> pd.DataFrame:
@@ -60,13 +62,41 @@ def admissions(demands: DataFrame, totals: dict[str, int], *, overtake: bool = T
     return demands.groupBy("run_id").applyInPandas(one, "run_id string, node string, admitted_ns long, waited_ns long, outcome string")
 
 
-def capped_metrics(metrics: dict[str, float], most: int = 128, most_bytes: int = 16 << 10, reserved: str = "run.") -> Iterator[tuple[str, float]]:
-    """Metrics by name until there are ``most`` or their names and values pass ``most_bytes``; one that is too large is
-    left out and smaller ones after it may still come. Reserved names are for the engine."""
-    n = used = 0
+def peak_residency(slots: DataFrame) -> DataFrame:
+    """run_id and peak_bytes: the most that a run's outputs held at one time. slots: run_id, filled_ns, released_ns (null:
+    to the end) and bytes; at one moment what is released goes before what is filled."""
+    change = F.array(F.struct(F.col("filled_ns").alias("at"), F.col("bytes").alias("delta")), F.struct(F.col("released_ns").alias("at"), (-F.col("bytes")).alias("delta")))
+    moves = slots.select("run_id", F.explode(change).alias("m")).select("run_id", "m.*").where("at IS NOT NULL")
+    moves = moves.groupBy("run_id", "at", (F.col("delta") > 0).alias("fills")).agg(F.sum("delta").alias("delta"))
+    held = F.sum("delta").over(Window.partitionBy("run_id").orderBy("at", "fills"))
+    return moves.select("run_id", held.alias("held")).groupBy("run_id").agg(F.greatest(F.max("held"), F.lit(0)).alias("peak_bytes"))
+
+
+class ReservedName(ValueError):
+    """A metric's name is the engine's."""
+
+
+def capped_metrics(metrics: dict[str, float], most: int = 128, most_bytes: int = 16 << 10, reserved: str = "run.") -> tuple[dict[str, float], int]:
+    """Metrics by name until there are ``most`` or their names and values pass ``most_bytes``, and how many were left out;
+    one that is too large is left out and smaller ones after it may still come. Reserved names are refused."""
+    if bad := sorted(n for n in metrics if n.startswith(reserved)):
+        raise ReservedName(", ".join(bad))
+    out: dict[str, float] = {}
+    used = 0
     for name, value in sorted(metrics.items()):
         size = len(name.encode()) + 8
-        if name.startswith(reserved) or n >= most or used + size > most_bytes:
-            continue
-        n, used = n + 1, used + size
-        yield name, value
+        if len(out) < most and used + size <= most_bytes:
+            out[name], used = value, used + size
+    return out, len(metrics) - len(out)
+
+
+#: Parts of the host that a run keeps its hands off.
+HEADROOM = 0.2
+
+
+def pool_sizes(memory_limits: list[int | None], cpu_limits: list[float | None], pins: dict[str, int] | None = None) -> dict[str, int]:
+    """Sizes of the pools from the first limit that is known (container, older container interface, host): memory less
+    headroom, a thread for each processor, one at least. Pinned sizes are taken as they are."""
+    first = lambda limits, least: max(least, next((x for x in limits if x), least))
+    memory, cpus = int(first(memory_limits, 1) * (1 - HEADROOM)), int(first(cpu_limits, 1))
+    return {"memory": max(1, memory), "blocking": max(1, cpus), "compute": max(1, cpus), "remote": 0} | (pins or {})

@@ -1,7 +1,8 @@
 """Views of the driver's tables as run records, for testing: no feature of the engine.
 
-``events`` becomes event streams: a run per user, in the order of time. ``orders`` and ``lineitem`` become index tables:
-a run per order, a node per line number, an attempt per row of a line number.
+``events`` becomes event streams: a run per user, in the order of time. ``orders`` and ``lineitem`` become event
+streams (``streams``) and, without a fold, tables in the shape of the index (``index``): a run per order, a node per line
+number, an attempt per row of a line number.
 """
 
 from __future__ import annotations
@@ -70,3 +71,38 @@ def index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "node_attempt": a.select("run_id", "node_id", "try_number", "state", F.to_json(F.struct("executing")).alias("phase_durations_json")),
         "output_produced": produced, "input_consumed": consumed, "asset": produced.select("uri").union(consumed.select("uri")).distinct(), "attempt_submitted": sent, "attempt_submitted_input": inputs,
     }
+
+
+def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event records of all orders. Each attempt is submitted and started, and ends unless its tax is 0, 3 or 6 percent; a
+    success gives an output. A run ends unless its order's status is P."""
+    a = lines(spark, sf_dir)
+    turn = F.row_number().over(Window.partitionBy("run_id").orderBy("node_id", "try_number"))
+    hash_ = F.concat(F.lit("h"), F.col("q").cast("string"))
+    read = F.when(F.col("q") % 7 == 0, F.lit(None).cast("string")).when(F.col("q") % 5 == 0, "x").otherwise(hash_)
+    ref = lambda uri, h: F.struct(F.col(uri).alias("uri"), h.alias("content_hash"))
+    a = a.withColumn("turn", turn)
+    at = F.col("turn").cast("long") * 10_000_000_000_000
+
+    def event(step: int, kind: str, offset: Column, when: Column | None = None, **fields: Column) -> Column:
+        types = {"status": "string", "inputs": "array<struct<uri:string,content_hash:string>>", "uri": "string", "content_hash": "string", "size_bytes": "long", "target_name": "string", "observed_name": "string", "image_digest": "string", "tool_version": "string"}
+        made = F.struct((F.col("turn").cast("long") * 4 + step).alias("seq"), F.lit(kind).alias("kind"), offset.alias("offset_ns"), *(fields.get(k, F.lit(None)).cast(t).alias(k) for k, t in types.items()))
+        return made if when is None else F.when(when, made)
+
+    ended = F.col("tax") % 3 != 0
+    events = F.filter(
+        F.array(
+            event(0, "attempt-submitted", at, inputs=F.array(ref("used", hash_), ref("made", F.lit("g"))), target_name=F.concat(F.lit("t"), F.col("tax").cast("string")), observed_name=F.when(F.col("tax") > 2, "pod"), image_digest=F.concat(F.lit("i"), F.col("tax").cast("string")), tool_version=F.lit("1.0")),
+            event(1, "attempt-started", at),
+            event(2, "attempt-outcome", at + F.col("executing") * 1000, ended, status=F.col("state"), inputs=F.array(ref("used", read))),
+            event(3, "output-produced", at + F.col("executing") * 1000, ended & (F.col("state") == "succeeded"), uri=F.col("made"), content_hash=hash_, size_bytes=F.col("executing")),
+        ),
+        lambda e: e.isNotNull(),
+    )
+    tried = a.select("run_id", F.col("node_id").alias("node"), F.col("try_number").alias("attempt"), F.explode(events).alias("e")).select("run_id", "node", "attempt", "e.*")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("status"))
+    fingerprint = F.concat(F.lit("fnv1a-64:v1:"), F.upper(F.hex(F.col("c") % 350)))
+    header = F.struct(F.col("run_id"), F.concat(F.lit("c"), (F.col("c") % 50).cast("string")).alias("pipeline"), fingerprint.alias("fingerprint_structural"), F.lit("p").alias("fingerprint_policy"), F.lit(1).cast("long").alias("fingerprint_algorithm_version"), F.lit("{}").alias("parameters"), F.lit(None).cast("struct<start:string,end:string>").alias("data_interval"), F.lit("{}").alias("captured_environment"), F.lit(None).cast("struct<run_id:string,parent_run_id:string,lineage_root_run_id:string>").alias("resume_lineage"))
+    begun = o.select("run_id", F.lit(0).cast("long").alias("seq"), F.lit("run-started").alias("kind"), F.lit(0).cast("long").alias("offset_ns"), header.alias("header"))
+    done = o.where("status <> 'P'").select("run_id", F.lit(1 << 40).alias("seq"), F.lit("run-finished").alias("kind"), F.lit(10**17).alias("offset_ns"), F.when(F.col("status") == "F", "failed").otherwise("succeeded").alias("outcome"))
+    return tried.unionByName(begun, allowMissingColumns=True).unionByName(done, allowMissingColumns=True)

@@ -28,11 +28,11 @@ def latest_states(t: Tables) -> DataFrame:
 
 
 def produced(t: Tables, uri: str) -> DataFrame:
-    return t["output_produced"].where(F.col("uri") == uri).select("run_id", "node_id", "attempt", "content_hash", "size_bytes", "produced_at_offset_ns")
+    return t["output_produced"].where(F.col("uri") == uri).select("run_id", "node_id", "attempt", "content_hash", "size_bytes", "produced_at_offset_ns").orderBy("run_id", "node_id", "attempt")
 
 
 def consumed(t: Tables, uri: str) -> DataFrame:
-    return t["input_consumed"].where(F.col("uri") == uri).select("run_id", "node_id", "attempt", "content_hash")
+    return t["input_consumed"].where(F.col("uri") == uri).select("run_id", "node_id", "attempt", "content_hash").orderBy("run_id", "node_id", "attempt")
 
 
 def asset_rollup(t: Tables) -> DataFrame:
@@ -50,6 +50,25 @@ def launch_inputs(t: Tables, node: str, attempt: int = 1) -> DataFrame:
     return s.join(t["attempt_submitted_input"], ["run_id", "node_id", "attempt"]).select("run_id", "position", "uri", "content_hash", "image_digest", "tool_version")
 
 
+def launched(t: Tables) -> DataFrame:
+    """Submitted attempts with what became of them."""
+    s = t["attempt_submitted"].select("run_id", "node_id", "attempt", "target_name", "image_digest")
+    a = t["node_attempt"].select("run_id", "node_id", F.col("try_number").alias("attempt"), "state")
+    return s.join(a, ["run_id", "node_id", "attempt"])
+
+
+def producers(t: Tables) -> DataFrame:
+    """Each dataset's productions; datasets that nothing produced are left out."""
+    return t["asset"].select("uri").join(t["output_produced"], "uri").select("uri", "run_id", "node_id", "attempt", "content_hash")
+
+
+def sizes(t: Tables) -> DataFrame:
+    """Scalar counts in one row: rows, known hashes, different datasets, and different (run, dataset) pairs with those of
+    an unknown hash counted as well."""
+    c = t["input_consumed"]
+    return c.agg(F.count("*").alias("reads"), F.count("content_hash").alias("hashed"), F.count_distinct("uri").alias("datasets"), F.count_distinct("uri", "content_hash").alias("known_versions"), F.count_distinct(F.struct("uri", "content_hash")).alias("versions"))
+
+
 def stranded(t: Tables) -> DataFrame:
     """Attempts that were submitted and never reported an outcome."""
     return t["attempt_submitted"].where("completed = 0").select("run_id", "node_id", "attempt", "target_name", "observed_name", "observed_host")
@@ -70,4 +89,4 @@ def launched_against(t: Tables, uri: str) -> DataFrame:
     return s.join(c, "run_id", "left").join(F.broadcast(n)).select("run_id", "node_id", "attempt", "position", "produced_by_runs", F.coalesce("consumed_by_runs", F.lit(0)).alias("consumed_by_runs"))
 
 
-ALL: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (runs_per_dag_state, slowest_nodes, latest_states, produced, consumed, asset_rollup, launch_inputs, stranded, divergence, launched_against)}
+ALL: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (runs_per_dag_state, slowest_nodes, latest_states, produced, consumed, asset_rollup, launch_inputs, launched, producers, sizes, stranded, divergence, launched_against)}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runfold.functions import rules
-from runfold.operators import fold, propagation
+from runfold.operators import fold, index, propagation, simulate
 from runfold.plans import adapters, cookbook, graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,10 +104,10 @@ def critical_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.critical_paths(adapters.records(spark, sf_dir))
 
 
-@query("SELECT run_id, seq, before FROM (SELECT run_id, seq, lag(seq) OVER (PARTITION BY run_id ORDER BY seq) AS before FROM rec WHERE i % 10 <> 0) WHERE coalesce(seq - before, seq + 1) <> 1", EVENTS)
+@query("SELECT run_id, seq, before FROM (SELECT run_id, i AS seq, lag(i) OVER (PARTITION BY run_id ORDER BY i) AS before FROM rec) WHERE coalesce(seq - before, seq + 1) <> 1", EVENTS)
 def seq_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where records are missing (a tenth is left out for the test)."""
-    return fold.sequence_gaps(adapters.records(spark, sf_dir).where("event_id % 10 <> 0"))
+    """Where records are missing. The events' ids, which users share, are taken for the users' numbering."""
+    return fold.sequence_gaps(adapters.records(spark, sf_dir).withColumn("seq", F.col("event_id")))
 
 
 # ---- over index tables --------------------------------------------------------------------------------------------
@@ -127,19 +127,19 @@ def slowest_nodes_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT dag, term.run_id, node_id, state FROM term JOIN dag USING (run_id)", LINES)
 def latest_state_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2, M5, W3."""
+    """J2, W3."""
     return cookbook.latest_states(adapters.index(spark, sf_dir))
 
 
 @query("SELECT run_id, node_id, state FROM (SELECT *, row_number() OVER (PARTITION BY run_id, node_id ORDER BY attempt DESC) AS k FROM att) WHERE k = 1", LINES)
 def node_terminal_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last attempt's state of every node."""
+    """The last attempt's state of every node, in the adapter's tables."""
     return adapters.index(spark, sf_dir)["node_terminal"]
 
 
 @query("SELECT run_id, node_id, attempt, content_hash, spent AS size_bytes, spent AS produced_at_offset_ns FROM produced WHERE uri = 'p7'", LINES)
 def lineage_produced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P2, O1."""
+    """P2, O1 (the rows come ordered)."""
     return cookbook.produced(adapters.index(spark, sf_dir), "p7")
 
 
@@ -151,25 +151,25 @@ def lineage_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT a.uri, count(DISTINCT p.run_id) AS produced_by_runs, (SELECT count(DISTINCT c.run_id) FROM consumed c WHERE c.uri = a.uri) AS consumed_by_runs FROM (SELECT uri FROM produced UNION SELECT uri FROM consumed) a LEFT JOIN produced p USING (uri) GROUP BY a.uri", LINES)
 def asset_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J5, J8, A3, A4, M8."""
+    """J5, A3."""
     return cookbook.asset_rollup(adapters.index(spark, sf_dir))
 
 
 @query("SELECT run_id, position, uri, content_hash, 'i' || tax AS image_digest, '1.0' AS tool_version FROM sent JOIN att USING (run_id, node_id, attempt) WHERE node_id = 'n3' AND attempt = 1", LINES)
 def launch_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J3, J4, W5, M10."""
+    """J3."""
     return cookbook.launch_inputs(adapters.index(spark, sf_dir), "n3")
 
 
 @query("SELECT run_id, node_id, attempt, 't' || tax AS target_name, CASE WHEN tax > 2 THEN 'pod' END AS observed_name, cast(NULL AS varchar) AS observed_host FROM att WHERE tax % 3 = 0", LINES)
 def stranded_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P3, F10, M9."""
+    """P3."""
     return cookbook.stranded(adapters.index(spark, sf_dir))
 
 
 @query("SELECT s.run_id, s.node_id, s.attempt, s.position, s.uri, s.content_hash AS submitted_hash, c.content_hash AS read_hash FROM sent s JOIN consumed c USING (run_id, node_id, attempt, uri) WHERE c.content_hash IS DISTINCT FROM s.content_hash", LINES)
 def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J6, P4, M7."""
+    """J6, P4."""
     return cookbook.divergence(adapters.index(spark, sf_dir))
 
 
@@ -201,15 +201,13 @@ def trigger_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagation.decisions(edges, states, nodes).select("run_id", F.col("node").alias("node_id"), "decision")
 
 
-EDGES = ", edge AS (SELECT DISTINCT used AS producer, made AS consumer FROM att)"
-
-
-@query(EDGES + " SELECT node, sum(o)::BIGINT AS consumers, sum(i)::BIGINT AS remaining FROM (SELECT producer AS node, count(*) AS o, 0 AS i FROM edge GROUP BY 1 UNION ALL SELECT consumer, 0, count(*) FROM edge GROUP BY 1) GROUP BY node", LINES)
+@query(" SELECT node, sum(o)::BIGINT AS consumers, sum(i)::BIGINT AS remaining FROM (SELECT used AS node, count(*) AS o, 0 AS i FROM att GROUP BY 1 UNION ALL SELECT made, 0, count(DISTINCT used) FROM att GROUP BY 1) GROUP BY node", LINES)
 def consumer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges out of and into every dataset."""
-    edge = adapters.lines(spark, sf_dir).select(F.col("used").alias("producer"), F.col("made").alias("consumer")).distinct()
-    out = edge.select(F.explode(F.array(F.struct(F.col("producer").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("consumer").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
-    return out.groupBy("e.node").agg(F.sum("e.o").alias("consumers"), F.sum("e.i").alias("remaining"))
+    """Edges out of every dataset, repeated ones counted, and the different ones into it."""
+    edge = adapters.lines(spark, sf_dir).select(F.col("used").alias("producer"), F.col("made").alias("consumer"))
+    out = edge.groupBy(F.col("producer").alias("node")).agg(F.count("*").alias("o")).withColumn("i", F.lit(0).cast("long"))
+    into = edge.distinct().groupBy(F.col("consumer").alias("node")).agg(F.lit(0).cast("long").alias("o"), F.count("*").alias("i"))
+    return out.unionByName(into).groupBy("node").agg(F.sum("o").alias("consumers"), F.sum("i").alias("remaining"))
 
 
 @query(""", snap AS (SELECT made AS node, used AS source, l_shipdate < TIMESTAMP '1995-01-01' AS old FROM att),
@@ -243,3 +241,178 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = adapters.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("n")).agg(F.count("*").alias("k"))
     wait = rules.backoff_ms(F.col("n"), F.lit(100.0), F.lit(2.0), F.lit(2500.0))
     return li.select("run", "n", "k", F.round(wait).cast("long").alias("wait_ms"))
+
+
+# ---- over the fold of whole event streams, merged into an index that had seen them earlier --------------------------------
+
+FOLDED = LINES + """,
+ran AS (SELECT cast(o_orderkey AS varchar) AS run_id, o_custkey AS c, 'c' || (o_custkey % 50) AS dag, 'fnv1a-64:v1:' || upper(printf('%x', o_custkey % 350)) AS print, o_orderstatus AS status FROM orders),
+turn AS (SELECT att.*, row_number() OVER (PARTITION BY run_id ORDER BY node_id, attempt) AS turn, tax % 3 <> 0 AS ended FROM att JOIN ran USING (run_id)),
+whole AS (SELECT * FROM turn WHERE ended)
+"""
+
+
+def merged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The ten tables of an index that took the runs while none had ended, and then as they are."""
+    now = adapters.streams(spark, sf_dir)
+    then = index.project(now.where("kind <> 'run-finished' AND (kind <> 'attempt-outcome' OR status <> 'succeeded')"), live=True)
+    return {name: index.merge(then[name], rows, name) for name, rows in index.project(now).items()}
+
+
+@query(" SELECT DISTINCT dag AS dag_id, dag AS name FROM ran", FOLDED)
+def index_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1, F2."""
+    return merged(spark, sf_dir)["dag"].select("dag_id", "name")
+
+
+@query(" SELECT DISTINCT dag || '@' || print AS dag_version_id, dag AS dag_id, print AS structural_fingerprint FROM ran", FOLDED)
+def index_dag_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2."""
+    return merged(spark, sf_dir)["dag_version"].select("dag_version_id", "dag_id", "structural_fingerprint")
+
+
+@query(""" SELECT run_id, dag AS dag_id, dag || '@' || print AS dag_version_id, CASE status WHEN 'P' THEN 'cancelled' WHEN 'F' THEN 'failed' ELSE 'succeeded' END AS state, cast(status = 'P' AS int) AS interrupted,
+  CASE WHEN status <> 'P' THEN 100000000000 ELSE coalesce(ms, 0) END AS finished_ms FROM ran LEFT JOIN (SELECT run_id, max((turn * 10000000000000 + CASE WHEN ended THEN spent * 1000 ELSE 0 END) // 1000000) AS ms FROM turn GROUP BY run_id) USING (run_id)""", FOLDED)
+def index_dag_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that was live is replaced."""
+    return merged(spark, sf_dir)["dag_run"].select("run_id", "dag_id", "dag_version_id", "state", "interrupted", "finished_ms")
+
+
+@query(" SELECT run_id, node_id, attempt AS try_number, state, spent // 1000 AS finished_ms, spent * 1000 AS executing FROM whole", FOLDED)
+def index_node_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4, M12, P6."""
+    spent = F.get_json_object("phase_durations_json", "$.executing").cast("long")
+    return merged(spark, sf_dir)["node_attempt"].select("run_id", "node_id", "try_number", "state", "finished_ms", spent.alias("executing"))
+
+
+@query(" SELECT run_id, node_id, arg_max(state, attempt) AS state FROM whole GROUP BY run_id, node_id", FOLDED)
+def index_node_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5."""
+    return merged(spark, sf_dir)["node_terminal"].select("run_id", "node_id", "state")
+
+
+@query(" SELECT run_id, node_id, attempt, made AS uri, 'h' || q AS content_hash, spent AS size_bytes, turn * 10000000000000 + spent * 1000 AS produced_at_offset_ns, run_id AS originating_run FROM whole WHERE state = 'succeeded'", FOLDED)
+def index_output_produced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6, F9."""
+    return merged(spark, sf_dir)["output_produced"].select("run_id", "node_id", "attempt", "uri", "content_hash", "size_bytes", "produced_at_offset_ns", "originating_run")
+
+
+@query(" SELECT run_id, node_id, attempt, used AS uri, CASE WHEN q % 7 = 0 THEN NULL WHEN q % 5 = 0 THEN 'x' ELSE 'h' || q END AS content_hash FROM whole", FOLDED)
+def index_input_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null hashes are one value of the key."""
+    return merged(spark, sf_dir)["input_consumed"]
+
+
+@query(" SELECT used AS uri FROM whole UNION SELECT made FROM whole WHERE state = 'succeeded'", FOLDED)
+def index_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8."""
+    return merged(spark, sf_dir)["asset"].select("uri")
+
+
+@query(" SELECT run_id, node_id, attempt, 't' || tax AS target_name, CASE WHEN tax > 2 THEN 'pod' END AS observed_name, 2 AS input_count, turn * 10000000000000 AS submitted_at_offset_ns, cast(ended AS int) AS completed, CASE WHEN ended THEN state END AS outcome_state FROM turn", FOLDED)
+def index_attempt_submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9, F10."""
+    return merged(spark, sf_dir)["attempt_submitted"].select("run_id", "node_id", "attempt", "target_name", "observed_name", "input_count", "submitted_at_offset_ns", "completed", "outcome_state")
+
+
+@query(" SELECT run_id, node_id, attempt, 0 AS position, used AS uri, 'h' || q AS content_hash FROM turn UNION ALL SELECT run_id, node_id, attempt, 1, made, 'g' FROM turn", FOLDED)
+def index_attempt_submitted_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10, W5."""
+    return merged(spark, sf_dir)["attempt_submitted_input"]
+
+
+@query(" SELECT run_id, node_id, attempt, 't' || tax AS target_name, 'i' || tax AS image_digest, state FROM whole", FOLDED)
+def launched_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions with the attempts that came of them."""
+    return cookbook.launched(index.project(adapters.streams(spark, sf_dir)))
+
+
+@query(" SELECT made AS uri, run_id, node_id, attempt, 'h' || q AS content_hash FROM whole WHERE state = 'succeeded'", FOLDED)
+def asset_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8."""
+    return cookbook.producers(index.project(adapters.streams(spark, sf_dir)))
+
+
+@query("""SELECT count(*) AS reads, count(content_hash) AS hashed, count(DISTINCT uri) AS datasets, count(DISTINCT CASE WHEN content_hash IS NOT NULL THEN uri || ' ' || content_hash END) AS known_versions,
+  count(DISTINCT uri || ' ' || coalesce(content_hash, '')) AS versions FROM consumed""", LINES)
+def input_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4, A5."""
+    return cookbook.sizes(adapters.index(spark, sf_dir))
+
+
+@query(" SELECT run_id, dag AS pipeline, printf('%x', c % 350) AS digits FROM ran", FOLDED)
+def runs_of_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with their graphs, whose fingerprints are spelled otherwise."""
+    runs = fold.runs(adapters.streams(spark, sf_dir)).select("run_id", F.col("header.fingerprint_structural").alias("fingerprint"), F.col("header.pipeline").alias("own"))
+    c = F.col("o_custkey")
+    graphs = adapters.table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), (c % 50).cast("string")).alias("pipeline"), F.lower(F.hex(c % 350)).alias("fingerprint")).distinct()
+    return index.runs_of_graphs(runs, graphs).select("run_id", "pipeline", "digits")
+
+
+@query("""SELECT run_id, greatest(max(held), 0)::BIGINT AS peak_bytes FROM (SELECT run_id, sum(delta) OVER (PARTITION BY run_id ORDER BY t, fills) AS held
+  FROM (SELECT run_id, t, delta > 0 AS fills, sum(delta) AS delta FROM (SELECT run_id, epoch_us(l_shipdate) AS t, spent AS delta FROM att UNION ALL SELECT run_id, epoch_us(l_shipdate) + q * 86400000000, -spent FROM att WHERE q % 9 <> 0) GROUP BY ALL)) GROUP BY run_id""", LINES)
+def peak_residency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most that a run's outputs held at one time; some stay to the end."""
+    at = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    a = adapters.lines(spark, sf_dir)
+    return simulate.peak_residency(a.select("run_id", at.alias("filled_ns"), F.when(F.col("q") % 9 != 0, at + F.col("q").cast("long") * 86_400_000_000).alias("released_ns"), F.col("executing").alias("bytes")))
+
+
+CHAIN = """,
+chain AS (SELECT run_id, node_id, state, cast(substr(node_id, 2) AS int) AS k, row_number() OVER (PARTITION BY run_id ORDER BY node_id) AS r FROM term),
+walk AS (
+  SELECT run_id, 0::BIGINT AS r, []::VARCHAR[] AS seen FROM (SELECT DISTINCT run_id FROM chain)
+  UNION ALL
+  SELECT w.run_id, w.r + 1, list_append(w.seen, CASE WHEN d = 'run' THEN state ELSE d END)
+  FROM (SELECT w.run_id, w.r, w.seen, c.state, CASE WHEN c.k % 3 = 1 THEN 'run'
+      WHEN c.k % 3 = 2 THEN CASE WHEN len(list_filter(w.seen[-2:], lambda x: x IN ('failed', 'timed-out', 'upstream-failed'))) > 0 THEN 'run' ELSE 'skipped' END
+      WHEN len(list_filter(w.seen[-2:], lambda x: x <> 'succeeded')) = 0 THEN 'run'
+      WHEN len(list_filter(w.seen[-2:], lambda x: x NOT IN ('succeeded', 'skipped', 'upstream-skipped'))) = 0 THEN 'upstream-skipped'
+      WHEN len(list_filter(w.seen[-2:], lambda x: x NOT IN ('succeeded', 'cancelled'))) = 0 THEN 'cancelled' ELSE 'upstream-failed' END AS d
+    FROM walk w JOIN chain c ON c.run_id = w.run_id AND c.r = w.r + 1) w)
+SELECT c.run_id, c.node_id, w.seen[c.r] AS state FROM chain c JOIN (SELECT run_id, arg_max(seen, r) AS seen FROM walk GROUP BY run_id) w ON w.run_id = c.run_id"""
+
+
+def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each order's nodes by number (``r``), and edges: a node reads from the one before it and comes after the one before
+    that."""
+    from pyspark.sql import Window
+
+    k = F.substring("node_id", 2, 9).cast("int")
+    nodes = adapters.index(spark, sf_dir)["node_terminal"].select("run_id", F.col("node_id").alias("node"), "state", k.alias("k"), F.row_number().over(Window.partitionBy("run_id").orderBy("node_id")).alias("r"))
+    by = Window.partitionBy("run_id").orderBy("r")
+    before = nodes.withColumns({"one": F.lag("node", 1).over(by), "two": F.lag("node", 2).over(by)})
+    near = before.select("run_id", F.col("node").alias("consumer"), F.explode(F.array(F.struct(F.col("one").alias("producer"), F.lit("data").alias("kind")), F.struct(F.col("two").alias("producer"), F.lit("ordering").alias("kind")))).alias("e"))
+    return nodes, near.select("run_id", "consumer", "e.*").where("producer IS NOT NULL")
+
+
+@query(CHAIN, LINES.replace("WITH att", "WITH RECURSIVE att", 1))
+def state_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node's state when each depends on the two before it."""
+    nodes, edges = chains(spark, sf_dir)
+    rule = F.when(F.col("k") % 3 == 1, "all-terminal").when(F.col("k") % 3 == 2, "any-failed").otherwise("all-succeeded")
+    out = propagation.propagate(nodes.withColumn("rule", rule), edges, nodes)
+    return out.select("run_id", F.col("node").alias("node_id"), "state")
+
+
+@query(""",
+chain AS (SELECT run_id, node_id, state, cast(substr(node_id, 2) AS int) AS k, row_number() OVER (PARTITION BY run_id ORDER BY node_id) AS r FROM term),
+seed AS (SELECT run_id, min(r) AS f FROM chain WHERE state <> 'succeeded' GROUP BY run_id),
+held AS (SELECT c.run_id, max(c.r) AS d FROM chain c JOIN seed s ON s.run_id = c.run_id WHERE c.r < s.f AND c.k % 2 = 0 GROUP BY c.run_id)
+SELECT run_id, node_id, CASE WHEN f IS NOT NULL AND r > coalesce(d, 0) THEN 'run' ELSE 'satisfied-from-prior' END AS decision, state <> 'succeeded' AS seed, CASE WHEN r = d THEN 't/' || node_id END AS rehydrate,
+  CASE WHEN r = d AND k = 4 THEN 'dangling reference' END AS refusal FROM chain LEFT JOIN seed USING (run_id) LEFT JOIN held USING (run_id)""", LINES)
+def resume_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What resuming each run would do; even nodes are durable, odd ones are not or have nothing on record."""
+    nodes, edges = chains(spark, sf_dir)
+    even = F.col("k") % 2 == 0
+    prior = nodes.select("run_id", "node", "state", F.when(even, F.concat(F.lit("t/"), F.col("node"))).alias("durable_reference"), F.lit(None).cast("string").alias("originating_run"))
+    probes = nodes.select("run_id", "node", F.when(F.col("k") == 4, "absent").when(F.col("k") == 2, "present").otherwise("unknown").alias("found"))
+    out = propagation.resume(nodes.select("run_id", "node", (even | (F.col("k") == 3)).alias("durable"), F.lit(False).alias("covered")), edges, prior, probes)
+    return out.select("run_id", F.col("node").alias("node_id"), "decision", "seed", "rehydrate", "refusal")
+
+
+@query("SELECT x.run_id, x.attempts, x.outputs, x.outcome FROM (SELECT run_id, (SELECT count(*) FROM whole w WHERE w.run_id = ran.run_id) AS attempts, (SELECT count(*) FROM whole w WHERE w.run_id = ran.run_id AND state = 'succeeded') AS outputs, CASE status WHEN 'P' THEN 'cancelled' WHEN 'F' THEN 'failed' ELSE 'succeeded' END AS outcome FROM ran) x", FOLDED)
+def run_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what each run's artifact holds, read back from its JSON."""
+    doc = fold.artifacts(adapters.streams(spark, sf_dir))
+    return doc.select("run_id", F.json_array_length(F.get_json_object("artifact", "$.attempts")).cast("long").alias("attempts"), F.json_array_length(F.get_json_object("artifact", "$.outputs")).cast("long").alias("outputs"), F.get_json_object("artifact", "$.header.overall_outcome").alias("outcome"))

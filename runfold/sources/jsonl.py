@@ -17,39 +17,55 @@ from pyspark.sql import types as T
 from runfold.schemas import RECORD
 
 
+PATTERN = "*/*/events.jsonl"
+
+
 def discover(spark: SparkSession, base: str) -> list[str]:
     """All run files under ``base``, sorted; none if it doesn't exist."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/*/*/events.jsonl")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(str(s.getPath()) for s in found or [])
+    return sorted(str(s.getPath()) for s in _glob(spark, base))
+
+
+def count_files(spark: SparkSession, base: str) -> int:
+    return len(_glob(spark, base))
+
+
+def run_files(spark: SparkSession, base: str) -> str | list:
+    """What ``read_lines`` takes for all run files under ``base``: the pattern itself, so that no list of files goes
+    through the driver's Python; nothing if there is none."""
+    return f"{base}/{PATTERN}" if len(_glob(spark, base)) else []
+
+
+def _glob(spark: SparkSession, base: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{PATTERN}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
 
 
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, line, text, terminated) of every line that isn't blank."""
+    """(path, line, text, terminated) of every line that isn't blank. A file is one cell until it is split, 2 GB at most."""
     if not paths:
         return spark.createDataFrame([], "path string, line int, text string, terminated boolean")
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\n", -1)).alias("line", "text"), F.size(F.split("value", "\n", -1)).alias("n"))
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\n", -1).alias("lines"))
+    lines = files.select("path", F.posexplode("lines").alias("line", "text"), F.size("lines").alias("n"))
     return lines.where(F.trim("text") != "").select("path", "line", "text", (F.col("line") < F.col("n") - 1).alias("terminated"))
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """The lines with ``rec``, and ``bad``: whether the text is no JSON object."""
+    """The lines with ``rec``, and ``bad``: whether the text is no JSON object of the stream's types. One parse a line."""
     whole = F.from_json("text", T.StructType([*RECORD.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
-    plain = F.from_json("text", RECORD)
-    return lines.select("*", plain.alias("rec"), (F.try_parse_json("text").isNull() | whole["_bad"].isNotNull()).alias("bad"))
+    parsed = lines.withColumn("_rec", whole)
+    rec = F.struct(*(F.col(f"_rec.{f.name}").alias(f.name) for f in RECORD.fields))
+    bad = F.col("_rec").isNull() | F.col("_rec._bad").isNotNull() | ~F.trim("text").endswith("}")
+    return parsed.select("path", "line", "text", "terminated", rec.alias("rec"), bad.alias("bad"))
 
 
-def read_records(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """The records of all files, with ``path``; unterminated tails that aren't JSON are left out."""
-    return parse(read_lines(spark, paths)).where("NOT bad").select("path", "rec.*")
+def records_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where("NOT bad").select("path", "rec.*")
 
 
-def read_status(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+def status_of(parsed: DataFrame) -> DataFrame:
     """One row per file: records, trailing_partial (a tail was dropped), error_line (the first terminated line that is no
     JSON, 0-based) and reason: a bad file doesn't fail the job."""
-    rows = parse(read_lines(spark, paths))
-    out = rows.groupBy("path").agg(
+    out = parsed.groupBy("path").agg(
         F.count_if(~F.col("bad")).alias("records"),
         F.coalesce(F.bool_or(F.col("bad") & ~F.col("terminated")), F.lit(False)).alias("trailing_partial"),
         F.min(F.when(F.col("bad") & F.col("terminated"), F.col("line"))).alias("error_line"),
@@ -58,6 +74,15 @@ def read_status(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return out.withColumn("reason", F.when(F.col("error_line").isNotNull(), "corrupt record").when(~F.col("started"), "no run-started record"))
 
 
+def read_records(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """The records of all files, with ``path``; unterminated tails that aren't JSON are left out."""
+    return records_of(parse(read_lines(spark, paths)))
+
+
+def read_status(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    return status_of(parse(read_lines(spark, paths)))
+
+
 def canonical(value: object) -> str:
     """JSON with sorted keys and no spaces."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

@@ -1,37 +1,55 @@
 """Live runs: segments of event streams in, the index kept up to date by whole runs.
 
 The file source reads a file once and does not tail one that grows, so live runs come as segment files, one per flush. A
-micro-batch names the runs that changed; those are folded again from their whole log and merged. A batch that runs twice
-gives the same index, and a finished live run the same rows as a later sync.
+micro-batch names the runs that changed; those are folded again from their own part of the log and merged. A batch that
+runs twice gives the same index, and a finished live run the same rows as a later sync.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from runfold.operators import fold
 from runfold.operators.index import Index, project
 from runfold.schemas import RECORD
 
+#: Buckets of the log by run, and its rows: batch and bucket are folders.
+BUCKETS = 64
+LOGGED = T.StructType([*RECORD.fields, T.StructField("batch", T.LongType()), T.StructField("_bucket", T.IntegerType())])
+
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """A stream of records from a folder of segment files of whole lines."""
     return spark.readStream.text(path).select(F.from_json("value", RECORD).alias("r")).select("r.*").where("run_id IS NOT NULL")
 
 
-def into_index(stream: DataFrame, index: Index, log: str, checkpoint: str, *, every: str | None = None) -> StreamingQuery:
+def into_index(stream: DataFrame, index: Index, log: str, checkpoint: str, *, every: str | None = None, failed: Callable[[int, Exception], None] | None = None) -> StreamingQuery:
     """Appends each batch to the log (a Parquet folder by batch) and folds the runs it touches into the index. Without
-    ``every`` (such as ``500 milliseconds``) the query takes what is there and ends."""
+    ``every`` (such as ``500 milliseconds``) the query takes what is there and ends.
+    ``failed`` is told of a batch that could not be applied."""
 
     def batch(rows: DataFrame, n: int) -> None:
         spark = rows.sparkSession
-        rows.write.mode("overwrite").parquet(f"{log}/batch={n}")
-        whole = spark.read.schema(RECORD).parquet(log)
-        touched = spark.read.schema(RECORD).parquet(f"{log}/batch={n}").select("run_id").distinct()
-        own = whole.join(touched, "run_id", "left_semi").dropDuplicates(["run_id", "seq"])
-        index.apply(project(own, live=True))
+        bucket = F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)).cast("int")
+        rows.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{log}/batch={n}")
+        logged = spark.read.schema(LOGGED).parquet(log)
+        touched = logged.where(F.col("batch") == n).select("run_id", "_bucket").distinct().persist()
+        try:
+            buckets = [r._bucket for r in touched.select("_bucket").distinct().collect()]
+            whole = logged.where(F.col("_bucket").isin(buckets)).drop("batch", "_bucket")  # of the log only these folders
+            own = whole.join(touched.select("run_id"), "run_id", "left_semi").dropDuplicates(["run_id", "seq"])
+            index.apply(project(own, live=True))
+        except Exception as e:  # the query ends with it, and the batch is tried again when it is started anew
+            if failed:
+                failed(n, e)
+            raise
+        finally:
+            touched.unpersist()
 
     out = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from runfold.operators import fold
-from runfold.operators.index import TABLES, Index, project
+from runfold.operators.index import TABLES, Index, Refused, project
 from runfold.plans import cookbook
 from runfold.schemas import violations
 from runfold.sources import jsonl
@@ -73,6 +73,8 @@ def test_outcomes_of_runs(spark):
     cut = frame(spark, [(0, "run-started", None), (3, "node-ready", "a")])
     got = fold.runs(cut).first()
     assert (got.outcome, got.interrupted) == ("cancelled", True)
+    write_run(base, "r4")
+    records = jsonl.read_records(spark, jsonl.run_files(spark, base))
     early = frame(spark, [(0, "run-started", None), (1, "attempt-outcome", "a", 1, "failed"), (2, "run-finished", None, None, None, None, "assembly-failed")])
     assert fold.attempts(early).count() == 0 and fold.summaries(early).count() == 0
 
@@ -139,6 +141,67 @@ def test_files_of_many_kinds(spark, tmp_path):
     assert jsonl.discover(spark, str(tmp_path / "none")) == [] and jsonl.read_lines(spark, []).count() == 0
 
 
+def test_artifacts(spark, tmp_path):
+    """The whole fold as canonical JSON: names in order, no spaces, the same at each read; without a beginning, an error."""
+    base = str(tmp_path)
+    write_run(base, "r1"), write_run(base, "r2", stranded=True)
+    (tmp_path / "p/r3").mkdir()
+    (tmp_path / "p/r3/events.jsonl").write_text('{"kind":"node-ready","run_id":"r3","seq":0,"node":"x","offset_ns":1}\n')
+    records = jsonl.read_records(spark, jsonl.discover(spark, base))
+    rows = {r.run_id: r for r in fold.artifacts(records, spark.createDataFrame([("r1", "later")], "run_id string, node string")).collect()}
+    assert rows["r3"].artifact is None and rows["r3"].error == "no run-started record" and rows["r1"].error is None
+    doc = json.loads(rows["r1"].artifact)
+    assert rows["r1"].artifact == jsonl.canonical(doc) and list(doc) == ["attempts", "header", "interrupted", "outputs", "summary"]
+    assert [(a["node"], a["status"]) for a in doc["attempts"]] == [("load", "succeeded"), ("later", "upstream-failed")]
+    assert doc["attempts"][0]["phase_durations_ns"].keys() == {"backoff", "executing", "permit-wait", "ready-wait"} and doc["attempts"][0]["metrics"] == {"rows": 2.0}
+    assert doc["header"]["overall_outcome"] == "succeeded" and doc["outputs"][0]["uri"] == "blob://x" and doc["summary"]["critical_path_ns"] >= 0 and doc["interrupted"] is False
+    assert json.loads(rows["r2"].artifact)["interrupted"] is True
+    write_run(base, "r4")
+    records = jsonl.read_records(spark, jsonl.run_files(spark, base))
+    early = frame(spark, [(0, "run-started", None), (1, "attempt-outcome", "a", 1, "failed"), (2, "run-finished", None, None, None, None, "assembly-failed")])
+    doc = json.loads(fold.artifacts(early).first().artifact)
+    assert (doc["attempts"], doc["outputs"], doc["summary"]) == ([], [], None)
+    a, b = (fold.masked(records.where(f"run_id = '{r}'")).drop("path", "seq") for r in ("r1", "r4"))
+    assert "run_id" not in a.columns and "captured_environment" not in a.schema["header"].dataType.names and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_index_survives_crashes_and_second_writers(spark, tmp_path, monkeypatch):
+    base, path = str(tmp_path / "store"), str(tmp_path / "index")
+    write_run(base, "r1")
+    a = Index(spark, path)
+    a.sync(base)
+    one = {t: sorted(map(repr, a.table(t).collect())) for t in TABLES}
+    write_run(base, "r2")
+    # a writer that dies before its manifest, and one that dies while it writes it
+    with monkeypatch.context() as m:
+        m.setattr(Index, "_publish", lambda self, *x: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            a.sync(base)
+    (tmp_path / "index/manifest-2.json").write_text('{"version": 2, "tab')
+    again = Index(spark, path)
+    assert again.version() == 1 and {t: sorted(map(repr, again.table(t).collect())) for t in TABLES} == one
+    assert again.sync(base) == {"synced": 2, "skipped": 0, "newly_synced": 1} and again.version() == 3 and again.table("dag_run").count() == 2
+    # a writer that another one overtakes between its reading and its manifest
+    rows = {"asset": spark.createDataFrame([("u1", None)], "uri string, extra string")}
+    real, done = Index._publish, []
+
+    def late(self, version, tables):
+        if not done:
+            done.append(1)
+            Index(spark, path).apply({"asset": spark.createDataFrame([("u2", None)], "uri string, extra string")})
+        return real(self, version, tables)
+
+    monkeypatch.setattr(Index, "_publish", late)
+    with pytest.raises(Refused):
+        again.apply(rows, tries=1)
+    done.clear()
+    again.apply(rows)
+    assert {"u1", "u2"} <= {r.uri for r in again.table("asset").collect()} and again.table("dag_run").count() == 2
+    monkeypatch.undo()
+    files = lambda: set((tmp_path / "index").glob("commit-*/dag_run"))
+    assert again.vacuum(1) and again.table("dag_run").count() == 2 and len(files()) == 1
+
+
 def test_violations(spark):
     rows = frame(spark, [(0, "run-started", None), (-1, "node-ready", None), (0, "what", "a"), (1, "attempt-outcome", "a", 0, "odd")])
     got = {(r.seq, r.path) for r in violations(fold.widened(rows)).collect()}

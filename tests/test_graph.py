@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from runfold.functions import rules
 from runfold.operators import propagation
-from runfold.operators.simulate import admissions, capped_metrics
+from runfold.operators.simulate import ReservedName, admissions, capped_metrics, pool_sizes
 from runfold.plans import graph, runtime
 from runfold.plans.graph import Pipeline, Policy
 from runfold.schemas import class_of
@@ -164,7 +164,10 @@ def test_admission(spark):
     assert got == {"a": (0, "admitted"), "b": (10, "admitted"), "c": (2, "admitted"), "x": (3, "never fits")}
     strict = {r.node: r.admitted_ns for r in admissions(demands, {"memory": 10}, overtake=False).collect()}
     assert strict["c"] == 10
-    assert [n for n, _ in capped_metrics({"b" * 90: 1.0, "a": 1.0, "run.x": 1.0, "c": 2.0}, most_bytes=30)] == ["a", "c"]
+    assert capped_metrics({"b" * 90: 1.0, "a": 1.0, "c": 2.0}, most_bytes=30) == ({"a": 1.0, "c": 2.0}, 1)
+    with pytest.raises(ReservedName, match="run.x"):
+        capped_metrics({"run.x": 1.0})
+    assert pool_sizes([None, 1000, 9000], [None, 0.5]) == {"memory": 800, "blocking": 1, "compute": 1, "remote": 0} and pool_sizes([], [], {"memory": 7})["memory"] == 7
 
 
 def test_run_retries_propagates_and_tears_down(spark, tmp_path):
