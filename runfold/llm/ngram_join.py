@@ -11,9 +11,11 @@ Which shingles count as frequent only steers the work; any answer gives the same
 
 Candidates are compared by parity bitmaps first: for each shingle one bit is flipped in a bitmap of 4 to 8 bits a
 shingle, and as many bits differ as shingles at most, so a pair with more different bits than a link allows is none.
-What remains is contracted into clusters. Each class's whole set goes to its cluster once (to a block pair of it, if
-the cluster is larger than a block), where every pair of the right sizes is compared by bitmap and then by the sets
-themselves. A cluster gives links enough to connect what is linked, never all pairs of a group.
+What remains is contracted into clusters. A cluster is cut into levels by the sizes of its sets, so that linked sets are
+of one level or of two next to each other, and a level into blocks; each pair of blocks that may hold links is a group of
+its own, where every pair of the right sizes is compared by bitmap and then by the sets themselves. So a passage that
+glues many unlinked texts together costs comparisons within neighbouring sizes, in as many tasks as it has block pairs.
+A group gives links enough to connect what is linked in it, never all pairs.
 
 A document without words, or without text, has the empty set and no link. With fewer words than ``width``, the whole
 sequence is its one shingle. Repeated rows of one document id are one document; null ids have no part in components
@@ -22,13 +24,14 @@ but keep their rows. The shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runfold.llm._common import Tables, WordHashes, mix, small_batches, texts, words
@@ -39,13 +42,13 @@ RARE = 16
 MOST_FREQUENT = 1 << 20
 #: Keys of up to so many classes give their pairs; the classes of larger ones are put into one cluster.
 SMALL = 16
-#: Classes and bytes of sets in a block of a cluster.
-BLOCK_CLASSES, BLOCK_BYTES = 2048, 16 << 20
+#: Classes and bytes of sets in a block of a cluster's size level.
+BLOCK_CLASSES, BLOCK_BYTES = 256, 8 << 20
 ONE, PAIR = 0, 1
 #: Bits of the filter of ids at most, as a power of two: 16 MB.
 MOST_FILTER = 27
 #: Shingles that a task counts at a time.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Sets of fewer shingles are indexed singly, those that may link with one in both ways.
 SHORT = 24
 
@@ -246,8 +249,8 @@ def filter_of(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], names=["at", "word"])
 
     out = np.zeros(bits // 64, dtype=np.int64)
-    for r in docs.select("doc").mapInArrow(build, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect():
-        out[r["at"]] = r["word"]
+    got = docs.select("doc").mapInArrow(build, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out[got["at"].to_numpy()] = got["word"].to_numpy()  # 2**MOST_FILTER bits at most
     return out
 
 
@@ -367,7 +370,7 @@ def components(edges_: DataFrame, tables: Tables, name: str) -> DataFrame:
                 root.setdefault(y, y)
                 if x != y:
                     root[max(x, y)] = min(x, y)
-            if len(root) > 300_000:
+            if len(root) > 100_000:
                 yield out()
                 root.clear()
         yield out()
@@ -452,22 +455,34 @@ def links_of(left: Sets, right: Sets | None, percent: int) -> list[tuple[int, in
 
 
 def verify(percent: int):
-    """From rows of a group (cluster, i, j: two of its blocks) held together: links that connect what is linked."""
+    """From rows of a group (cluster and cell: two of its blocks, or one with itself): links that connect what is linked."""
 
     def run(keys: tuple, table: pa.Table) -> pa.Table:
-        i, j = keys[1].as_py(), keys[2].as_py()
         sides: list[tuple[list, list]] = [([], []), ([], [])]
-        for block, c, own in zip(table["block"].to_pylist(), table["class"].to_pylist(), table["own"].to_pylist()):
-            side = sides[0 if block == i else 1]
-            side[0].append(c)
-            side[1].append(np.frombuffer(own, np.uint64))
+        for side, c, own in zip(table["side"].to_pylist(), table["class"].to_pylist(), table["own"].to_pylist()):
+            sides[side][0].append(c)
+            sides[side][1].append(np.frombuffer(own, np.uint64))
         left = Sets(*sides[0])
-        found = links_of(left, None if i == j else Sets(*sides[1]), percent)
+        cell = keys[1].as_py()
+        alone = cell["low"] == cell["high"] and cell["i"] == cell["j"]
+        found = links_of(left, None if alone else Sets(*sides[1]), percent)
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
 
+def cells_of() -> Column:
+    """The cells (two levels of a cluster, a block of each) that a set goes to, and the side on which it stands: with each
+    block of its own level, of the one above (on the left) and of the one below (on the right)."""
+    up_to = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    at = lambda low, high, i, j, side: F.struct(F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j")).alias("cell"), side.cast("int").alias("side"))
+    level, block = F.col("level"), F.col("block")
+    own = F.transform(up_to("parts"), lambda w: at(level, level, F.least(block, w), F.greatest(block, w), block > w))
+    above = F.transform(up_to("above"), lambda w: at(level, level + 1, block, w, F.lit(0)))
+    below = F.transform(up_to("below"), lambda w: at(level - 1, level, w, block, F.lit(1)))
+    return F.concat(own, above, below)
+
+
 def join(docs: DataFrame, *, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", rare: int = RARE) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links and equal sets) of every row."""
     spark = docs.sparkSession
@@ -500,20 +515,27 @@ def join(docs: DataFrame, *, width: int = 5, percent: int = 80, key: str = "doc_
     ends = [maps.select(F.col("class").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"bits{e}")) for e in "ab"]
     near = weak.join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(likely(percent), "a long, b long")
     cluster = tables.keep(components(near.unionByName(pairs.where("kind = 2").select("a", "b")), tables, "near"), "clusters")
+    tables.drop("often", "pairs")
 
     # whole sets of the classes in clusters, once each, by the text of the class's first document
     firsts = own.where("class IS NOT NULL").groupBy("class").agg(F.min("doc").alias("doc"), F.min("n").alias("n"))
     wanted = firsts.join(cluster.select(F.col("node").alias("class"), "root"), "class")
-    sized = wanted.groupBy("root").agg(F.count("*").alias("classes"), (F.sum("n") * 8).alias("bytes"))
+    level = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n")
+    wanted = wanted.withColumn("level", level)
+    sized = wanted.groupBy("root", "level").agg(F.count("*").alias("classes"), (F.sum("n") * 8).alias("bytes"))
     parts = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    wanted = wanted.join(sized.select("root", parts.alias("parts")), "root").withColumn("block", F.pmod(F.xxhash64("class"), "parts").cast("int"))
-    wanted = tables.keep(wanted.where("doc IS NOT NULL").select("doc", "class", "root", "block", "parts"), "wanted")
+    sized = tables.keep(sized.select("root", "level", parts.alias("parts")), "sized")
+    for name, off in (("parts", 0), ("below", 1), ("above", -1)):  # those of the level, and of the ones next to it
+        wanted = wanted.join(sized.select("root", (F.col("level") + off).alias("level"), F.col("parts").alias(name)), ["root", "level"], "left")
+    wanted = tables.keep(wanted.where("doc IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("class"), "parts").cast("int")).drop("n"), "wanted")
     sieve = spark.sparkContext.broadcast(filter_of(wanted))
     sets = rows.where("doc IS NOT NULL").mapInArrow(sets_of(width, sieve), "class long, doc long, own binary").join(wanted, ["class", "doc"])
-    placed = sets.select("root", "class", "own", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    placed = placed.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class", "own")
-    links = placed.groupBy("root", "i", "j").applyInArrow(verify(percent), "a long, b long")
-    joined = components(tables.keep(links, "links"), tables, "linked")
+    placed = sets.select("root", "class", "own", F.explode(cells_of()).alias("at")).select("root", "class", "own", "at.cell", "at.side")
+    links = placed.groupBy("root", "cell").applyInArrow(verify(percent), "a long, b long")
+    links = tables.keep(links, "links")
+    tables.drop("clusters", "wanted", "sized")
+    joined = components(links, tables, "linked")
+    tables.drop("links")
 
     # every class's component, by its smallest document
     home = firsts.join(joined.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
