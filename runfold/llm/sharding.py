@@ -3,15 +3,17 @@
 For input partitions of n_p rows and shards of exact sizes s_k, the driver draws how many rows go from each partition to
 each shard (multivariate hypergeometric, so the outcome is as for a shuffle of all rows). Each task permutes its own
 labels locally and streams its rows out under them, the rows are exchanged, and within each shard they are permuted
-again by random numbers. The shard is cut into blocks by those numbers so that no task sorts a whole shard; where a
-block's slots begin is known from the seeds alone.
+again by random numbers. The shard is cut into blocks by those numbers, of about ``block_bytes`` each, so that no task
+sorts a whole shard; a block is a partition of the exchange, and where its slots begin is known from the seeds alone.
 
 Everything random follows from the seed, the partition and the row's place in it, so a task that runs again after a lost
-executor gives the same rows. That needs input whose partitions are the same each time, as a scan's are; for other
-input set ``stable=False``, and the rows are written to the shared folder first.
+executor gives the same rows. That needs input whose partitions are the same each time, as a scan's are; a partition that
+has more or fewer rows than were counted is an error. For other input set ``stable=False``, and the rows are written to
+the shared folder first.
 
-Sizes differ by one at most; an empty table gives empty shards. Null or repeated rows are rows like others. Columns of
-the input named ``shard`` or ``slot`` are replaced.
+Sizes differ by one at most; an empty table gives empty shards. Null, empty or repeated rows are rows like others, very
+long texts too. Columns of the input named ``shard`` or ``slot`` are replaced; ``_cell``, ``_at`` and ``_start`` are taken,
+and an input that has them is an error.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runfold.llm._common import Tables, small_batches
 
-SHARDS, BLOCK_ROWS = 16, 20_000
+SHARDS, BLOCK_BYTES = 16, 64 << 20
+#: More blocks than this are not made; they grow instead, and a task that sorts one spills.
+MOST_BLOCKS = 100_000
 
 
 def sizes_of(rows: int, shards: int) -> np.ndarray:
@@ -49,18 +54,28 @@ def labels(row: np.ndarray, part: int, seed: int) -> tuple[np.ndarray, np.ndarra
     return rng.permutation(np.repeat(np.arange(len(row), dtype=np.int32), row)), rng.integers(0, 2**62, int(row.sum()), dtype=np.int64)
 
 
-def shuffle(df: DataFrame, shards: int = SHARDS, *, seed: int = 5, block_rows: int = BLOCK_ROWS, stable: bool = True) -> DataFrame:
+def bytes_of(df: DataFrame) -> Column:
+    """About how many bytes a row has."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8) for f in df.schema]
+    return sum(sizes, F.lit(8)).cast("long")
+
+
+def shuffle(df: DataFrame, shards: int = SHARDS, *, seed: int = 5, block_bytes: int = BLOCK_BYTES, stable: bool = True) -> DataFrame:
     """The rows of ``df`` with ``shard`` and ``slot``, gapless from 0 in each shard."""
     spark = df.sparkSession
     small_batches(df.sparkSession)
     df = df.drop("shard", "slot")
     if not stable:
         df = Tables(spark, "shards").keep(df, "rows")
-    parts = {r.part: r.n for r in df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()}
+    names = df.columns
+    if taken := {"_cell", "_at", "_start"} & set(names):
+        raise ValueError(f"columns {sorted(taken)} are taken")
+    counted = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.sum(bytes_of(df)).alias("size")).collect()
+    parts, size = {r.part: r.n for r in counted}, sum(r["size"] for r in counted)
     order = sorted(parts)
     total = sum(parts.values())
     drawn = dict(zip(order, matrix([parts[p] for p in order], sizes_of(total, shards), seed)))
-    blocks = max(1, -(-total // (shards * block_rows)))
+    blocks = max(1, min(-(-size // (shards * block_bytes)), MOST_BLOCKS // shards))
     width = -(-(2**62) // blocks)
     known = spark.sparkContext.broadcast(drawn)  # shards numbers for each input partition
 
@@ -76,24 +91,26 @@ def shuffle(df: DataFrame, shards: int = SHARDS, *, seed: int = 5, block_rows: i
     for r in seeds.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one for each block
         cells[r.cell] = r.n
     starts = (np.cumsum(cells.reshape(shards, blocks), axis=1) - cells.reshape(shards, blocks)).ravel()
-    names = df.columns
-    if {"_cell", "_at", "_start"} & set(names):
-        raise ValueError("columns _cell, _at and _start are taken")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done, mine = TaskContext.get().partitionId(), 0, None
+        want = int(known.value[part].sum()) if part in known.value else 0
         for b in batches:
+            if done + b.num_rows > want:
+                raise RuntimeError(f"partition {part} has more rows than were counted: set stable=False")
             if b.num_rows:
                 mine = mine or labels(known.value[part], part, seed)
                 shard, at = (x[done : done + b.num_rows] for x in mine)
                 done += b.num_rows
                 cell = shard.astype(np.int64) * blocks + at // width
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard, pa.int32()), pa.array(cell, pa.int64()), pa.array(at, pa.int64()), pa.array(starts[cell], pa.int64())], names=[*names, "shard", "_cell", "_at", "_start"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", shard int, _cell long, _at long, _start long"
-    out = df.mapInArrow(label, schema)
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_at", "_start"))
-    return out.withColumn("slot", F.col("_start") + rank - 1).drop("_cell", "_at", "_start")
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard, pa.int32()), pa.array(cell, pa.int32()), pa.array(at, pa.int64()), pa.array(starts[cell], pa.int64())], names=[*names, "shard", "_cell", "_at", "_start"])
+        if done < want:
+            raise RuntimeError(f"partition {part} has {done} rows of {want} that were counted: set stable=False")
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", shard int, _cell int, _at long, _start long"
+    out = df.mapInArrow(label, schema).repartitionById(shards * blocks, F.col("_cell")).sortWithinPartitions("_at")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's place in its partition, a block
+    return out.withColumn("slot", F.col("_start") + place).drop("_cell", "_at", "_start")
 
 
 def digest(sharded: DataFrame) -> DataFrame:
