@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one if all run
+    on this machine, else an error: executors elsewhere would not see it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="runfold-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -78,15 +81,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python few at a time: at most so many rows and bytes in an Arrow batch, unless the session says
-    otherwise."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Whole texts go to Python few at a time: at most so many rows and bytes in an Arrow batch, where the session has no
+    settings of its own for it. These are the session's from then on."""
+    own = spark._jsparkSession.sessionState().conf()
+    for name, value in (("maxRecordsPerBatch", "512"), ("maxBytesPerBatch", str(8 << 20))):
+        if not own.contains(f"spark.sql.execution.arrow.{name}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
 
 
 def texts(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller slices of the Arrow batches, so that few whole texts are in Python at a time."""
+    """Smaller slices of the Arrow batches, so that few whole texts are in Python at a time. What they took goes back to
+    the system, as a worker lives on with other tasks."""
+    pa.set_memory_pool(pa.system_memory_pool())
     for b in batches:
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)

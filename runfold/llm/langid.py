@@ -8,7 +8,9 @@ text, then to the smaller name. The score is one less the distance as a part of
 
 Training reads about ``sample`` labelled documents, however many there are, chosen by a hash in each language: all of a
 language that has few, and equally many of the others. Prediction reads every whole text.
-A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned.
+A text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned. Equal texts, and so
+repeated rows, get equal results; very long texts are read whole; an empty table gives an empty result. Columns to keep
+may have any names but ``lang_pred`` and ``score``.
 """
 
 from __future__ import annotations

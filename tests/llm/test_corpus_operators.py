@@ -67,6 +67,20 @@ def test_components_as_in_plain_python(spark, width, percent, block, monkeypatch
     assert [got[i] for i in range(len(made))] == plain_components(made, width, percent)
 
 
+def test_a_passage_that_thousands_share(spark):
+    """Texts that one passage glues to a cluster but that are not linked; those that are, are."""
+    rnd = random.Random(21)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passage = [word() for _ in range(40)]
+    made = [" ".join([*passage, *(word() for _ in range(rnd.randint(20, 200)))]) for _ in range(2500)]
+    made += [t + " and more" for t in made[:100]]
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs(spark, made), width=5, percent=80).collect()}
+    want = [i % 2500 for i in range(2600)]
+    sets = [ngram_join.shingles(t, 5, WordHashes()) for t in made]
+    linked = [ngram_join.meets(sets[i], sets[i + 2500], 80) for i in range(100)]
+    assert all(linked) and [got[i] for i in range(2600)] == want
+
+
 def test_join_edges(spark):
     empty = docs(spark, ["a"]).limit(0)
     assert ngram_join.join(empty).count() == 0
@@ -123,17 +137,40 @@ def test_shards(spark, n, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([(i, f"t{i}" if i % 3 else None, 9) for i in range(n)], "doc_id long, text string, shard int").repartition(4).write.parquet(path)
     rows = spark.read.parquet(path)
-    out = sharding.shuffle(rows, 16, block_rows=7).collect()
+    out = sharding.shuffle(rows, 16, block_bytes=150).collect()
     sizes = Counter(r.shard for r in out)
     assert sorted(r.doc_id for r in out) == list(range(n)) and max(sizes.values(), default=0) - min((sizes[k] for k in range(16)), default=0) <= 1
     assert all(sorted(r.slot for r in out if r.shard == k) == list(range(sizes[k])) for k in sizes)
-    again = sharding.shuffle(rows, 16, block_rows=7).collect()
+    again = sharding.shuffle(rows, 16, block_bytes=150).collect()
     assert {(r.doc_id, r.shard, r.slot) for r in out} == {(r.doc_id, r.shard, r.slot) for r in again}
     for r in sharding.digest(sharding.shuffle(rows, 16, stable=False)).collect():
         text = f"t{r.doc_id}" if r.doc_id % 3 else ""
         assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(text) + 1, zlib.crc32(text.encode()), "rows", None)
 
 
+def test_shards_of_odd_rows(spark, tmp_path):
+    """Very long and repeated texts and columns that clash; rows that come or go between the passes are an error."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, LONG, 3), (1, LONG, 3), (2, "", 4), (None, None, None)] * 9, "doc_id long, text string, slot int").repartition(3).write.parquet(path)
+    out = sharding.shuffle(spark.read.parquet(path), 4, block_bytes=100_000).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in out))) == sorted(map(repr, [(1, LONG), (1, LONG), (2, ""), (None, None)] * 9))
+    assert {k: sorted(r.slot for r in out if r.shard == k) for k in range(4)} == {k: list(range(9)) for k in range(4)}
+    with pytest.raises(ValueError, match="_at"):
+        sharding.shuffle(spark.range(3).withColumn("_at", F.lit(1)))
+    rows = spark.range(0, 100, 1, 4)
+    flag = tmp_path / "flag"
+
+    def some(batches):
+        for b in batches:
+            yield b.slice(0, 3 if flag.exists() else 5)
+
+    moving = rows.mapInArrow(some, "id long")
+    shuffled = sharding.shuffle(moving, 2)
+    flag.touch()
+    with pytest.raises(Exception, match="stable=False"):
+        shuffled.count()
+
+
 def test_matrix_has_its_margins_and_no_bias():
     counts, sizes = [10, 0, 30, 7], sharding.sizes_of(47, 5)
     mats = np.array([sharding.matrix(counts, sizes, s) for s in range(400)])

@@ -39,10 +39,11 @@ def plain_verdict(url, rules):
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_urls_as_in_plain_python(spark, broadcast, monkeypatch):
-    monkeypatch.setattr(urls, "MOST_BROADCAST", urls.MOST_BROADCAST if broadcast else 0)
+    monkeypatch.setattr(urls, "MOST_BROADCAST", urls.MOST_BROADCAST if broadcast else -1)
     rnd = random.Random(1)
     made = [None, "", "no scheme", "http://", "http://ORG", "x://org?/a", "http://org/", "a://b://org/", "http://.org/x", "http://İ.org/", "http://xorg/", "http://example.org/en/1234#q", "http://a.example.org/es/?x"]
     made += ["http://" + ".".join(rnd.choice(["a", "example", "Org", "com", "org", "de"]) for _ in range(rnd.randint(1, 5))) + rnd.choice(["", "/", "/fr/", "/de/x", "/es/", "/en/1", "/en/2", "?/fr/", "#", "/é/"]) for _ in range(300)]
+    made += ["http://" + "a." * 3000 + "example.org/es/" + "x/" * 50_000 + "?" + "q" * 100_000]
     rows = list(enumerate(made)) + [(5, made[5])]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
     got = urls.judge(df).collect()
@@ -50,6 +51,15 @@ def test_urls_as_in_plain_python(spark, broadcast, monkeypatch):
     assert urls.judge(df.limit(0)).count() == 0 and urls.judge(df, []).where("verdict <> 'allow'").count() == 0
 
 
+def test_the_join_on_prefixes_is_confirmed(spark, monkeypatch):
+    """When all digests begin alike, only those that are equal to their end fit."""
+    real = urls._digest
+    monkeypatch.setattr(urls, "_digest", lambda h, p: F.concat(F.lit("00000000"), real(h, p)))
+    df = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://b.com/de/"), (3, "http://c.net/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(df).collect()}
+    assert got == {1: ("org/", "allow"), 2: ("com/de/", "block"), 3: (None, "allow")}
+
+
 # ---- language ID --------------------------------------------------------------------------------------------------
 
 
@@ -83,6 +93,33 @@ def test_language_accuracy_and_edges(spark):
     assert langid.train(df.limit(0)) == [] and langid.predict(df, []).where("lang_pred <> 'und'").count() == 0
 
 
+def test_distances_as_in_plain_python(spark):
+    """Out-of-place distances of whole texts, ties by the order of the profiles; repeated rows alike."""
+    rnd = random.Random(15)
+    docs_ = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    profiles = langid.train(docs_)
+    texts = [r.text for r in docs_.limit(60).collect()] + ["a", "x y", "The the THE", "".join(rnd.choices("abcdef ", k=4000))]
+    ranker = langid.Ranker(profiles)
+
+    def plain(text):
+        own = [g for g, _ in sorted(Counter(langid.grams(text).tolist()).items(), key=lambda x: (-x[1], x[0]))][: ranker.most]
+        far = []
+        for _, p in profiles:
+            place = {g: i for i, g in enumerate(p.tolist())}
+            far.append(sum(abs(place[g] - i) if g in place else ranker.most for i, g in enumerate(own)))
+        return profiles[far.index(min(far))][0], 1 - min(far) / (ranker.most * len(own))
+
+    for t in texts:
+        if t and len(langid.grams(t)):
+            lang, score = ranker.predict(t)
+            want = plain(t)
+            assert lang == want[0] and math.isclose(score, want[1])
+    same = langid.Ranker([("b", profiles[0][1]), ("a", profiles[0][1])])
+    assert same.predict(texts[0])[0] == "b"
+    df = spark.createDataFrame([(1, texts[0]), (1, texts[0])], "doc_id long, text string")
+    assert len({(r.lang_pred, r.score) for r in langid.predict(df, profiles).collect()}) == 1
+
+
 def test_rare_languages_are_read_whole(spark):
     rows = [(i, f"the house {i} water and light", "en") for i in range(3000)] + [(5000 + i, f"maison {w} et lumière", "fr") for i, w in enumerate(["eaux", "pense", "les", "nuit"])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
