@@ -88,6 +88,25 @@ def duration_ns(text: Column) -> Column:
     return F.when(n != "", n.cast("decimal(20,0)") * F.when(unit == "ms", 1_000_000).otherwise(1_000_000_000))
 
 
+def duration_text(ns: Column) -> Column:
+    """Nanoseconds as people read them: ``850ms``, ``12.5s``, ``3m 20s``, ``2h 5m``."""
+    s = ns / 1e9
+    whole = lambda x: F.floor(x).cast("string")
+    return (F.when(s < 1, F.concat(whole(ns / 1e6), F.lit("ms")))
+        .when(s < 60, F.concat(F.regexp_replace(F.format_number(F.floor(s * 10) / 10, 1), r"\.0$", ""), F.lit("s")))
+        .when(s < 3600, F.concat(whole(s / 60), F.lit("m "), whole(s % 60), F.lit("s")))
+        .otherwise(F.concat(whole(s / 3600), F.lit("h "), whole(s % 3600 / 60), F.lit("m"))))
+
+
+def adoption(found: dict[str, Column], wanted: dict[str, Column]) -> Column:
+    """Whether something that runs already is the attempt that was submitted: the first refusal, or ``adopt``. Compared by
+    run, node, attempt, structure, tool and image, in this order; what isn't told is taken for another."""
+    out = F
+    for name in ("run_id", "node", "attempt", "structural_fingerprint", "tool_version", "image_digest"):
+        out = out.when(~F.coalesce(found[name] == wanted[name], F.lit(False)), f"refused: {name}")
+    return out.otherwise("adopt")
+
+
 def blob_reference(reference: Column) -> dict[str, Column]:
     """The parts of ``<scheme>+<backend>://<container>/<algorithm>/<hex>``."""
     pattern = r"^([a-z-]+)\+([a-z0-9]+)://([^/]+)/([a-z0-9]+)/([0-9a-f]+)$"

@@ -4,15 +4,15 @@ live on the driver; their node and edge tables are DataFrames for everything tha
 from __future__ import annotations
 
 import heapq
-import struct
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Codes of the fingerprint's encoding, and the digest's constants.
-RULE_CODES = {"all-succeeded": 0, "all-terminal": 1, "any-failed": 2}
+from runfold.sources.jsonl import canonical
+
+# The execution classes in order, and the digest's constants.
 CLASS_CODES = {"async": 0, "blocking": 1, "compute": 2}
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 ALGORITHM = 1
@@ -144,35 +144,42 @@ class Pipeline:
 
     # -- fingerprints ---------------------------------------------------------------------------------------------
 
-    def structural(self) -> str:
-        """Digest of names, types, rules and edges: what a resume must find unchanged."""
-        out, types = bytearray(), {n.name: n.output_type if n.task else None for n in self.nodes}
-        for n in self.ordered():
-            out += framed(b"n", n.name)
-            if n.task:
-                out += framed(b"t", n.task) + b"".join(framed(b"i", t) for t in n.input_types) + framed(b"I") + framed(b"o", n.output_type or "")
-            else:
-                out += framed(b"T")
-            out += framed(b"r", bytes([RULE_CODES[n.rule]]))
+    def structure(self) -> dict:
+        """Names, types, rules and edges: what a resume must find unchanged."""
+        types = {n.name: n.output_type if n.task else None for n in self.nodes}
+        nodes = [{"name": n.name, "rule": n.rule, "task": n.task, "inputs": list(n.input_types) if n.task else [], "output": n.output_type if n.task else None} for n in self.ordered()]
         data = sorted((n.name, k, h.name) for n in self.nodes for k, (h, _) in enumerate(n.inputs))
-        for consumer, k, producer in data:
-            carried = types.get(producer)
-            out += framed(b"c", consumer) + framed(b"p", producer) + struct.pack("<Q", k) + b"d" + (framed(b"Y") if carried is None else framed(b"y", carried))
-        for consumer, producer in sorted({(n.name, h.name) for n in self.nodes for h in n.after}):
-            out += framed(b"c", consumer) + framed(b"p", producer) + b"O"
-        return f"{fnv1a(bytes(out)):016x}"
+        return {"nodes": nodes, "data": [[c, k, p, types.get(p)] for c, k, p in data], "ordering": [list(e) for e in sorted({(n.name, h.name) for n in self.nodes for h in n.after})]}
 
-    def policy_hash(self) -> str:
-        """Digest of retries, backoff, timeouts, costs, classes and flags."""
-        out = bytearray()
+    def policies(self) -> dict:
+        """Retries, backoff, timeouts, costs, classes and flags."""
+        out = {}
         for n in self.ordered():
-            p = n.policy
-            out += framed(b"n", n.name) + struct.pack("<I", p.retries) + p.base_ns.to_bytes(16, "little") + p.cap_ns.to_bytes(16, "little") + struct.pack("<d", p.factor)
-            out += bytes([p.timeout_ns is not None]) + (p.timeout_ns or 0).to_bytes(16, "little")
-            out += struct.pack("<QQII", *p.cost) + bytes([CLASS_CODES[p.class_override or p.execution_class], p.retained, p.durable, p.teardown])
-            if p.placement is not None:
-                out += framed(b"L", b"".join(framed(b"k", k) + framed(b"v", v) for k, v in p.placement))
-        return f"{fnv1a(bytes(out)):016x}"
+            own = asdict(n.policy)
+            own["execution_class"] = own.pop("class_override") or own["execution_class"]
+            own["placement"] = None if n.policy.placement is None else sorted(map(list, n.policy.placement))
+            out[n.name] = own
+        return out
+
+    def structural(self) -> str:
+        return digest(self.structure())
+
+    def policy_hash(self) -> str:
+        return digest(self.policies())
+
+    # -- artifact -------------------------------------------------------------------------------------------------
+
+    def artifact(self, volatile: bool = True) -> dict:
+        """The graph as one JSON object: nodes, edges by name, order and fingerprints. Without ``volatile``, only what a
+        review compares: no environment and no policies' fingerprint."""
+        deps = {n.name: sorted({h.name for h, _ in n.inputs} | {h.name for h in n.after}) for n in self.nodes}
+        nodes = [
+            {"name": n.name, "group": n.group, "task_name": n.task, "input_type_names": list(n.input_types), "output_type_name": n.output_type, "execution_class": n.policy.class_override or n.policy.execution_class,
+             "trigger_rule": n.rule, "policy": self.policies()[n.name], "dependencies": deps[n.name], "covers": sorted(n.covers)} for n in self.ordered()
+        ]
+        edges = [{"from": p, "to": c, "kind": kind, **({"type_name": t} if t else {})} for c, p, kind, t in sorted([(n.name, h.name, "data", next(m.output_type for m in self.nodes if m.name == h.name)) for n in self.nodes for h, _ in n.inputs] + [(n.name, h.name, "ordering", None) for n in self.nodes for h in n.after], key=lambda e: (e[0], e[1], e[2]))]
+        out = {"pipeline": self.name, "nodes": nodes, "edges": edges, "order": self.order(), "fingerprint_structural": self.structural()}
+        return out | ({"fingerprint_policy": self.policy_hash(), "environment": list(self.env)} if volatile else {})
 
     # -- tables ---------------------------------------------------------------------------------------------------
 
@@ -188,24 +195,36 @@ class Pipeline:
     # -- drawings -------------------------------------------------------------------------------------------------
 
     def dot(self, states: dict[str, str] | None = None) -> str:
+        s_ = short  # labels are cut, names are not
         q = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
-        lines = [f"  {q(n.name)}" + (f" [label={q(n.name + ': ' + states[n.name])}]" if states and n.name in states else "") + ";" for n in self.ordered()]
+        lines = [f"  {q(n.name)}" + (f" [label={q(s_(n.name) + ': ' + states[n.name])}]" if states and n.name in states else "") + ";" for n in self.ordered()]
         lines += [f"  {q(p)} -> {q(c)}" + (" [style=dashed]" if kind == "ordering" else "") + ";" for c, p, kind in self._edges()]
         return "\n".join([f"digraph {q(self.name)} {{", *lines, "}"])
 
     def mermaid(self) -> str:
         at = {n.name: f"n{i}" for i, n in enumerate(self.ordered())}
         esc = lambda s: s.replace('"', "#quot;")
-        return "\n".join(["flowchart TD", *(f'  {i}["{esc(n)}"]' for n, i in at.items()), *(f"  {at[p]} {'-.->' if kind == 'ordering' else '-->'} {at[c]}" for c, p, kind in self._edges())])
+        return "\n".join(["flowchart TD", *(f'  {i}["{esc(short(n))}"]' for n, i in at.items()), *(f"  {at[p]} {'-.->' if kind == 'ordering' else '-->'} {at[c]}" for c, p, kind in self._edges())])
 
     def _edges(self) -> list[tuple[str, str, str]]:
         return sorted({(n.name, h.name, "data") for n in self.nodes for h, _ in n.inputs} | {(n.name, h.name, "ordering") for n in self.nodes for h in n.after})
 
 
-def framed(tag: bytes, body: str | bytes = b"") -> bytes:
-    """A tag, the length and the bytes: no two lists of fields come out alike."""
-    raw = body.encode() if isinstance(body, str) else body
-    return tag + struct.pack("<Q", len(raw)) + raw
+def short(label: str, most: int = 60) -> str:
+    """A label that fits in a drawing: its beginning and its end."""
+    return label if len(label) <= most else label[: most // 2 - 1] + "…" + label[-(most - most // 2) :]
+
+
+def edge_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between positions with the names of their ends. nodes: place, node; edges: producer_place, consumer_place and
+    more; an edge to a place that is not there is left out."""
+    ends = [nodes.select(F.col("place").alias(f"{e}_place"), F.col("node").alias(e)) for e in ("producer", "consumer")]
+    return edges.join(ends[0], "producer_place").join(ends[1], "consumer_place").drop("producer_place", "consumer_place")
+
+
+def digest(value: object) -> str:
+    """The digest of a value's canonical JSON."""
+    return f"{fnv1a(canonical(value).encode()):016x}"
 
 
 def fnv1a(raw: bytes) -> int:

@@ -132,6 +132,27 @@ class TeeSink:
             sink.flush()
 
 
+class IndexSink:
+    """Lines of one run, folded into an index at each flush and after so many lines: the run is there while it goes on."""
+
+    def __init__(self, spark: SparkSession, index, every: int = 1000):
+        self.spark, self.index, self.every, self.lines, self.new = spark, index, every, [], 0
+
+    def append(self, line: str) -> None:
+        self.lines.append(line)
+        self.new += 1
+        if self.new >= self.every:
+            self.flush()
+
+    def flush(self) -> None:
+        from runfold.operators.index import project
+
+        if self.new:
+            rows = self.spark.createDataFrame([(x,) for x in self.lines], "value string")  # one run: a few thousand lines
+            self.index.apply(project(rows.select(F.from_json("value", RECORD).alias("r")).select("r.*"), live=True))
+            self.new = 0
+
+
 class EventWriter:
     """Writes one run's stream: gapless ``seq``, canonical lines, and after a fault nothing more."""
 

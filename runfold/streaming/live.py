@@ -7,12 +7,14 @@ runs twice gives the same index, and a finished live run the same rows as a late
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runfold.operators import fold
 from runfold.operators.index import Index, project
@@ -58,3 +60,24 @@ def into_index(stream: DataFrame, index: Index, log: str, checkpoint: str, *, ev
 def running(records: DataFrame) -> DataFrame:
     """Runs without a run-finished record."""
     return fold.runs(records).where("interrupted AND has_header").select("run_id", "last_offset_ns")
+
+
+WATCHED = "run_id string, state string, last_seq long, missing long, last_offset_ns long"
+
+
+def watch(stream: DataFrame) -> DataFrame:
+    """What is known of each run so far, by keyed state: ``running`` until its end comes, then its outcome; the last seq,
+    and how many before it have not come. A row for each run that a batch touches; use it in update mode."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        outcome, last, seen, at = state.get if state.exists else (None, -1, 0, 0)
+        for b in batches:
+            ends = b[b["kind"] == "run-finished"].sort_values("seq")
+            if len(ends) and outcome is None:
+                outcome = ends["outcome"].iloc[0] or "succeeded"
+            last, seen, at = max(last, int(b["seq"].max())), seen + b["seq"].nunique(), max(at, int(b["offset_ns"].max()))
+        state.update((outcome, last, seen, at))
+        yield pd.DataFrame([(key[0], outcome or "running", last, last + 1 - seen, at)], columns=["run_id", "state", "last_seq", "missing", "last_offset_ns"])
+
+    rows = stream.select("run_id", "seq", "offset_ns", "kind", "outcome")
+    return rows.groupBy("run_id").applyInPandasWithState(step, WATCHED, "outcome string, last long, seen long, at long", "update", GroupStateTimeout.NoTimeout)

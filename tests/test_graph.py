@@ -203,8 +203,6 @@ def test_run_retries_propagates_and_tears_down(spark, tmp_path):
     states = runtime.run(p, spark, EventWriter(sink, lambda: next(ticks), "r1", "demo"), runtime.Options(durable_base=str(tmp_path), sleep=lambda s: None))
     assert states == {"src": "succeeded", "good": "succeeded", "bad": "failed", "after_bad": "upstream-failed", "on_failure": "succeeded", "clean": "succeeded"}
     assert tries == [1, 2] and seen == {"good": "succeeded"} and sorted(r.id for r in spark.read.parquet(f"{tmp_path}/r1/good").collect()) == [0, 2, 4, 6, 8]
-    from pyspark.sql import functions as F
-
     from runfold.operators import fold
     from runfold.schemas import RECORD
 
@@ -219,7 +217,7 @@ def test_run_retries_propagates_and_tears_down(spark, tmp_path):
 def test_blobs(spark, tmp_path):
     from runfold.sources import blobs
 
-    store = blobs.BlobStore(str(tmp_path / "b"))
+    store = blobs.BlobStore(spark, str(tmp_path / "b"))
     key = store.put(b"foo")
     assert key.startswith("2c26b46b") and store.get(key) == b"foo"
     (tmp_path / "b" / ("0" * 64)).write_bytes(b"bar")
