@@ -343,7 +343,7 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Head(dict):
-    """word -> place among the most frequent tokens, -1 for others. The end has id 0, the first WORDS others
+    """word -> place among the most frequent tokens, a negative number for others. The end has id 0, the first WORDS others
     have ids by rank, the rest are classed by their spelling."""
 
     def __init__(self, ranked: list[tuple[bytes, int]]):
@@ -354,18 +354,18 @@ class Head(dict):
         self.kind = np.array([self.ids.get(w, spelled(w)) for w, _ in ranked] + [0], dtype=np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        return -1
+        return WORDS - spelled(word)
 
     def places(self, ws: list[bytes]) -> np.ndarray:
-        """Places of the words and the end."""
-        return np.fromiter(map(self.__getitem__, [*ws, END]), dtype=np.int64, count=len(ws) + 1)
-
-    def classes(self, ws: list[bytes], places: np.ndarray | None = None) -> np.ndarray:
-        places = self.places(ws) if places is None else places
-        out = self.kind[places]
-        for i in np.flatnonzero(places[:-1] < 0).tolist():
-            out[i] = spelled(ws[i])
-        return out
+        """Places of tokens; of others a negative number that says their id."""
+        return np.fromiter(map(self.__getitem__, ws), dtype=np.int64, count=len(ws))
+
+    def ids_of(self, places: np.ndarray) -> np.ndarray:
+        return np.where(places < 0, WORDS - places, self.kind[np.maximum(places, -1)])
+
+    def classes(self, ws: list[bytes]) -> np.ndarray:
+        """The ids of a text's words and its end."""
+        return self.ids_of(self.places([*ws, END]))
 
 
 def train_part(sent, seed: int, rate: float):
@@ -433,16 +433,19 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
         head_ = Head(ranked_)
         names = ["doc", "held", "at", "n_tokens", "known", "sums", "inside", "tail", "times", "classes"]
         kinds_ = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
-        for b in texts(batches, 256):
-            rows_: list[tuple] = []
-            for text in b.column(3).to_pylist():
-                ws = words(text)
-                at = head_.places(ws)
-                cl = head_.classes(ws, at)
-                rare = Counter([ws[i] for i in np.flatnonzero(at[:-1] < 0).tolist()])
-                common = head_.logs[at]
-                rows_.append((len(at), int((at >= 0).sum()), float(common.sum()), float(common[cl > WORDS].sum() - logs[cl].sum()), list(rare), list(rare.values()), cl.astype(np.uint16).tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, t) for c, t in zip(zip(*rows_), kinds_))], names=names)
+        for b in texts(batches, 256):  # the tokens of some texts at once
+            each = [[*words(t), END] for t in b.column(3).to_pylist()]
+            sizes = np.array([len(x) for x in each])
+            flat = [w for x in each for w in x]
+            first = np.cumsum(sizes) - sizes
+            at = head_.places(flat)
+            ids, common = head_.ids_of(at), head_.logs[np.maximum(at, -1)]
+            inside = np.where(ids > WORDS, common, 0.0) - logs[ids]
+            raw, rare = ids.astype(np.uint16).tobytes(), np.flatnonzero(at < 0)
+            bounds = np.searchsorted(rare, np.append(first, len(flat))).tolist()
+            tails = [Counter([flat[i] for i in rare[x:y].tolist()]) for x, y in zip(bounds, bounds[1:])]
+            made = (sizes, np.add.reduceat(at >= 0, first, dtype=np.int64), np.add.reduceat(common, first), np.add.reduceat(inside, first), [list(t) for t in tails], [list(t.values()) for t in tails], [raw[2 * x : 2 * (x + n)] for x, n in zip(first.tolist(), sizes.tolist())])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, t) for c, t in zip(made, kinds_))], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
     # rows without an id are dealt to parts one by one, others by what they are
