@@ -75,14 +75,21 @@ def phases(outcomes: DataFrame) -> DataFrame:
     return d.withColumn("executing_ns", F.col("total_ns") - F.col("ready_wait_ns") - F.col("permit_wait_ns") - F.col("backoff_ns"))
 
 
-def outcomes(records: DataFrame) -> DataFrame:
-    """One row per attempt-outcome, with its phases: the anchors are the node's last ones before it in the stream."""
-    r = widened(records).where(F.col("node").isNotNull() & F.col("kind").isin("node-ready", "node-admitted", "attempt-started", "attempt-outcome"))
+def anchored(records: DataFrame) -> DataFrame:
+    """The records of nodes that time is told by, with the node's last anchors before each in the stream; of an
+    attempt-outcome also its phases."""
+    r = widened(records).where(F.col("node").isNotNull() & F.col("kind").isin("node-ready", "node-admitted", "attempt-started", "attempt-outcome", "node-terminal"))
     before = Window.partitionBy("run_id", "node").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     at = lambda kind: F.last(F.when(F.col("kind") == kind, F.col("offset_ns")), ignorenulls=True).over(before)
     r = r.withColumns({"ready_at": at("node-ready"), "admitted_at": at("node-admitted"), "started_at": at("attempt-started"), "previous_at": at("attempt-outcome")})
-    r = r.where("kind = 'attempt-outcome'").withColumns({"attempt": F.coalesce("attempt", F.lit(1)), "status": F.coalesce("status", F.lit("failed")), "worker": worker(), "inputs": F.filter("inputs", lambda x: x.isNotNull())})
-    return phases(r).select("run_id", "node", "attempt", "status", *PHASES, "total_ns", "worker", *OUTCOME_FIELDS, "seq", F.col("offset_ns").alias("finished_ns"), F.lit("outcome").alias("origin"))
+    return phases(r.withColumn("attempt", F.coalesce("attempt", F.lit(1))))
+
+
+def outcomes(records: DataFrame) -> DataFrame:
+    """One row per attempt-outcome, with its phases: the anchors are the node's last ones before it in the stream."""
+    r = anchored(records).where("kind = 'attempt-outcome'")
+    r = r.withColumns({"status": F.coalesce("status", F.lit("failed")), "worker": worker(), "inputs": F.filter("inputs", lambda x: x.isNotNull())})
+    return r.select("run_id", "node", "attempt", "status", *PHASES, "total_ns", "worker", *OUTCOME_FIELDS, "seq", F.col("offset_ns").alias("finished_ns"), F.lit("outcome").alias("origin"))
 
 
 def _without_attempt(rows: DataFrame, status: Column, like: DataFrame, origin: str, fields: tuple[str, ...], seq: Column) -> DataFrame:
@@ -145,15 +152,19 @@ def summaries(records: DataFrame) -> DataFrame:
 
 def vertices(records: DataFrame) -> DataFrame:
     """(run_id, node, ready, ended, spent): what the critical path is made of. A terminal record sets the end, a later
-    outcome can only move it on."""
-    own = widened(executed(records)).where("node IS NOT NULL")
-    spent = attempts(records).groupBy("run_id", "node").agg(F.sum("executing_ns").alias("spent"))
-    terminal = F.col("kind") == "node-terminal"
-    last = own.where(terminal).groupBy("run_id", "node").agg(F.max("seq").alias("t_seq"), F.max_by("offset_ns", "seq").alias("t_at"))
-    ready = own.where("kind = 'node-ready'").groupBy("run_id", "node").agg(F.min("offset_ns").alias("ready"))
-    late = own.where("kind = 'attempt-outcome'").join(last, ["run_id", "node"], "left").groupBy("run_id", "node").agg(F.max(F.when(F.col("t_seq").isNull() | (F.col("seq") > F.col("t_seq")), F.col("offset_ns"))).alias("o_at"))
-    on = ["run_id", "node"]
-    out = spent.join(ready, on, "full").join(last, on, "full").join(late, on, "full")
+    outcome can only move it on. One shuffle by run and node serves the anchors and the sums."""
+    r = anchored(executed(records))
+    of = lambda kind, value: F.when(F.col("kind") == kind, F.col(value))
+    t_seq = F.max(of("node-terminal", "seq")).over(Window.partitionBy("run_id", "node"))
+    r = r.withColumn("t_seq", t_seq)
+    late = of("attempt-outcome", "offset_ns")
+    out = r.groupBy("run_id", "node").agg(
+        F.sum(of("attempt-outcome", "executing_ns")).alias("spent"),
+        F.min(of("node-ready", "offset_ns")).alias("ready"),
+        F.max_by("offset_ns", of("node-terminal", "seq")).alias("t_at"),
+        F.max(F.when(F.col("t_seq").isNull() | (F.col("seq") > F.col("t_seq")), late)).alias("o_at"),
+        F.bool_or(F.col("kind").isin("node-ready", "node-terminal", "attempt-outcome")).alias("told"),
+    ).where("told")
     out = out.withColumn("ended", F.greatest("t_at", "o_at"))
     return out.select("run_id", "node", F.coalesce("ready", "ended", F.lit(0)).alias("ready"), "ended", F.coalesce("spent", F.lit(0)).alias("spent"))
 

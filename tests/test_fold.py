@@ -73,8 +73,6 @@ def test_outcomes_of_runs(spark):
     cut = frame(spark, [(0, "run-started", None), (3, "node-ready", "a")])
     got = fold.runs(cut).first()
     assert (got.outcome, got.interrupted) == ("cancelled", True)
-    write_run(base, "r4")
-    records = jsonl.read_records(spark, jsonl.run_files(spark, base))
     early = frame(spark, [(0, "run-started", None), (1, "attempt-outcome", "a", 1, "failed"), (2, "run-finished", None, None, None, None, "assembly-failed")])
     assert fold.attempts(early).count() == 0 and fold.summaries(early).count() == 0
 
