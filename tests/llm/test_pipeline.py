@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from runfold.llm import bpe
+from runfold.llm import bpe, mixing
 from runfold.llm._common import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -45,10 +45,23 @@ def test_stages(spark, made, tmp_path):
         assert r.ids == model.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids)
 
 
-def test_run_and_empty(spark, made, tmp_path):
+def test_run_gives_what_the_stages_should(spark, made, tmp_path):
+    """End to end against a plain version: who is left, with what text, and the ids that the other library gives it."""
+    from tokenizers import Tokenizer
+
     path = str(tmp_path / "documents.parquet")
-    spark.createDataFrame(made, DOCS).withColumns({"shard": F.lit(1), "_p": F.lit(2)}).write.parquet(path)
-    assert cp.run(spark, str(tmp_path)).where("size(ids) = 0").count() == 0
+    spark.createDataFrame(made, DOCS).withColumns({"shard": F.lit(1), "_p": F.lit(2)}).repartition(3).write.parquet(path)
+    got = [(r.doc_id, r.lang, r.source, list(r.ids), r.n_tokens) for r in cp.run(spark, str(tmp_path)).collect()]
+    left = {r[0]: r for r in made if r[0] not in (5, 6, 500, 501)}  # copies, and what has no letters; row 4 is there twice
+    rows = [(i, t.replace("password=abcdef1234", cp.MARK), lang or "en", source, 0) for i, t, lang, source, _ in left.values()]
+    measured = mixing.measure(spark.createDataFrame(rows, DOCS), keep=("doc_id", "source", "lang"))
+    kept = {r.doc_id for r in mixing.draw(measured, mixing.plan(measured)).where("_kept").collect()}
+    lib = Tokenizer.from_file(tokenizer_path())
+    want = [(i, lang, source, x := lib.encode(t, add_special_tokens=False).ids, len(x)) for i, t, lang, source, _ in rows if i in kept]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and 0 < len(got) < len(rows)
+
+
+def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, "")
