@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from runfold.llm._common import Tables, small_batches
 
-SHARDS, BLOCK_BYTES = 16, 64 << 20
+SHARDS, BLOCK_BYTES = 16, 16 << 20
 #: More blocks than this are not made; they grow instead, and a task that sorts one spills.
 MOST_BLOCKS = 100_000
 
