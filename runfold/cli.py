@@ -67,6 +67,7 @@ def payload(kind: type, name: str | None = None) -> type:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="runfold")
+    p.add_argument("--config", help="a JSON file of settings")
     verbs = p.add_subparsers(dest="verb", required=True)
 
     def verb(name: str, *args: str) -> argparse.ArgumentParser:
@@ -115,7 +116,7 @@ def _graph(a, spark, flows, out) -> int:
 
 def _setting(a, name: str) -> str | None:
     value = getattr(a, name)
-    return runtime.setting(name, {} if value is None else {name: value}, dict(os.environ), {})
+    return runtime.setting(name, {} if value is None else {name: value}, dict(os.environ), runtime.config_file(a.config))
 
 
 def _execute(p: Pipeline, spark, a, **more: object) -> int:

@@ -48,6 +48,18 @@ def runs(records: DataFrame) -> DataFrame:
     return out.select("run_id", "header", "has_header", F.when(F.col("finished"), F.coalesce("outcome", F.lit("succeeded"))).otherwise("cancelled").alias("outcome"), (~F.col("finished")).alias("interrupted"), "last_offset_ns")
 
 
+def headers(records: DataFrame) -> DataFrame:
+    """One row per run that has a header: its fields as columns, the interval and the lineage taken apart. A run that
+    resumes none is its own root."""
+    r = runs(records).where("has_header")
+    plain = [f for f in r.schema["header"].dataType.names if f not in ("run_id", "data_interval", "resume_lineage")]
+    line = lambda f: F.col(f"header.resume_lineage.{f}")
+    return r.select(
+        "run_id", "outcome", "interrupted", "last_offset_ns", *(F.col(f"header.{f}").alias(f) for f in plain), F.col("header.data_interval.start").alias("interval_start"), F.col("header.data_interval.end").alias("interval_end"),
+        F.coalesce(line("parent_run_id"), line("run_id")).alias("parent_run_id"), F.coalesce(line("lineage_root_run_id"), line("parent_run_id"), line("run_id"), "run_id").alias("lineage_root_run_id"),
+    )
+
+
 def executed(records: DataFrame) -> DataFrame:
     """The records of runs that got as far as executing."""
     out = runs(records).where(F.col("outcome").isin(*PRE_EXECUTION)).select("run_id")

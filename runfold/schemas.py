@@ -82,3 +82,34 @@ def violations(records: DataFrame) -> DataFrame:
     ]
     found = F.filter(F.array(*(F.when(bad, F.struct(F.lit(p).alias("path"), F.lit(why).alias("reason"))) for p, bad, why in rules)), lambda x: x.isNotNull())
     return records.select("run_id", "seq", F.explode(found).alias("v")).select("run_id", "seq", "v.path", "v.reason")
+
+
+#: What artifacts must have: the keys of the object, of its members that are objects, and of the items of its lists.
+ARTIFACTS = {
+    "run": {"": ("attempts", "header", "interrupted", "outputs", "summary"), "header": ("overall_outcome",), "attempts": ("attempt", "node", "phase_durations_ns", "status", "worker"), "outputs": ("attempt", "node", "originating_run", "produced_at_offset_ns", "uri")},
+    "graph": {"": ("edges", "fingerprint_structural", "nodes", "order", "pipeline"), "nodes": ("dependencies", "execution_class", "name", "policy", "trigger_rule"), "edges": ("from", "kind", "to")},
+}
+
+
+def artifact_violations(kind: str, doc: object) -> list[tuple[str, str]]:
+    """(path, reason) of everything that is wrong with an artifact's JSON; unknown fields are none of it."""
+    out = []
+    for part, keys in ARTIFACTS[kind].items():
+        value = doc.get(part) if part and isinstance(doc, dict) else doc
+        many = part in ("attempts", "outputs", "nodes", "edges")
+        if many and not isinstance(value, list):
+            out.append((part, "must be an array"))
+            continue
+        for i, item in enumerate(value if many else [value]):
+            at = f"{part}[{i}]" if many else part
+            if not isinstance(item, dict):
+                out.append((at, "must be an object"))
+            else:
+                out += [(f"{at}.{k}".lstrip("."), "is required") for k in keys if k not in item]
+                if "status" in keys and item.get("status") not in (None, *TERMINAL_STATES):
+                    out.append((f"{at}.status", "is no terminal state"))
+    if kind == "graph" and not out:
+        names = {n["name"] for n in doc["nodes"]}
+        out += [(f"edges[{i}]", "an end is no node") for i, e in enumerate(doc["edges"]) if not {e["from"], e["to"]} <= names]
+        out += [(f"edges[{i}].type_name", "is required on data edges") for i, e in enumerate(doc["edges"]) if e["kind"] == "data" and "type_name" not in e]
+    return out

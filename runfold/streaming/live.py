@@ -7,9 +7,11 @@ runs twice gives the same index, and a finished live run the same rows as a late
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,25 @@ def running(records: DataFrame) -> DataFrame:
     return fold.runs(records).where("interrupted AND has_header").select("run_id", "last_offset_ns")
 
 
+def follow(start: Callable[[], StreamingQuery], *, tries: int = 8, wait: Callable[[float], None] = time.sleep, report: Callable[[Exception], None] | None = None) -> int:
+    """Keeps a query going: one that fails is reported and started anew from its checkpoint, in waits that double from 0.1 s,
+    until it ends by itself or has failed ``tries`` times in a row without a batch between. How often it was started."""
+    began = failed = 0
+    while True:
+        query = start()
+        began += 1
+        try:
+            query.awaitTermination()
+            return began
+        except StreamingQueryException as e:
+            failed = 1 if query.lastProgress and query.lastProgress.numInputRows else failed + 1
+            if report:
+                report(e)
+            if failed >= tries:
+                raise
+            wait(0.1 * 2 ** (failed - 1))
+
+
 WATCHED = "run_id string, state string, last_seq long, missing long, last_offset_ns long"
 
 

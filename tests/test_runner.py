@@ -167,6 +167,8 @@ def test_verbs(spark, tmp_path):
     child = next(x for x in os.listdir(f"{store}/demo") if x != parent)
     head = fold.runs(jsonl.read_records(spark, [f"{store}/demo/{child}/events.jsonl"])).first().header
     assert (head.resume_lineage.parent_run_id, head.resume_lineage.lineage_root_run_id) == (parent, parent)
+    line = fold.headers(jsonl.read_records(spark, jsonl.run_files(spark, store))).where("run_id <> lineage_root_run_id").collect()
+    assert [(r.run_id, r.pipeline, r.parent_run_id) for r in line] == [(child, "demo", parent)]
     assert os.path.isdir(f"{tables}/{child}/double") and not os.path.isdir(f"{tables}/{child}/load")
     assert do("replay", "demo", child, "double", "--store", store, "--durable", tables) == 0
     lines.clear()
@@ -251,6 +253,40 @@ def test_watching_and_tee(spark, tmp_path):
     assert [(r.run_id, r.state, r.last_seq, r.missing) for r in seen] == [("r1", "failed", 2, 0)]
 
 
+def test_following_a_query_that_fails(spark, tmp_path):
+    from runfold.streaming import live
+
+    seg = tmp_path / "seg"
+    seg.mkdir()
+    (seg / "1.jsonl").write_text('{"run_id":"r","seq":0}\n')
+    faults, waits, told = [1, 1], [], []
+
+    def batch(df, n):
+        if faults:
+            faults.pop()
+            raise OSError("away")
+        told.append(df.count())
+
+    start = lambda: live.read_segments(spark, str(seg)).writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert live.follow(start, wait=waits.append, report=lambda e: told.append("fault")) == 3 and told == ["fault", "fault", 1] and waits == [0.1, 0.2]
+
+
+def test_artifacts_are_checked(tmp_path):
+    from runfold.schemas import artifact_violations
+
+    p = Pipeline("p")
+    p.node("b", p.node("a", output_type="T"))
+    doc = json.loads(jsonl.canonical(p.artifact()))
+    assert artifact_violations("graph", doc) == []
+    doc["edges"][0] |= {"to": "z"}
+    assert artifact_violations("graph", doc) == [("edges[0]", "an end is no node")]
+    bad = {"header": {}, "attempts": [{"node": "a", "attempt": 1, "worker": "w", "phase_durations_ns": {}, "status": "odd"}], "outputs": 1, "interrupted": False}
+    assert artifact_violations("run", bad) == [("summary", "is required"), ("header.overall_outcome", "is required"), ("attempts[0].status", "is no terminal state"), ("outputs", "must be an array")]
+    (tmp_path / "c.json").write_text('{"durable": "/t", "pool": {"memory": 3}}')
+    file = runtime.config_file(str(tmp_path / "c.json"))
+    assert file == {"durable": "/t", "pool.memory": 3} and runtime.setting("pool.memory", {}, {"RUNFOLD_POOL_MEMORY": "5"}, file) == "5" and runtime.config_file(None) == {}
+
+
 def test_columns(spark):
     from pyspark.sql import functions as F
 
