@@ -48,23 +48,31 @@ def flow(name: str | None = None, registry: dict | None = None):
     return add
 
 
-def task(*, resources: tuple[str, ...] = (), inputs: tuple[str, ...] = (), output: str | None = None, contract: bool = False, rule: str = "all-succeeded", **policy: object):
+def payload(name: str | None = None):
+    """Gives a class the name by which a graph knows it as a node's input or output."""
+
+    def add(kind: type) -> type:
+        kind.payload_name = name or kind.__qualname__
+        return kind
+
+    return add
+
+
+def type_name(kind: type | str | None) -> str | None:
+    return kind if kind is None or isinstance(kind, str) else getattr(kind, "payload_name", kind.__qualname__)
+
+
+def task(*, resources: tuple[str, ...] = (), inputs: tuple[type | str, ...] = (), output: type | str | None = None, contract: bool = False, rule: str = "all-succeeded", **policy: object):
     """Gives a function what a node of it needs: ``function.node`` are arguments of ``Pipeline.node``."""
 
     def add(function):
         function.resources = tuple(resources)
-        function.node = {"run": function, "task": function.__name__, "input_types": tuple(inputs), "output_type": output, "rule": rule, "policy": Policy(**policy), "contract": contract or bool(policy.get("durable"))}
+        function.node = {"run": function, "task": function.__name__, "input_types": tuple(map(type_name, inputs)), "output_type": type_name(output), "rule": rule, "policy": Policy(**policy), "contract": contract or bool(policy.get("durable"))}
         return function
 
     return add
 
 
-def payload(kind: type, name: str | None = None) -> type:
-    """Names a class as the type of a node's input or output."""
-    kind.payload_name = name or f"{kind.__module__}.{kind.__qualname__}"
-    return kind
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="runfold")
     p.add_argument("--config", help="a JSON file of settings")

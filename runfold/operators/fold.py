@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runfold.functions import rules
 from runfold.schemas import PRE_EXECUTION, RECORD
 
 OUTCOME_FIELDS = ("message", "error", "metrics", "cost_declared", "cost_measured", "durable_reference", "durable_reference_meta", "satisfied_from_run", "originating_node", "inputs")
@@ -29,10 +30,6 @@ def first_of(value: Column, where: Column) -> Column:
     return F.min_by(F.struct(value.alias("v")), F.when(where, F.col("seq")))["v"]
 
 
-def last_of(value: Column, where: Column) -> Column:
-    return F.max_by(F.struct(value.alias("v")), F.when(where, F.col("seq")))["v"]
-
-
 def runs(records: DataFrame) -> DataFrame:
     """One row per run: the first run-started's header, the first run-finished's outcome (``succeeded`` if it names none;
     without one the run is ``cancelled`` and interrupted), and whether it has a header at all."""
@@ -157,7 +154,7 @@ def summaries(records: DataFrame) -> DataFrame:
     flags = r.where(ended & F.col("node").isNotNull() & F.col("retained").isNotNull()).groupBy("run_id", "node").agg(F.max_by("retained", "seq").alias("on"))
     kept = flags.where("on").groupBy("run_id").agg(F.sort_array(F.collect_list("node")).alias("retained_values"))
     last = r.where(ended & F.col("attempt").isNotNull()).groupBy("run_id", "node", "attempt").agg(F.max_by("offset_ns", "seq").alias("ended_at"))
-    pinned = r.where("kind = 'zombie-at-exit'").join(last, ["run_id", "node", "attempt"]).groupBy("run_id").agg(F.sum(F.greatest(F.col("offset_ns") - F.col("ended_at"), F.lit(0))).alias("abandoned_pinned_time_ns"))
+    pinned = r.where("kind = 'zombie-at-exit'").join(last, ["run_id", "node", "attempt"]).groupBy("run_id").agg(F.sum(rules.saturating_sub(F.col("offset_ns"), F.col("ended_at"))).alias("abandoned_pinned_time_ns"))
     out = base.join(critical_paths(records), "run_id", "left").join(kept, "run_id", "left").join(pinned, "run_id", "left")
     return out.select("run_id", "total_elapsed_ns", F.coalesce("critical_path_ns", F.lit(0)).alias("critical_path_ns"), "peak_slot_residency", F.coalesce("retained_values", F.array().cast("array<string>")).alias("retained_values"), F.coalesce("abandoned_pinned_time_ns", F.lit(0)).alias("abandoned_pinned_time_ns"), "abandoned_pinned_capacity")
 

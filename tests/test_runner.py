@@ -135,14 +135,19 @@ def test_run_ids_sort_by_time():
     assert a < b and a[14] == b[14] == "7" and a[19] in "89ab" and b == "00000000-03e9-7000-8000-000000000000"
 
 
-@cli.task(durable=True, output="T")
+@cli.payload("T")
+class Rows:
+    pass
+
+
+@cli.task(durable=True, output=Rows)
 def load(ctx):
     if ctx.parameters.get("fail") == "load":
         raise RuntimeError("asked to")
     return ctx.spark.range(int(ctx.parameters.get("n", 4)))
 
 
-@cli.task(output="T", inputs=("T",), durable=True)
+@cli.task(output=Rows, inputs=(Rows,), durable=True)
 def double(ctx, rows):
     if ctx.parameters.get("fail") == "double":
         raise RuntimeError("asked to")
