@@ -8,8 +8,9 @@ and the plan is the same whatever the depth.
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,19 +29,29 @@ def decisions(edges: DataFrame, states: DataFrame, nodes: DataFrame) -> DataFram
     return out.where("n = known").select("run_id", "node", rules.decide(F.col("rule"), *(F.col(k) for k in ("n", "success", "skip", "failure", "stop"))).alias("decision"))
 
 
-def by_run(nodes: DataFrame, edges: DataFrame, fields: list[str], walk, schema: str) -> DataFrame:
-    """Rows that ``walk`` makes of each run's nodes (dicts of node and the fields) and edges (consumer, producer, kind)."""
+ARROW = {"string": pa.string(), "boolean": pa.bool_()}
+
+
+def by_run(nodes: DataFrame, edges: DataFrame, fields: list[str], walk: Callable, schema: str) -> DataFrame:
+    """Rows that ``walk`` makes of each run's nodes (dicts of node and the fields) and edges (consumer, producer, kind). A
+    run's nodes and edges come together in one row; many runs are walked in one batch."""
     kind = F.col("kind") if "kind" in edges.columns else F.lit("data")
     own = nodes.select("run_id", F.struct("node", *fields).alias("n"), F.lit(None).cast("struct<consumer:string,producer:string,kind:string>").alias("e"))
     arcs = edges.select("run_id", F.lit(None).cast(own.schema["n"].dataType).alias("n"), F.struct("consumer", "producer", kind.alias("kind")).alias("e"))
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ns = sorted((dict(n) for n in rows["n"] if n is not None), key=lambda n: n["node"])
-        es = sorted({(e["consumer"], e["producer"], e["kind"]) for e in rows["e"] if e is not None})
-        return pd.DataFrame([(key[0], *r) for r in walk(ns, es)], columns=["run_id", *names])
-
-    return own.unionByName(arcs).groupBy("run_id").applyInPandas(one, f"run_id string, {schema}")
+    whole = own.unionByName(arcs).groupBy("run_id").agg(F.collect_list("n").alias("ns"), F.collect_list("e").alias("es"))
+    columns = [tuple(c.split()) for c in f"run_id string, {schema}".split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                ns = sorted(r["ns"], key=lambda n: n["node"])
+                es = sorted({(e["consumer"], e["producer"], e["kind"]) for e in r["es"]})
+                rows += [(r["run_id"], *x) for x in walk(ns, es)]
+            made = list(zip(*rows)) if rows else [[] for _ in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(v, ARROW[k]) for v, (_, k) in zip(made, columns)], names=[n for n, _ in columns])
+
+    return whole.mapInArrow(run, f"run_id string, {schema}")
 
 
 def cascade(nodes: list[dict], edges: list[tuple[str, str, str]]) -> list[tuple]:
