@@ -43,9 +43,9 @@ START = 1 + WORDS + SPELLED
 CLASSES, HIDDEN = 1 + HEADS + SPELLED, 24
 WINDOW, LANES = 32, 128
 #: Rounds of training, and documents in a part. Fewer documents than make a part for each round are one part, which each
-#: round reads whole, and again until it has seen LEAST_TOKENS, AGAIN times at most.
+#: round reads whole, and again until it has seen LEAST_TOKENS, AGAIN times at most; below FEW_TOKENS in fewer lanes.
 ROUNDS, PART_DOCS = 3, 3000
-LEAST_TOKENS, AGAIN, RATE = 1_000_000, 6, 0.02
+LEAST_TOKENS, FEW_TOKENS, AGAIN, RATE = 400_000, 1_000_000, 4, 0.02
 SCORE_WINDOW, SCORE_LANES = 32, 512
 #: Tokens of which a task holds the ids before it scores them together.
 SCORE_TOKENS = 2_000_000
@@ -250,7 +250,7 @@ def fit(flat: np.ndarray, docs: list[np.ndarray], seed: int, rate: float) -> tup
     model, rng = Gru(flat.astype(np.float32).copy()), np.random.default_rng(seed)
     tokens = sum(map(len, docs))
     times = max(1, min(AGAIN, round(LEAST_TOKENS / max(1, tokens))))
-    most = LANES if tokens >= LEAST_TOKENS else LANES // 4
+    most = LANES if tokens >= FEW_TOKENS else LANES // 4
     adam = Adam(len(model.flat))
     seen = 0
     for _ in range(times):
