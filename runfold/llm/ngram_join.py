@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runfold.llm._common import Tables, WordHashes, mix, small_batches, texts, words
+from runfold.llm._common import Tables, WordHashes, gives_back, mix, small_batches, texts, words
 
 #: A shingle of more sets than this is frequent; of 16 times as many, very frequent.
 RARE = 16
@@ -49,6 +49,8 @@ ONE, PAIR = 0, 1
 MOST_FILTER = 27
 #: Shingles that a task counts at a time.
 COUNTED = 2_000_000
+#: Rows of an Arrow batch of counts, with the rest of the last shingle's run before they are counted.
+COUNTS_BATCH = 1 << 17
 #: Sets of fewer shingles are indexed singly, those that may link with one in both ways.
 SHORT = 24
 
@@ -155,17 +157,21 @@ def count_often(width: int, percent: int):
     are exact; and of the others those of two or more sets, of which what is frequent in all has some."""
     low = np.uint64(int(2**64 * min(0.99, 1.25 * (100 - percent) / 100 + 0.02)))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size, seen = WordHashes(), np.empty(COUNTED, np.uint64), 0, set()
 
-        def out() -> pa.RecordBatch:
-            a = held[:size]
-            a.sort()
-            first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if size else np.zeros(0, np.int64)
-            n = np.diff(first, append=size)
-            keep = (n > 1) | (a[first] < low)
-            u, n = a[first[keep]], n[keep]
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["shingle", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            held[:size].sort()
+            at = 0
+            while at < size:
+                end = int(np.searchsorted(held[:size], held[min(at + COUNTS_BATCH, size) - 1], side="right"))
+                a, at = held[at:end], end
+                first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+                n = np.diff(first, append=len(a))
+                keep = (n > 1) | (a[first] < low)
+                u, n = a[first[keep]], n[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["shingle", "n"])
 
         for b in texts(batches):
             for text in b.column(0).to_pylist():
@@ -175,11 +181,11 @@ def count_often(width: int, percent: int):
                     for at in range(0, len(own), COUNTED):
                         part = own[at : at + COUNTED]
                         if size + len(part) > COUNTED:
-                            yield out()
+                            yield from out()
                             size, seen = 0, set()
                         held[size : size + len(part)] = part
                         size += len(part)
-        yield out()
+        yield from out()
 
     return run
 
@@ -187,6 +193,7 @@ def count_often(width: int, percent: int):
 def index_texts(width: int, percent: int, sent):
     """Rows of two kinds: documents (doc_id, class, n, bitmap) and keys (key, kind, class, n), keys once a class and task."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         often_s, often_k = sent.value
@@ -257,6 +264,7 @@ def filter_of(docs: DataFrame) -> np.ndarray:
 def sets_of(width: int, sent):
     """(class, doc, own): the whole sets of the rows whose id passes the filter."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, words_ = WordHashes(), sent.value
         for b in texts(batches):
@@ -514,8 +522,9 @@ def join(docs: DataFrame, *, width: int = 5, percent: int = 80, key: str = "doc_
     weak = pairs.where("kind = 1 OR (kind = 0 AND hits > 1)").select("a", "b")
     ends = [maps.select(F.col("class").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"bits{e}")) for e in "ab"]
     near = weak.join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(likely(percent), "a long, b long")
+    near = tables.keep(near, "likely")  # else each task would hold two Python workers, one for this and one for the forest
     cluster = tables.keep(components(near.unionByName(pairs.where("kind = 2").select("a", "b")), tables, "near"), "clusters")
-    tables.drop("often", "pairs")
+    tables.drop("often", "pairs", "likely")
 
     # whole sets of the classes in clusters, once each, by the text of the class's first document
     firsts = own.where("class IS NOT NULL").groupBy("class").agg(F.min("doc").alias("doc"), F.min("n").alias("n"))

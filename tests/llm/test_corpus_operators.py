@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -81,6 +82,38 @@ def test_a_passage_that_thousands_share(spark):
     assert all(linked) and [got[i] for i in range(2600)] == want
 
 
+def test_counts_come_in_small_batches(monkeypatch):
+    """Every batch is bounded, and no shingle's count is cut by a batch's end."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "COUNTS_BATCH", 100, raising=False)
+    texts = [" ".join(f"w{i}" for i in range(k, k + 400)) for k in range(0, 2000, 150)] + [None, ""]
+    got = list(ngram_join.count_often(5, 80)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    rows = [(s, n) for b in got for s, n in zip(b["shingle"].to_pylist(), b["n"].to_pylist())]
+    whole = Counter(s for t in texts for s in ngram_join.shingles(t, 5, WordHashes()).view(np.int64).tolist())
+    assert len(rows) == len(dict(rows)) and all(whole[s] == n for s, n in rows)
+    assert {s for s, n in whole.items() if n > 1} <= dict(rows).keys() and 5 < len(got) and max(b.num_rows for b in got) <= 100
+    assert list(ngram_join.count_often(5, 80)(iter([]))) == []
+
+
+def test_a_task_of_the_join_holds_one_python_worker(spark, monkeypatch):
+    """No table is made of one pass over another without a shuffle between: a task would hold two workers, and a reused
+    executor keeps both."""
+    plans, keep = [], Tables.keep
+
+    def noted(self, df, name, *by):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return keep(self, df, name, *by)
+
+    monkeypatch.setattr(Tables, "keep", noted)
+    base = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(5)]
+    rows = [(i, base[i % 5] + f" y{i // 5}") for i in range(20)]
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), width=5, percent=80).collect()}
+    assert got == {i: i % 5 for i in range(20)}
+    assert {n for n, p in plans if len(re.findall(r"\bMapInArrow\b", p)) > 1} == set()
+    assert sum("MapInArrow" in p for _, p in plans) >= 5
+
+
 def test_join_edges(spark):
     empty = docs(spark, ["a"]).limit(0)
     assert ngram_join.join(empty).count() == 0
