@@ -6,6 +6,7 @@ import logging
 import os
 import threading
 import time
+import types
 
 import pytest
 
@@ -56,6 +57,26 @@ def test_cancellation(spark):
     assert [e["node"] for e in events if e["kind"] == "zombie-at-exit"] == ["deaf"] and events[-1]["outcome"] == "failed"
 
 
+def test_a_node_that_ends_at_once_when_cancelled(spark, monkeypatch):
+    """Its thread is gone before the runner looks; it is cancelled all the same, and one that failed before is not."""
+
+    class Quick(threading.Thread):
+        def start(self):
+            super().start()
+            self.join(5)
+
+    monkeypatch.setattr(runtime, "threading", types.SimpleNamespace(**{**vars(threading), "Thread": Quick}))
+    control, p = runtime.Control(), Pipeline("p")
+
+    def ends(ctx):
+        control.cancel()
+        raise RuntimeError("told to")
+
+    first = p.node("first", run=lambda ctx: 1 / 0)
+    p.node("ends", after=(first,), rule="all-terminal", run=ends)
+    assert execute(p, spark, control=control)[0] == {"first": "failed", "ends": "cancelled"}
+
+
 def test_teardowns_have_a_deadline(spark):
     p = Pipeline("p")
     a = p.node("a", run=lambda ctx: None)
