@@ -102,6 +102,20 @@ def texts(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[pa.Rec
             yield b.slice(at, step)
 
 
+def trim() -> None:
+    """The allocator's free memory goes back to the system."""
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        give(0)
+
+
+def keep_freed() -> None:
+    """Until ``trim``, freed arrays below 32 MB stay with the process: else each one of a long row of equal ones asks the
+    system for its pages anew."""
+    if mallopt := getattr(ctypes.CDLL(None), "mallopt", None):  # of glibc
+        mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
 def gives_back(run: Pass) -> Pass:
     """A pass after whose end the allocator's free memory goes back to the system too: an idle worker would keep it beside
     whatever comes after."""
@@ -109,8 +123,7 @@ def gives_back(run: Pass) -> Pass:
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
-            trim(0)
+        trim()
 
     return wrapped
 

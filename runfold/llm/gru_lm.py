@@ -23,18 +23,20 @@ are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runfold.llm._common import Tables, small_batches, texts, words
+from runfold.llm._common import Tables, keep_freed, small_batches, texts, trim
 
 #: Tokens that are sent to every task with their counts.
 HEAD = 1 << 16
+#: Bytes of text of which a task counts the tokens together.
+COUNT_BYTES = 16 << 20
 #: Classes of frequent words, words in each, and classes by spelling.
 HEADS, SLOTS, SPELLED = 23, 64, 64
 #: Ids of tokens: the end, frequent words by rank, classes by spelling; and the mark that a text begins with.
@@ -102,145 +104,183 @@ class Gru:
         return flat
 
     def read(self, x: np.ndarray) -> np.ndarray:
-        """What ids x (steps x lanes; START: a text's beginning) add to the gates: steps x gates x lanes."""
-        return np.ascontiguousarray(self.e[x].transpose(0, 2, 1))
-
-    def step(self, e: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
-        """The next state (units x lanes) after reading e, in which the gates are left. Lanes that aren't live keep theirs."""
-        n = HIDDEN
-        zr, a = e[: 2 * n], e[2 * n :]
-        zr += self.u[:, : 2 * n].T @ h
+        """What ids x (steps x lanes; START: a text's beginning) add to the gates: gates x steps x lanes x units."""
+        gates = np.arange(3)[:, None, None]
+        return self.e.reshape(-1, HIDDEN).take(3 * x[None] + gates, axis=0)
+
+    def recurrent(self) -> np.ndarray:
+        """The weights of each of the three gates by itself."""
+        return np.ascontiguousarray(self.u.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+
+    @staticmethod
+    def step(u: np.ndarray, e: np.ndarray, h: np.ndarray, out: np.ndarray, live: np.ndarray | None = None) -> None:
+        """The next state (lanes x units) after reading e, in which the gates are left. Lanes that aren't live keep theirs.
+        Each gate lies in one piece, so that no step goes through short rows."""
+        zr, a = e[:2], e[2]
+        zr += h @ u[:2]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:n], zr[n:]
+        z, r = zr
         if live is not None:
-            z *= live
-        a += self.u[:, 2 * n :].T @ (r * h)
+            z *= live[:, None]
+        a += (r * h) @ u[2]
         np.tanh(a, out=a)
-        new = a - h
-        new *= z
-        new += h
-        return new
+        np.subtract(a, h, out=out)
+        out *= z
+        out += h
 
     @staticmethod
-    def log_chosen(weights: np.ndarray, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log P(y | state h) of a softmax, rows of states that end in a 1; and what is in proportion to all
-        probabilities, and its sums."""
-        p = h @ weights
+    def log_chosen(p: np.ndarray, y: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+        """log of the softmax of each row of p at y, and sums; p becomes what is in proportion to all probabilities.
+        wide: exponentials may leave the range of a float."""
         out = p[np.arange(len(y)), y]
-        top = float(p.max(initial=0.0))
-        if top > 60 or float(p.min(initial=0.0)) < -60:  # exponentials could leave the range of a float
+        if wide and max(float(p.max(initial=0.0)), -float(p.min(initial=0.0))) > 60:
             top = p.max(1, keepdims=True)
             p -= top
-            out = out - top[:, 0]
+            out -= top[:, 0]
         np.exp(p, out=p)
-        total = p.sum(1)
-        return out - np.log(total), p, total
+        total = p @ np.ones(p.shape[1], p.dtype)
+        return out - np.log(total), total
+
+    def wide(self) -> tuple[bool, bool]:
+        """Whether an exponent over classes, or within them, could be beyond 60: a state is never beyond 1."""
+        return tuple(float(np.abs(x).sum(-2).max()) > 60 for x in (self.o, self.w))
 
     @staticmethod
-    def by_heads(y: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each class of frequent words that the ids y have: its number, the places, and the words within it."""
-        for block in range(0, len(y), WITHIN):
-            own = y[block : block + WITHIN]
-            head = (own - 1) // SLOTS
-            head[(own < 1) | (own > WORDS)] = HEADS
-            order = np.argsort(head.astype(np.uint8), kind="stable")
-            ends = np.cumsum(np.bincount(head, minlength=HEADS + 1)[: HEADS + 1])
-            for k in range(HEADS):
-                at = order[ends[k - 1] if k else 0 : ends[k]]
-                if len(at):
-                    yield k, at + block, own[at] - 1 - k * SLOTS
+    def by_heads(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """The places of frequent words among the ids y, class after class; the words within their classes; and each class
+        that occurs with its range of places."""
+        head = (y - 1) // SLOTS
+        head[(y < 1) | (y > WORDS)] = HEADS
+        ends = np.cumsum(np.bincount(head, minlength=HEADS + 1)[:HEADS]).tolist()
+        at = np.argsort(head.astype(np.uint8), kind="stable")[: ends[-1]]
+        return at, (y[at] - 1) % SLOTS, [(k, slice(a, b)) for k, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+
+    def within(self, own: np.ndarray, ranges: list[tuple[int, slice]]) -> np.ndarray:
+        """Exponents of the words of each state's class, states in the order of by_heads."""
+        p = np.empty((len(own), SLOTS), self.flat.dtype)
+        for k, part in ranges:
+            np.matmul(own[part], self.w[k], out=p[part])
+        return p
 
     def log_p(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log P(id | state), rows of states that end in a 1."""
-        out, cls = np.empty(len(y), np.float64), class_of(y)
+        out, cls, wide = np.empty(len(y), np.float64), class_of(y), self.wide()
         for at in range(0, len(y), BLOCK):
-            out[at : at + BLOCK] = self.log_chosen(self.o, states[at : at + BLOCK], cls[at : at + BLOCK])[0]
-        for k, at, slot in self.by_heads(y):
-            out[at] += self.log_chosen(self.w[k], states[at], slot)[0]
+            out[at : at + BLOCK] = self.log_chosen(states[at : at + BLOCK] @ self.o, cls[at : at + BLOCK], wide[0])[0]
+        for block in range(0, len(y), WITHIN):
+            at, slot, ranges = self.by_heads(y[block : block + WITHIN])
+            at += block
+            out[at] += self.log_chosen(self.within(states[at], ranges), slot, wide[1])[0]
         return out
 
     def learn(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """The gradient over one window (steps x lanes) that begins in state h, the state after it, and the loss."""
         n, (steps, lanes), kind = HIDDEN, x.shape, self.flat.dtype
-        grad = Gru(np.zeros_like(self.flat))
-        e, hs = self.read(x), np.empty((steps + 1, n, lanes), kind)
-        hs[0] = h.T
-        on = live.astype(kind)
+        grad, wide, u = Gru(np.zeros_like(self.flat)), self.wide(), self.recurrent()
+        e, hs = self.read(x), np.empty((steps + 1, lanes, n), kind)
+        hs[0] = h
+        on, full = live.astype(kind), live.all(1).tolist()
         for t in range(steps):
-            hs[t + 1] = self.step(e[t], hs[t], None if live[t].all() else on[t])
+            self.step(u, e[:, t], hs[t], hs[t + 1], None if full[t] else on[t])
         states = np.ones((steps * lanes, n + 1), kind)
-        states.reshape(steps, lanes, n + 1)[:, :, :n] = hs[1:].transpose(0, 2, 1)
+        states[:, :n] = hs[1:].reshape(-1, n)
         flat_y, share = y.ravel(), kind.type(1 / max(1, int(live.sum())))
         weight, cls = on.ravel() * share, class_of(flat_y)
         back, loss = np.empty((steps * lanes, n), kind), 0.0
 
-        def output(weights: np.ndarray, into: np.ndarray, at, chosen: np.ndarray) -> np.ndarray:
+        def slope(p: np.ndarray, chosen: np.ndarray, share: np.ndarray, wide: bool) -> np.ndarray:
+            """The loss's slope by each exponent in p, in its place."""
             nonlocal loss
-            own, share = states[at], weight[at]
-            logp, d, total = self.log_chosen(weights, own, chosen)
+            logp, total = self.log_chosen(p, chosen, wide)
             loss -= float(logp @ share)
-            d *= (share / total)[:, None]
-            d[np.arange(len(chosen)), chosen] -= share
-            into += own.T @ d
-            return d @ weights[:n].T
+            p *= (share / total)[:, None]
+            p[np.arange(len(chosen)), chosen] -= share
+            return p
 
         for at in range(0, steps * lanes, BLOCK):
             part = slice(at, at + BLOCK)
-            back[part] = output(self.o, grad.o, part, cls[part])
-        for k, at, slot in self.by_heads(flat_y):
-            back[at] += output(self.w[k], grad.w[k], at, slot)
-        back = np.ascontiguousarray(back.reshape(steps, lanes, n).transpose(0, 2, 1))
-        before, z, r, g = hs[:-1], e[:, :n], e[:, n : 2 * n], e[:, 2 * n :]
+            d = slope(states[part] @ self.o, cls[part], weight[part], wide[0])
+            grad.o += states[part].T @ d
+            np.matmul(d, self.o[:n].T, out=back[part])
+        for block in range(0, steps * lanes, WITHIN):
+            at, slot, ranges = self.by_heads(flat_y[block : block + WITHIN])
+            at += block
+            own, into = states[at], np.empty((len(at), n), kind)
+            d = slope(self.within(own, ranges), slot, weight[at], wide[1])
+            for k, part in ranges:
+                grad.w[k] += own[part].T @ d[part]
+                np.matmul(d[part], self.w[k, :n].T, out=into[part])
+            back[at] += into
+        back, before, (z, r, g) = back.reshape(steps, lanes, n), hs[:-1], e
         rest = 1 - z
         to_a, to_z, to_r = z * (1 - g * g), (g - before) * z * rest, before * r * (1 - r)
-        gates, carry = np.empty_like(e), np.zeros((n, lanes), kind)
-        ua, uzr = self.u[:, 2 * n :], self.u[:, : 2 * n]
+        gates, carry, both = np.empty_like(e), np.zeros((lanes, n), kind), np.empty((2, lanes, n), kind)
+        back_u = np.ascontiguousarray(u.transpose(0, 2, 1))
         for t in reversed(range(steps)):
-            own, dh = gates[t], carry
+            own, dh = gates[:, t], carry
             dh += back[t]
-            drh = ua @ np.multiply(dh, to_a[t], out=own[2 * n :])
-            np.multiply(dh, to_z[t], out=own[:n])
-            np.multiply(drh, to_r[t], out=own[n : 2 * n])
+            drh = np.multiply(dh, to_a[t], out=own[2]) @ back_u[2]
+            np.multiply(dh, to_z[t], out=own[0])
+            np.multiply(drh, to_r[t], out=own[1])
             carry = dh * rest[t]
             drh *= r[t]
             carry += drh
-            carry += uzr @ own[: 2 * n]
-        rows = gates.transpose(0, 2, 1).reshape(-1, 3 * n)
-        grad.u[:, : 2 * n] = before.transpose(1, 0, 2).reshape(n, -1) @ rows[:, : 2 * n]
-        grad.u[:, 2 * n :] = (r * before).transpose(1, 0, 2).reshape(n, -1) @ rows[:, 2 * n :]
+            np.matmul(own[:2], back_u[:2], out=both)
+            carry += both[0]
+            carry += both[1]
+        for k, read in enumerate((before, before, r * before)):
+            grad.u[:, k * n : (k + 1) * n] = read.reshape(-1, n).T @ gates[k].reshape(-1, n)
         flat_x = x.ravel().astype(np.uint16)
         order = np.argsort(flat_x, kind="stable")
         at = flat_x[order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        grad.e[at[first]] = np.add.reduceat(rows[order], first, axis=0)
-        return grad.flat, hs[-1].T, loss
+        rows = gates.reshape(-1, n).take(order[:, None] + np.arange(3) * (steps * lanes), axis=0).reshape(-1, 3 * n)
+        grad.e[at[first]] = np.add.reduceat(rows, first, axis=0)
+        return grad.flat, hs[-1], loss
 
 
 class Adam:
-    """Steps of a rate by running means of the gradient and its square; gradients longer than 1 are shortened."""
+    """Steps of a rate by running means of the gradient and its square; gradients longer than 1 are shortened. The means are
+    kept without their factors of 0.1 and 0.01, and a stretch of weights at a time, which stays in the cache."""
+
+    stretch = 1 << 14
 
     def __init__(self, size: int):
         self.m, self.v, self.steps = np.zeros(size, np.float32), np.zeros(size, np.float32), 0
 
     def step(self, flat: np.ndarray, grad: np.ndarray, rate: float) -> None:
         norm = float(np.sqrt(grad @ grad))
-        grad *= min(1.0, 1.0 / (norm + 1e-9))
         self.steps += 1
-        self.m *= 0.9
-        self.m += 0.1 * grad
-        self.v *= 0.99
-        grad *= grad
-        grad *= 0.01
-        self.v += grad
-        size = np.sqrt(self.v, out=grad)
-        size *= 1 / np.sqrt(1 - 0.99**self.steps)
-        size += 1e-6
-        np.divide(self.m, size, out=size)
-        size *= rate / (1 - 0.9**self.steps)
-        flat -= size
+        root = 0.1 / np.sqrt(1 - 0.99**self.steps)  # of the mean square, by the root of v
+        least, by = np.float32(1e-6 / root), np.float32(rate * 0.1 / (1 - 0.9**self.steps) / root)
+        for at in range(0, len(flat), self.stretch):
+            part = slice(at, at + self.stretch)
+            m, v, g = self.m[part], self.v[part], grad[part]
+            if norm > 1:
+                g *= np.float32(1 / norm)
+            m *= np.float32(0.9)
+            m += g
+            v *= np.float32(0.99)
+            g *= g
+            v += g
+            np.sqrt(v, out=g)
+            g += least
+            np.divide(m, g, out=g)
+            g *= by
+            flat[part] -= g
+
+
+def joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all documents, one after another; where each begins, and at last their end; and what is read before each
+    id (START before a document's first)."""
+    ids = np.concatenate([*docs, np.zeros(0, np.int64)])
+    begin = np.concatenate([[0], np.cumsum([len(d) for d in docs], dtype=np.int64)])
+    read = np.concatenate([[START], ids[:-1]])[: len(ids)]
+    read[begin[:-1]] = START
+    return ids, begin, read
 
 
 def fit(flat: np.ndarray, docs: list[np.ndarray], seed: int, rate: float) -> tuple[np.ndarray, int]:
@@ -252,36 +292,30 @@ def fit(flat: np.ndarray, docs: list[np.ndarray], seed: int, rate: float) -> tup
     times = max(1, min(AGAIN, round(LEAST_TOKENS / max(1, tokens))))
     most = LANES if tokens >= FEW_TOKENS else LANES // 4
     adam = Adam(len(model.flat))
-    seen = 0
+    ids, begin, read = joined(docs)
+    steps, seen = np.arange(WINDOW)[:, None], 0
     for _ in range(times):
         order, at = rng.permutation(len(docs)), 0
         long = np.argsort([-len(docs[i]) for i in order], kind="stable")[:most]  # first, so that none is left alone at the end
         order = np.concatenate([order[long], np.delete(order, long)])
         lanes = min(most, len(docs))
-        doc: list[np.ndarray | None] = [None] * lanes
-        place = [0] * lanes
+        place, end = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # in ids, of each lane's document
         h = np.zeros((lanes, HIDDEN), np.float32)
-        while lanes:
-            if at == len(order):  # lanes without a document are closed
-                busy = [k for k in range(lanes) if doc[k] is not None]
-                doc, place, h, lanes = [doc[k] for k in busy], [place[k] for k in busy], h[busy], len(busy)
-                if not lanes:
-                    break
-            x = np.full((WINDOW, lanes), START)
-            y, live = np.zeros((WINDOW, lanes), np.int64), np.zeros((WINDOW, lanes), bool)
-            for k in range(lanes):
-                if doc[k] is None and at < len(order):
-                    doc[k], place[k] = docs[order[at]], 0
-                    at += 1
-                    h[k] = 0
-                if doc[k] is not None:
-                    part = doc[k][place[k] : place[k] + WINDOW]
-                    y[: len(part), k], live[: len(part), k] = part, True
-                    x[1 : len(part), k] = part[:-1]
-                    x[0, k] = doc[k][place[k] - 1] if place[k] else START
-                    place[k] += WINDOW
-                    if place[k] >= len(doc[k]):
-                        doc[k] = None
+        while True:
+            free = np.flatnonzero(place >= end)
+            new = order[at : at + len(free)]
+            at += len(new)
+            free, rest = free[: len(new)], free[len(new) :]
+            place[free], end[free], h[free] = begin[new], begin[new + 1], 0
+            if len(rest):  # lanes without a document are closed
+                place, end, h = np.delete(place, rest), np.delete(end, rest), np.delete(h, rest, axis=0)
+            if not len(place):
+                break
+            own = place + steps
+            live = own < end
+            own[~live] = 0
+            x, y = np.where(live, read[own], START), np.where(live, ids[own], 0)
+            place += WINDOW
             grad, h, _ = model.learn(x, y, live, h)
             adam.step(model.flat, grad, rate * max(0.1, 1 - seen / (times * tokens)))
             seen += int(live.sum())
@@ -291,81 +325,86 @@ def fit(flat: np.ndarray, docs: list[np.ndarray], seed: int, rate: float) -> tup
 def log_likelihoods(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
     """The sum of log10 P(id | state) over each document. Lanes hold one document after another, the longest first; a
     lane's state is carried from window to window until its document ends."""
-    out, order, at = np.zeros(len(docs)), sorted(range(len(docs)), key=lambda i: -len(docs[i])), 0
-    lanes: list[list[int]] = []  # document, place
-    h, last = np.zeros((HIDDEN, 0), np.float32), np.zeros(0, np.int64)
+    ids, begin, read = joined(docs)
+    out, order, at = np.zeros(len(docs)), np.argsort(-np.diff(begin), kind="stable"), 0
+    doc, place = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each lane
+    h, u = np.zeros((0, HIDDEN), np.float32), model.recurrent()
     while True:
-        busy = [k for k, (i, place) in enumerate(lanes) if place < len(docs[i])]
-        lanes, h, last = [lanes[k] for k in busy], h[:, busy], last[busy]
-        new = order[at : at + SCORE_LANES - len(lanes)]
-        if new:
-            at += len(new)
-            lanes += [[i, 0] for i in new]
-            h, last = np.concatenate([h, np.zeros((HIDDEN, len(new)), np.float32)], axis=1), np.concatenate([last, np.full(len(new), START)])
-        if not lanes:
+        busy = np.flatnonzero(place < begin[doc + 1])
+        new = order[at : at + SCORE_LANES - len(busy)]
+        at += len(new)
+        doc, place = np.concatenate([doc[busy], new]), np.concatenate([place[busy], begin[new]])
+        h = np.concatenate([h[busy], np.zeros((len(new), HIDDEN), np.float32)])
+        if not len(doc):
             return out / np.log(10)
-        steps = min(SCORE_WINDOW, max(len(docs[i]) - place for i, place in lanes))
-        y, live = np.zeros((steps, len(lanes)), np.int64), np.zeros((steps, len(lanes)), bool)
-        for k, lane in enumerate(lanes):
-            part = docs[lane[0]][lane[1] : lane[1] + steps]
-            y[: len(part), k], live[: len(part), k] = part, True
-            lane[1] += steps
-        x, last = np.concatenate([last[None], y[:-1]]), y[-1]
-        hs, e = np.ones((steps, len(lanes), HIDDEN + 1), np.float32), model.read(x)
+        end = begin[doc + 1]
+        steps = min(SCORE_WINDOW, int((end - place).max()))
+        own = place + np.arange(steps)[:, None]
+        live = own < end
+        own[~live] = 0
+        place += steps
+        hs, e = np.ones((steps, len(doc), HIDDEN + 1), np.float32), model.read(read[own])
         for t in range(steps):
-            h = model.step(e[t], h)
-            hs[t, :, :HIDDEN] = h.T
+            now = np.empty_like(h)
+            model.step(u, e[:, t], h, now)
+            hs[t, :, :HIDDEN] = h = now
         on = np.flatnonzero(live)
         some = hs.reshape(-1, HIDDEN + 1)
         logp = np.zeros(live.size)
-        logp[on] = model.log_p(some if len(on) == live.size else some[on], y.ravel()[on])
-        out[[lane[0] for lane in lanes]] += logp.reshape(live.shape).sum(0)
+        logp[on] = model.log_p(some if len(on) == live.size else some[on], ids[own.ravel()[on]])
+        out[doc] += logp.reshape(live.shape).sum(0)
 
 
 # ---- passes over the corpus ---------------------------------------------------------------------------------------
 
 
+def split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, those of one text after another, as ``words`` has them; and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat = parts.flatten().cast(pa.binary())
+    some = pc.not_equal(flat, b"").to_numpy(zero_copy_only=False)  # white space at an end cuts off an empty part
+    before = np.concatenate([[0], np.cumsum(some)])
+    return flat if some.all() else flat.filter(pa.array(some)), np.diff(before[parts.offsets.to_numpy()])
+
+
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of a part of the training texts, the end token included."""
-    counts: Counter = Counter()
+    held: list[pa.Array] = []
+    size = 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "n"])
 
     for b in texts(batches):
-        for text in b.column(0).to_pylist():
-            counts.update(words(text))
-            counts[END] += 1
-        if len(counts) > 400_000:
+        flat, sizes = split(b.column(0))
+        held += [flat, pa.array([END] * len(sizes), pa.binary())]
+        size += b.nbytes
+        if size > COUNT_BYTES:
             yield out()
-            counts.clear()
+            held.clear()
+            size = 0
     yield out()
 
 
-class Head(dict):
-    """word -> place among the most frequent tokens, a negative number for others. The end has id 0, the first WORDS others
-    have ids by rank, the rest are classed by their spelling."""
+class Head:
+    """The most frequent tokens by rank, with their counts. The end has id 0, the first WORDS others have ids by rank, the
+    rest are classed by their spelling."""
 
     def __init__(self, ranked: list[tuple[bytes, int]]):
-        super().__init__((w, i) for i, (w, _) in enumerate(ranked))
-        self.count = dict(ranked)
+        self.words = pa.array([w for w, _ in ranked], pa.binary())
         self.ids = {END: 0} | {w: i + 1 for i, (w, _) in enumerate([r for r in ranked if r[0] != END][:WORDS])}
         self.logs = np.log10(np.array([n for _, n in ranked] + [0]) + 1.0)
         self.kind = np.array([self.ids.get(w, spelled(w)) for w, _ in ranked] + [0], dtype=np.int64)
+        self.end = next((i for i, (w, _) in enumerate(ranked) if w == END), -1)
 
-    def __missing__(self, word: bytes) -> int:
-        return WORDS - spelled(word)
-
-    def places(self, ws: list[bytes]) -> np.ndarray:
-        """Places of tokens; of others a negative number that says their id."""
-        return np.fromiter(map(self.__getitem__, ws), dtype=np.int64, count=len(ws))
-
-    def ids_of(self, places: np.ndarray) -> np.ndarray:
-        return np.where(places < 0, WORDS - places, self.kind[np.maximum(places, -1)])
-
-    def classes(self, ws: list[bytes]) -> np.ndarray:
-        """The ids of a text's words and its end."""
-        return self.ids_of(self.places([*ws, END]))
+    def look_up(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words among the most frequent tokens, -1 for others; and the ids of all."""
+        at = pc.fill_null(pc.index_in(flat, self.words), -1).to_numpy().astype(np.int64)
+        ids, rare = self.kind[at], np.flatnonzero(at < 0)
+        ends = pc.binary_slice(flat.take(pa.array(rare)), -2).dictionary_encode()
+        ids[rare] = np.array([spelled(w) for w in ends.dictionary.to_pylist()], np.int64)[ends.indices.to_numpy()]
+        return at, ids
 
 
 def train_part(sent, seed: int, rate: float):
@@ -373,8 +412,10 @@ def train_part(sent, seed: int, rate: float):
 
     def run(keys: tuple, table: pa.Table) -> pa.Table:
         part = keys[0].as_py()
+        keep_freed()
         docs = [np.frombuffer(x, np.uint16).astype(np.int64) for x in sorted(table["classes"].to_pylist())]
         flat, seen = fit(sent.value, docs, seed * 1000 + part, rate)
+        trim()
         return pa.table({"at": pa.array(np.arange(-1, len(flat)), pa.int32()), "v": pa.array(np.concatenate([[seen], flat.astype(np.float64) * seen]), pa.float64())})
 
     return run
@@ -421,41 +462,45 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     most = counts.where((step >= cut) | (F.col("word") == F.lit(END))).collect()  # HEAD words and the end at most
     ranked = sorted(((bytes(r.word), r.n) for r in most), key=lambda r: (-r[1], r[0]))
     head = Head(ranked)
-    single = [w for w in head.ids if w in head.count]
+    count = dict(ranked)
+    single = [w for w in head.ids if w in count]
     by_class = counts.where(~F.col("word").isin(single)) if single else counts
     got = {r.c: (r.s, r.t) for r in by_class.groupBy(spelled_column(F.col("word")).alias("c")).agg(F.sum(F.col("n") + 1).alias("s"), F.sum("n").alias("t")).collect()}
     totals = np.array([0.0] * (1 + WORDS) + [float(got.get(c, (0, 0))[0] + 1) for c in range(1 + WORDS, START)])
-    freq = np.array([head.count.get(w, 0) for w in head.ids] + [0] * (1 + WORDS - len(head.ids)) + [got.get(c, (0, 0))[1] for c in range(1 + WORDS, START)], dtype=np.float64)
-    sent = spark.sparkContext.broadcast((ranked, np.log10(np.maximum(totals, 1.0))))
+    freq = np.array([count.get(w, 0) for w in head.ids] + [0] * (1 + WORDS - len(head.ids)) + [got.get(c, (0, 0))[1] for c in range(1 + WORDS, START)], dtype=np.float64)
+    sent = spark.sparkContext.broadcast((head, np.log10(np.maximum(totals, 1.0))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked_, logs = sent.value
-        head_ = Head(ranked_)
+        head_, logs = sent.value
         names = ["doc", "held", "at", "n_tokens", "known", "sums", "inside", "tail", "times", "classes"]
-        kinds_ = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
-        for b in texts(batches, 256):  # the tokens of some texts at once
-            each = [[*words(t), END] for t in b.column(3).to_pylist()]
-            sizes = np.array([len(x) for x in each])
-            flat = [w for x in each for w in x]
-            first = np.cumsum(sizes) - sizes
-            at = head_.places(flat)
-            ids, common = head_.ids_of(at), head_.logs[np.maximum(at, -1)]
+        for b in texts(batches):
+            flat, counts_ = split(b.column(3))
+            sizes, last = counts_ + 1, np.cumsum(counts_)
+            first, n = last - counts_ + np.arange(len(last)), len(last)
+            at, ids = head_.look_up(flat)
+            rare = np.flatnonzero(at < 0)
+            seldom = flat.take(pa.array(rare)).dictionary_encode()
+            different = max(1, len(seldom.dictionary))
+            tails, times = np.unique(np.searchsorted(last, rare, side="right") * different + seldom.indices.to_numpy(), return_counts=True)
+            offsets = pa.array(np.searchsorted(tails // different, np.arange(n + 1)), pa.int32())
+            at, ids = np.insert(at, last, head_.end), np.insert(ids, last, 0)
+            common = head_.logs[at]
             inside = np.where(ids > WORDS, common, 0.0) - logs[ids]
-            raw, rare = ids.astype(np.uint16).tobytes(), np.flatnonzero(at < 0)
-            bounds = np.searchsorted(rare, np.append(first, len(flat))).tolist()
-            tails = [Counter([flat[i] for i in rare[x:y].tolist()]) for x, y in zip(bounds, bounds[1:])]
-            made = (sizes, np.add.reduceat(at >= 0, first, dtype=np.int64), np.add.reduceat(common, first), np.add.reduceat(inside, first), [list(t) for t in tails], [list(t.values()) for t in tails], [raw[2 * x : 2 * (x + n)] for x, n in zip(first.tolist(), sizes.tolist())])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, t) for c, t in zip(made, kinds_))], names=names)
+            raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, 2 * np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(ids.astype(np.uint16))])
+            made = [pa.array(sizes), pa.array(np.add.reduceat(at >= 0, first, dtype=np.int64)), pa.array(np.add.reduceat(common, first)), pa.array(np.add.reduceat(inside, first))]
+            made += [pa.ListArray.from_arrays(offsets, seldom.dictionary.take(pa.array(tails % different))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))), raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
     # rows without an id are dealt to parts one by one, others by what they are
     at = F.when(F.col("doc").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc", "text"))
     coded = rows.select("doc", "held", at.alias("at"), "text").mapInArrow(encode, f"doc {kind}, held boolean, at long, n_tokens long, known long, sums double, inside double, tail array<binary>, times array<int>, classes binary")
     coded = tables.keep(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
-    flat = train(coded.where("NOT held"), freq / max(1.0, freq.sum()), head.count.get(END, 0))
+    flat = train(coded.where("NOT held"), freq / max(1.0, freq.sum()), count.get(END, 0))
     weights = spark.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         model = Gru(weights.value)
         waiting: list[pa.RecordBatch] = []
         classes: list[np.ndarray] = []
@@ -479,6 +524,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
                 size = 0
         if waiting:
             yield from out()
+        trim()
 
     kept = ("row", "doc", "held", "n_tokens", "known", "sums", "inside")
     types = {"row": "long", "doc": kind, "held": "boolean", "n_tokens": "long", "known": "long", "sums": "double", "inside": "double"}
