@@ -114,18 +114,19 @@ class Gru:
 
     @staticmethod
     def step(u: np.ndarray, e: np.ndarray, h: np.ndarray, out: np.ndarray, live: np.ndarray | None = None) -> None:
-        """The next state (lanes x units) after reading e, in which the gates are left. Lanes that aren't live keep theirs.
+        """The next state (lanes x units; ``out``, not h itself) after reading e, in which the gates are left. Lanes that aren't live keep theirs.
         Each gate lies in one piece, so that no step goes through short rows."""
         zr, a = e[:2], e[2]
-        zr += h @ u[:2]
+        z, r = zr
+        for gate, weights in ((z, u[0]), (r, u[1])):
+            gate += np.dot(h, weights, out=out)
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr
         if live is not None:
             z *= live[:, None]
-        a += (r * h) @ u[2]
+        a += np.dot(r * h, u[2], out=out)
         np.tanh(a, out=a)
         np.subtract(a, h, out=out)
         out *= z
@@ -217,20 +218,19 @@ class Gru:
         back, before, (z, r, g) = back.reshape(steps, lanes, n), hs[:-1], e
         rest = 1 - z
         to_a, to_z, to_r = z * (1 - g * g), (g - before) * z * rest, before * r * (1 - r)
-        gates, carry, both = np.empty_like(e), np.zeros((lanes, n), kind), np.empty((2, lanes, n), kind)
+        gates, (dh, drh, more) = np.empty_like(e), np.zeros((3, lanes, n), kind)
         back_u = np.ascontiguousarray(u.transpose(0, 2, 1))
         for t in reversed(range(steps)):
-            own, dh = gates[:, t], carry
+            dz, dr, da = gates[:, t]
             dh += back[t]
-            drh = np.multiply(dh, to_a[t], out=own[2]) @ back_u[2]
-            np.multiply(dh, to_z[t], out=own[0])
-            np.multiply(drh, to_r[t], out=own[1])
-            carry = dh * rest[t]
+            np.dot(np.multiply(dh, to_a[t], out=da), back_u[2], out=drh)
+            np.multiply(dh, to_z[t], out=dz)
+            np.multiply(drh, to_r[t], out=dr)
+            dh *= rest[t]
             drh *= r[t]
-            carry += drh
-            np.matmul(own[:2], back_u[:2], out=both)
-            carry += both[0]
-            carry += both[1]
+            dh += drh
+            dh += np.dot(dz, back_u[0], out=more)
+            dh += np.dot(dr, back_u[1], out=more)
         for k, read in enumerate((before, before, r * before)):
             grad.u[:, k * n : (k + 1) * n] = read.reshape(-1, n).T @ gates[k].reshape(-1, n)
         flat_x = x.ravel().astype(np.uint16)
